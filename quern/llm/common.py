@@ -129,6 +129,20 @@ def by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[bytes]
         yield now, blobs
 
 
+def rows_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[tuple]]]:
+    """(key, rows of the other columns) of each key of batches that come sorted by the first column."""
+    now, rows = None, []
+    for batch in batches:
+        for k, *row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            if k != now:
+                if rows:
+                    yield now, rows
+                now, rows = k, []
+            rows.append(tuple(row))
+    if rows:
+        yield now, rows
+
+
 def dealt(df: DataFrame, key: str) -> DataFrame:
     """Rows with equal keys in one partition, in key order there."""
     return df.repartition(width(df.sparkSession), key).sortWithinPartitions(key)

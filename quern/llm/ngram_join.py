@@ -12,10 +12,11 @@ Plan
    of their set.
 3. A set of which fewer than 80 % of the tokens occur elsewhere has a prefix of unshared tokens only
    and leaves. The others form a small table with all shared tokens, rarest first.
-4. Sets that share a prefix token under the first order are proposed as pairs, hub by hub: first with
-   one partner a set, then, across the components found so far, with all that remain. A group of
-   near copies therefore costs in proportion to its size. Proposed pairs meet the other orders and
-   the length bound, then their tokens are compared.
+4. Each set joins the family of the set that it meets most often as the hub of its prefix tokens'
+   groups. Families are compared whole, in blocks, by matrix products, and give only as many links
+   as connect them: a group of near copies is never written out as pairs.
+5. Pairs of different families and components that share a prefix token under the first order, in a
+   place that leaves room for the intersection, meet the other orders, then their tokens are compared.
 """
 
 from __future__ import annotations
@@ -27,12 +28,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, WordHash, by_key, components, dealt, gather, mix, release, stage, texts, width, windows
+from quern.llm.common import LOWER, WordHash, by_key, components, dealt, gather, mix, release, rows_by_key, stage, texts, width, windows
 
 SHINGLE = 5
 #: Words that a task holds at once.
 CHUNK = 2_000_000
 U8, U4, U1 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("u1")
+#: Sets of a family that are compared in one task with as many others.
+BLOCK = 512
 #: Seeds of the further global orders.
 ORDERS = (0xA24BAED4963EE407, 0x9FB21C651E98DF25)
 
@@ -199,7 +202,7 @@ def _postings(buckets: int):
 
     def run(batches):
         for batch in batches:
-            sid, n, comp = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3))
+            sid, n, comp, fam = (batch.column(i).to_numpy(zero_copy_only=False).astype(np.int64) for i in (0, 1, 3, 4))
             toks = [np.frombuffer(x, U8) for x in batch.column(2).to_pylist()]
             m = np.fromiter(map(len, toks), np.int64, len(toks))
             q = _prefix(n, m)
@@ -213,7 +216,7 @@ def _postings(buckets: int):
             for a, b in zip(cuts[:-1], cuts[1:], strict=True):
                 o = order[a:b]
                 keys.append(int(bucket[o[0]]))
-                blobs.append(np.stack([tok[o].view(np.int64), sid[row[o]], n[row[o]], comp[row[o]], place[o]]).astype("<i8").tobytes())
+                blobs.append(np.stack([tok[o].view(np.int64), sid[row[o]], n[row[o]], comp[row[o]], fam[row[o]], place[o]]).astype("<i8").tobytes())
             if keys:
                 yield _packed(keys, blobs, "bucket")
 
@@ -223,39 +226,61 @@ def _postings(buckets: int):
 def _groups(batches):
     """The postings of each bucket, sorted by token and set, and where each token begins."""
     for _, blobs in by_key(batches):
-        tok, sid, n, comp, place = np.concatenate([np.frombuffer(x, "<i8").reshape(5, -1) for x in blobs], axis=1)
+        tok, sid, n, comp, fam, place = np.concatenate([np.frombuffer(x, "<i8").reshape(6, -1) for x in blobs], axis=1)
         order = np.lexsort((sid, tok))
-        tok, sid, n, comp, place = tok[order], sid[order], n[order], comp[order], place[order]
-        yield sid, n, comp, place, np.r_[np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]), len(tok)]
+        tok, sid, n, comp, fam, place = tok[order], sid[order], n[order], comp[order], fam[order], place[order]
+        yield sid, n, comp, fam, place, np.r_[np.flatnonzero(np.r_[True, tok[1:] != tok[:-1]]), len(tok)]
 
 
 def _pairs(a: np.ndarray, b: np.ndarray) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(np.minimum(a, b)), pa.array(np.maximum(a, b))], ["a", "b"])
 
 
-def _hub_pairs(seed: int):
-    """Each set with the hub of its token's group, if they lie in different components."""
-
-    def run(batches):
-        for sid, n, comp, _, cuts in _groups(batches):
-            rank = mix(sid.view(np.uint64) ^ np.uint64(seed))
-            per = np.diff(cuts)
-            least = np.repeat(np.minimum.reduceat(rank, cuts[:-1]), per)
-            hub = np.zeros(len(sid), np.int64)
-            at = np.flatnonzero(rank == least)
-            at = at[np.r_[True, np.diff(np.searchsorted(cuts, at, "right")) != 0]]
-            hub = np.repeat(at, per)
-            ok = (comp != comp[hub]) & _alike(n, n[hub])
-            got = np.unique(np.stack([sid[ok], sid[hub[ok]]]), axis=1)
-            if got.shape[1]:  # the hub comes second: one is chosen for each set
-                yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1])], ["b", "a"])
-
-    return run
+def _hubs(batches):
+    """Each set with the hub of each of its tokens' groups, the member of the least hash; how often."""
+    for sid, n, _, _, _, cuts in _groups(batches):
+        rank, per = mix(sid.view(np.uint64)), np.diff(cuts)
+        hub = np.repeat(np.flatnonzero(rank == np.repeat(np.minimum.reduceat(rank, cuts[:-1]), per)), per)
+        ok = (sid != sid[hub]) & _alike(n, n[hub])
+        got, times = np.unique(np.stack([sid[ok], sid[hub[ok]]]), axis=1, return_counts=True)
+        if got.shape[1]:
+            yield pa.RecordBatch.from_arrays([pa.array(got[0]), pa.array(got[1]), pa.array(times)], ["sid", "fam", "times"])
+
+
+def _family_links(batches):
+    """Links inside a block, or between two blocks, of a family: as many as connect what is connected."""
+    for _, rows in rows_by_key(batches):
+        rows.sort(key=lambda r: r[0])
+        sid, n = (np.array([r[i] for r in rows], np.int64) for i in (0, 1))
+        toks = [np.frombuffer(r[2], U8) for r in rows]
+        _, col = np.unique(np.concatenate(toks), return_inverse=True)
+        row = np.repeat(np.arange(len(rows)), [len(t) for t in toks])
+        both, wide = np.zeros((len(rows), len(rows)), np.float32), 8192
+        order = np.argsort(col, kind="stable")
+        cuts = np.searchsorted(col[order], np.arange(0, int(col.max()) + wide + 1, wide))
+        for k in range(len(cuts) - 1):
+            o = order[cuts[k] : cuts[k + 1]]
+            has = np.zeros((len(rows), wide), np.float32)
+            has[row[o], col[o] - k * wide] = 1
+            both += has @ has.T
+        both = both.astype(np.int64)
+        alike = 100 * both >= 80 * (n[:, None] + n[None, :] - both)
+        left, a, b = np.ones(len(rows), bool), [], []
+        for i in range(len(rows)):
+            if not left[i]:
+                continue
+            left[i], front = False, np.array([i])
+            while len(front):
+                front = np.flatnonzero(alike[front].any(axis=0) & left)
+                left[front] = False
+                a.extend([sid[i]] * len(front))
+                b.extend(sid[front])
+        yield _pairs(np.array(a, np.int64), np.array(b, np.int64))
 
 
 def _cross_pairs(batches):
     """All pairs of a token's group that lie in different components and pass length and position."""
-    for sid, n, comp, place, cuts in _groups(batches):
+    for sid, n, comp, fam, place, cuts in _groups(batches):
         found = []
         for lo, hi in zip(cuts[:-1].tolist(), cuts[1:].tolist(), strict=True):
             if hi - lo < 2 or (comp[lo:hi] == comp[lo]).all():
@@ -263,8 +288,8 @@ def _cross_pairs(batches):
             for i in range(lo, hi - 1):
                 j = slice(i + 1, hi)
                 need = (4 * (n[i] + n[j]) + 8) // 9  # least intersection: 0.8 / 1.8 of both sizes
-                rest = 1 + np.minimum(n[i] - place[i], n[j] - place[j]) - 1 + np.minimum(place[i], place[j])
-                ok = np.flatnonzero((comp[j] != comp[i]) & _alike(n[i], n[j]) & (rest >= need)) + i + 1
+                rest = np.minimum(n[i] - place[i], n[j] - place[j])  # holds at the first token they share
+                ok = np.flatnonzero((comp[j] != comp[i]) & (fam[j] != fam[i]) & _alike(n[i], n[j]) & (rest >= need)) + i + 1
                 if len(ok):
                     found.append(np.stack([np.full(len(ok), sid[i]), sid[ok]]))
         if found:
@@ -313,23 +338,27 @@ def set_links(docs: DataFrame, text: str = "text") -> DataFrame:
     runs = docs.select(text).mapInArrow(_token_runs(16 * p), "bucket int, run binary")
     shared = dealt(runs, "bucket").mapInArrow(_shared_tokens(2 * p), "grp int, run binary")
     sets = stage(dealt(shared, "grp").mapInArrow(_surviving_sets, "sid long, n int, toks binary, cls binary"), "sets")
-    links, labels = [], None
-    for how in (_hub_pairs(1), _hub_pairs(0x2545F4914F6CDD1D), _cross_pairs):
-        known = sets.select("sid", "n", "toks", F.col("sid").alias("comp"))
-        if labels is not None:
-            known = sets.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "toks", F.coalesce("component", "sid").alias("comp"))
-        posted = dealt(known.mapInArrow(_postings(4 * p), "bucket int, run binary"), "bucket")
-        if how is _cross_pairs:
-            pairs = posted.mapInArrow(how, "a long, b long").distinct()
-        else:
-            pairs = posted.mapInArrow(how, "b long, a long").groupBy("b").agg(F.min("a").alias("a"))
-        links.append(stage(_verified(pairs, sets), "links"))
-        found = links[0]
-        for more in links[1:]:
-            found = found.unionByName(more)
-        if labels is not None:
-            release(labels)
-        labels = components(found)
+    post = lambda df: dealt(df.mapInArrow(_postings(4 * p), "bucket int, run binary"), "bucket")
+    alone = sets.select("sid", "n", "toks", F.col("sid").alias("comp"), F.col("sid").alias("fam"))
+    met = post(alone).mapInArrow(_hubs, "sid long, fam long, times long").groupBy("sid", "fam").agg(F.sum("times").alias("times"))
+    own = met.groupBy("sid").agg(F.max_by("fam", F.struct("times", "fam")).alias("fam"))
+    family = stage(sets.join(own, "sid", "left").select("sid", "n", "toks", F.coalesce("fam", "sid").alias("fam")), "family")
+
+    # all members of a family meet in blocks: block i with block j, for every two blocks
+    sizes = family.groupBy("fam").agg(F.count(F.lit(1)).alias("members")).where("members > 1")
+    cut = family.join(sizes, "fam").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
+    met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    key = F.xxhash64("fam", F.least("block", "other"), F.greatest("block", "other"))
+    inside = stage(dealt(met.select(key.alias("key"), "sid", "n", "toks"), "key").mapInArrow(_family_links, "a long, b long"), "links")
+    labels = components(inside)
+
+    # what lies in other families: pairs by any prefix token, unless they are connected already
+    known = family.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "toks", F.coalesce("component", "sid").alias("comp"), "fam")
+    pairs = post(known).mapInArrow(_cross_pairs, "a long, b long").distinct()
+    across = stage(_verified(pairs, sets), "links")
+    release(labels, family)
+    links = [inside, across]
+    labels = components(inside.unionByName(across))
     release(sets, *links)
     return labels.select(F.col("id").alias("sid"), "component")
 
