@@ -1 +1 @@
-
+"""Composite queries; importing this package registers all of them."""
