@@ -1,5 +1,131 @@
-"""Line dedup (being written)."""
+"""Line dedup: an exact set-similarity join over lines, in DataFrame operations only.
 
+A line is what lies between two newlines; its tokens are its distinct five-word shingles (words are
+cut at white space and lower-cased; a line of fewer words is one token). Two lines match when the
+Jaccard similarity of their token sets is 0.8 or more. A line goes if an earlier line, in the order
+of doc_id and line number, matches it. Lines without words never match and stay.
 
-def without_repeated_lines(docs):
-    raise NotImplementedError
+Plan
+1. Equal lines collapse to classes by a hash of their words, with the first place of each class;
+   partial aggregation keeps a line that a third of all documents hold from meeting in one task.
+2. A class's tokens are ordered by rarity: a token is as rare as its rarest word, whose count comes
+   from a table of word counts by hash slot (SLOTS numbers, whatever the corpus holds); ties go by
+   the token's hash. All but 80 % of the tokens, and one more, form the prefix.
+3. Prefix tokens that lie in one class only are dropped by a window count; the others are joined,
+   under the length filter (neither set is a quarter larger than the other) and the positional
+   filter (the first shared token leaves room for the intersection).
+4. Candidate pairs meet their classes' token arrays again and are verified exactly.
+"""
+
+from __future__ import annotations
+
+from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import functions as F
+
+from quern.llm.common import stage
+
+SHINGLE = 5
+#: Hash slots of the table of word counts: 256 KB, whatever the size of the corpus.
+SLOTS = 1 << 16
+
+
+def _words(line: str) -> Column:
+    return F.filter(F.split(F.lower(F.col(line)), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+
+
+def lines_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """key, line_no (from 0), words: one row a line of every text; a null text has no line."""
+    split = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
+    return split.select("doc_id", "line_no", _words("line").alias("words"))
+
+
+def _slot(word: Column) -> Column:
+    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+
+
+def word_counts(lines: DataFrame) -> DataFrame:
+    """One row: an array of SLOTS counts, of all words of all lines by hash slot."""
+    slots = lines.select(F.explode("words").alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    full = lines.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
+    ordered = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
+    return full.agg(F.transform(ordered, lambda x: x["n"]).alias("counts"))
+
+
+def _tokens(counts: str, words: str) -> Column:
+    """Distinct shingles of a line, rarest first: structs of rarity and hash."""
+    w, n = F.col(words), F.size(words)
+    each = lambda i: F.struct(
+        F.least(*[F.get(F.col("freq"), i + k) for k in range(SHINGLE)]).alias("r"),
+        F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).alias("t"),
+    )
+    long = F.transform(F.sequence(F.lit(0), n - SHINGLE), each)
+    short = F.array(F.struct(F.array_min("freq").alias("r"), F.xxhash64(w, F.lit(SHINGLE)).alias("t")))
+    return F.when(n >= SHINGLE, F.array_sort(F.array_distinct(long))).otherwise(short)
+
+
+def classes_of(lines: DataFrame) -> DataFrame:
+    """Distinct lines: h, first (doc_id, line_no), words."""
+    some = lines.where(F.size("words") > 0)
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", F.array_join("words", " ").alias("line"))
+    return some.groupBy(F.xxhash64("words").alias("h")).agg(F.min(place).alias("first")).select("h", F.col("first").dropFields("line").alias("first"), F.split("first.line", " ").alias("words"))
+
+
+def matching_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """h of every class of equal lines that matches an earlier, different class."""
+    lines = lines_of(docs, text, key)
+    counts = stage(word_counts(lines), "counts")  # one row of a fixed size
+    classes = classes_of(lines).crossJoin(F.broadcast(counts))
+    classes = classes.withColumn("freq", F.transform("words", lambda w: F.get(F.col("counts"), _slot(w)))).withColumn("toks", _tokens("freq", "words"))
+    classes = classes.select("h", "first", F.transform("toks", lambda t: t["t"]).alias("toks")).withColumn("n", F.size("toks"))
+
+    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
+    posted = classes.select("h", "n", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok"))
+    posted = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1").drop("df")
+    a, b = (posted.select("tok", *(F.col(c).alias(c + s) for c in ("h", "n", "pos"))) for s in "ab")
+    need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
+    pairs = (
+        a.join(b, "tok")
+        .where("ha < hb and 5 * na >= 4 * nb and 5 * nb >= 4 * na")
+        .where(F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= need)
+        .select("ha", "hb")
+        .distinct()
+    )
+    side = lambda s: classes.select(*(F.col(c).alias(c + s) for c in ("h", "first", "toks")))
+    both = pairs.join(side("a"), "ha").join(side("b"), "hb").withColumn("common", F.size(F.array_intersect("toksa", "toksb")))
+    linked = both.where("100 * common >= 80 * (size(toksa) + size(toksb) - common)")
+    return linked.select(F.when(F.col("firsta") < F.col("firstb"), F.col("hb")).otherwise(F.col("ha")).alias("h")).distinct()
+
+
+def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """doc_id, line_no of the lines that go.
+
+    Null texts have no line; lines without words stay; rows that repeat as a whole count as one
+    document (a line number's first row stays in each); a null doc_id comes after all others.
+    """
+    lines = lines_of(docs, text, key).where(F.size("words") > 0).select("doc_id", "line_no", F.xxhash64("words").alias("h"))
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
+    first = lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
+    near = stage(matching_lines(docs, text, key), "near")
+    judged = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near")
+    return lines.join(judged, "h").where(F.col("near").isNotNull() | ~(place.eqNullSafe(F.col("first")))).select("doc_id", "line_no")
+
+
+def line_decisions(docs: DataFrame) -> DataFrame:
+    """doc_id, n_lines, n_removed, removed (line numbers, ascending) of every document."""
+    gone = repeated_lines(docs).groupBy("doc_id").agg(F.array_sort(F.collect_set("line_no")).alias("removed"))
+    own = docs.select("doc_id", F.coalesce(F.size(F.split("text", "\n", -1)), F.lit(0)).alias("n_lines"))
+    own = own.withColumn("n_lines", F.greatest("n_lines", F.lit(0)).cast("long"))
+    full = own.join(gone, own["doc_id"].eqNullSafe(gone["doc_id"]), "left").drop(gone["doc_id"])
+    empty = F.array().cast("array<int>")
+    return full.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", empty).alias("removed")).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
+
+
+def without_repeated_lines(docs: DataFrame) -> DataFrame:
+    """docs with the lines that go taken out of text; all columns kept; n_chars, if there, follows."""
+    gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
+    kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
+    full = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
+    full = full.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    if "n_chars" in docs.columns:
+        full = full.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
+    return full.select(*docs.columns)
