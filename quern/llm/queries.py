@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from quern.llm import chunk_store, decontaminate, ngram_join, packing, toxicity
+from quern.llm import chunk_store, decontaminate, line_dedup, ngram_join, packing, substring_dedup, topk, toxicity, warc, wrapper
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -17,10 +17,26 @@ def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
 
 
+def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+
+
+def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring_dedup.repeats_removed(table(spark, sf_dir, "documents"))
+
+
+def op4_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.page_records(table(spark, sf_dir, "pages"))
+
+
 def op5_benchmark_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate.judged(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_exact_top_k(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return topk.top_k(table(spark, sf_dir, "embeddings"))
+
+
 def op7_token_store(spark: SparkSession, sf_dir: str) -> DataFrame:
     return chunk_store.stored(table(spark, sf_dir, "documents")).read_back()
 
@@ -29,16 +45,28 @@ def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.scores(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return wrapper.main_texts(table(spark, sf_dir, "pages"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack(table(spark, sf_dir, "documents"))
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
-    "op1_ngram_jaccard_join": op1_ngram_jaccard_join,
-    "op5_benchmark_decontamination": op5_benchmark_decontamination,
-    "op7_token_store": op7_token_store,
-    "op8_toxicity": op8_toxicity,
-    "op10_packing": op10_packing,
+    f.__name__: f
+    for f in (
+        op1_ngram_jaccard_join,
+        op2_line_dedup,
+        op3_substring_dedup,
+        op4_warc,
+        op5_benchmark_decontamination,
+        op6_exact_top_k,
+        op7_token_store,
+        op8_toxicity,
+        op9_html_extraction,
+        op10_packing,
+    )
 }
 
 ORACLES: dict[str, str] = {}
