@@ -89,7 +89,8 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     digits = [f"b{b}" for b in range(top, -1, -1)]
     count = lambda b: F.expr(f"doc_tokens div {sequence}") if b == top else F.expr(f"shiftright(doc_tokens, {b}) & 1")
     counted = cut.select("*", *(count(b).alias(f"b{b}") for b in range(top, -1, -1)))
-    numbered = numbered_files(counted, digits, "doc_id")
+    # written before it is dealt out by ranges, which looks at its rows twice: texts are encoded once
+    numbered = numbered_files(stage(counted, "cut"), digits, "doc_id")
     # the number of sequences in the longer buckets, over all documents: one row
     totals = numbered.agg(*[F.coalesce(F.max(F.col(f"{d}_before") + F.col(d)), F.lit(0)).alias(d) for d in digits]).first()
     base, first = {}, 0

@@ -1,21 +1,32 @@
 """Token ids by a public vocabulary, with a cache of words that lives as long as its Python worker.
 
-A word between white space is encoded by the library once a worker, then looked up: the
-vocabulary's normaliser and splitter never look across white space, so the ids of a text are those
-of its words in order. A text that holds the string of a special token goes to the library whole.
+A word between white space is encoded by the library once a worker, then looked up: the vocabulary's
+normaliser (which lower-cases) and splitter never look across white space, so the ids of a text are
+those of its words in order. The splitter also cuts between a letter or digit and the symbols behind
+it, so a word that symbols end is put together from the ids of both parts. Words of letters alone are
+encoded many at a time, and their ids told apart by the vocabulary's mark for the end of a word.
 """
 
 from __future__ import annotations
 
 import os
+import re
 
 import numpy as np
 
+from quern.llm.common import LOWER, gather
+
 #: The id that ends a document.
 END = 1
 #: Words that a worker remembers.
 REMEMBERED = 700_000
 
+#: Where symbols begin that end a word after an ASCII or Latin-1 letter or a digit; words of such letters.
+_TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-/:-@\[-`{-~]+(?=[\x09-\x0d\x20]|$)")
+_LETTERS = re.compile(rb"(?:[a-z]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf])+")
+#: Words that are encoded as one text.
+TOGETHER = 500
+
 _codecs: dict[str, WordCodec] = {}
 
 
@@ -35,6 +46,9 @@ class WordCodec(dict):
         super().__init__()
         self.codec = Tokenizer.from_file(path)
         self.codec.encode_special_tokens = True  # their strings in a text are ordinary text
+        vocabulary = self.codec.get_vocab(with_added_tokens=True)
+        self.ends_word = np.zeros(max(vocabulary.values()) + 1, bool)
+        self.ends_word[[i for t, i in vocabulary.items() if t.endswith("</w>")]] = True
         self.clear()
 
     def clear(self) -> None:
@@ -44,23 +58,53 @@ class WordCodec(dict):
         self.count = 0
 
     def learn(self, words: list[bytes]) -> None:
-        if self.count + len(words) > REMEMBERED and self.count:
-            self.clear()
-        got = [x.ids for x in self.codec.encode_batch_fast([w.decode() for w in words], add_special_tokens=False)]
-        per = np.fromiter(map(len, got), np.int64, len(got))
-        first, need = int(self.begin[self.count]), int(per.sum())
+        """Remembers words: those with symbols at their end from their parts, the others by the library."""
+        whole, joined, need = [], [], {}
+        for w in words:
+            if m := _TAIL.search(w):
+                base, tail = w[: m.start()], w[m.start() :]
+                joined.append((w, base, tail))
+                need[base] = need[tail] = None
+            else:
+                whole.append(w)
+        own = set(whole)
+        self._encoded([*whole, *(w for w in need if w not in self and w not in own)])
+        if joined:
+            parts = np.fromiter((self[p] for _, base, tail in joined for p in (base, tail)), np.int64, 2 * len(joined))
+            size = self.begin[parts + 1] - self.begin[parts]
+            self._add([w for w, _, _ in joined], self.ids[gather(self.begin[parts], size)], size[::2] + size[1::2])
+
+    def _encoded(self, words: list[bytes]) -> None:
+        plain = [w for w in words if _LETTERS.fullmatch(w)]
+        rest = [w for w in words if not _LETTERS.fullmatch(w)]
+        parts = [plain[i : i + TOGETHER] for i in range(0, len(plain), TOGETHER)]
+        ids, sizes = [np.empty(0, np.uint32)], [np.empty(0, np.int64)]
+        for part, x in zip(parts, self.codec.encode_batch_fast([b" ".join(p).decode() for p in parts], add_special_tokens=False), strict=True):
+            own = np.array(x.ids, np.uint32)
+            ends = np.flatnonzero(self.ends_word[own]) + 1
+            if len(ends) != len(part):
+                raise ValueError("this vocabulary does not mark the ends of words")
+            ids.append(own)
+            sizes.append(np.diff(np.r_[0, ends]))
+        for x in self.codec.encode_batch_fast([w.decode() for w in rest], add_special_tokens=False):
+            ids.append(np.array(x.ids, np.uint32))
+            sizes.append(np.array([len(x.ids)]))
+        self._add(plain + rest, np.concatenate(ids), np.concatenate(sizes))
+
+    def _add(self, words: list[bytes], ids: np.ndarray, per: np.ndarray) -> None:
+        first, need = int(self.begin[self.count]), len(ids)
         while first + need > len(self.ids):
             self.ids = np.concatenate([self.ids, np.empty_like(self.ids)])
         while self.count + len(words) + 1 > len(self.begin):
             self.begin = np.concatenate([self.begin, np.zeros_like(self.begin)])
-        self.ids[first : first + need] = np.fromiter((i for x in got for i in x), np.uint32, need)
+        self.ids[first : first + need] = ids
         self.begin[self.count + 1 : self.count + 1 + len(words)] = first + np.cumsum(per)
         self.update(zip(words, range(self.count, self.count + len(words)), strict=True))
         self.count += len(words)
 
     def encode(self, texts: list[bytes | None]) -> tuple[np.ndarray, np.ndarray]:
         """(ids of all texts, number of each): every text ends with END; a null text is empty."""
-        split = [(t or b"").split() for t in texts]
+        split = [(t or b"").translate(LOWER).split() for t in texts]
         words = [w for s in split for w in s]
         new = [w for w in dict.fromkeys(words) if w not in self]
         if new and self.count + len(new) > REMEMBERED:
