@@ -1 +1,3 @@
 """Composite queries; importing this package registers all of them."""
+
+from quern.plans import periods, rollups  # noqa: F401
