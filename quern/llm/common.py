@@ -144,8 +144,9 @@ def rows_by_key(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, list[t
 
 
 def dealt(df: DataFrame, key: str) -> DataFrame:
-    """Rows with equal keys in one partition, in key order there."""
-    return df.repartition(width(df.sparkSession), key).sortWithinPartitions(key)
+    """Rows with equal keys in one partition, in key order there; as many keys in each as in any other."""
+    n = width(df.sparkSession)
+    return df.repartitionById(n, F.pmod(F.col(key), F.lit(n)).cast("int")).sortWithinPartitions(key)
 
 
 def components(edges: DataFrame) -> DataFrame:

@@ -335,10 +335,10 @@ def set_links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(sid, component) of every set that links with another one; see the module's text."""
     spark = docs.sparkSession
     p = width(spark)
-    runs = docs.select(text).mapInArrow(_token_runs(16 * p), "bucket int, run binary")
-    shared = dealt(runs, "bucket").mapInArrow(_shared_tokens(2 * p), "grp int, run binary")
+    runs = docs.select(text).mapInArrow(_token_runs(p), "bucket int, run binary")
+    shared = dealt(runs, "bucket").mapInArrow(_shared_tokens(p), "grp int, run binary")
     sets = stage(dealt(shared, "grp").mapInArrow(_surviving_sets, "sid long, n int, toks binary, cls binary"), "sets")
-    post = lambda df: dealt(df.mapInArrow(_postings(4 * p), "bucket int, run binary"), "bucket")
+    post = lambda df: dealt(df.mapInArrow(_postings(p), "bucket int, run binary"), "bucket")
     alone = sets.select("sid", "n", "toks", F.col("sid").alias("comp"), F.col("sid").alias("fam"))
     met = post(alone).mapInArrow(_hubs, "sid long, fam long, times long").groupBy("sid", "fam").agg(F.sum("times").alias("times"))
     own = met.groupBy("sid").agg(F.max_by("fam", F.struct("times", "fam")).alias("fam"))

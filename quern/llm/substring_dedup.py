@@ -236,11 +236,11 @@ def batch_runs(docs: DataFrame, buckets: int) -> DataFrame:
 def masked(docs: DataFrame, history: DataFrame | None = None, buckets: int | None = None) -> DataFrame:
     """doc_id, text, masks of every row of docs; masks: the row's windows that start elsewhere too."""
     p = width(docs.sparkSession)
-    buckets = buckets or 16 * p
+    buckets = buckets or 2 * p
     runs = batch_runs(docs, buckets)
     if history is not None:
         runs = runs.unionByName(history)
-    found = dealt(runs, "bucket").mapInArrow(_repeated(4 * p), "grp int, run binary")
+    found = dealt(runs, "bucket").mapInArrow(_repeated(p), "grp int, run binary")
     masks = dealt(found, "grp").mapInArrow(_by_row, "row long, masks binary")
     return docs.select("doc_id", "text", row_key("doc_id", "text").alias("row")).join(masks, "row", "left").select("doc_id", "text", "masks")
 
