@@ -1,3 +1,3 @@
 """Composite queries; importing this package registers all of them."""
 
-from quern.plans import periods, rollups, texts  # noqa: F401
+from quern.plans import panels, periods, rollups, texts  # noqa: F401

@@ -1 +1 @@
-
+"""Rollups that run alike over tables and streams."""
