@@ -25,74 +25,87 @@ from pyspark.sql import functions as F
 from quern.llm.common import stage
 
 SHINGLE = 5
-#: Hash slots of the table of word counts: 256 KB, whatever the size of the corpus.
-SLOTS = 1 << 16
+#: Hash slots of the table of word counts, whatever the size of the corpus.
+SLOTS = 1 << 13
+SPACE = "[ \\t\\n\\x0B\\f\\r]"
+
+
+def _let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
 
 
 def _words(line: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(line)), "[ \\t\\n\\x0B\\f\\r]+"), lambda w: w != "")
+    return F.filter(F.split(F.lower(F.col(line)), f"{SPACE}+"), lambda w: w != "")
 
 
 def lines_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """key, line_no (from 0), words: one row a line of every text; a null text has no line."""
+    """doc_id, line_no (from 0), line: a row for each line with words, which one space sets apart."""
     split = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return split.select("doc_id", "line_no", _words("line").alias("words"))
+    return split.where(F.col("line").rlike(SPACE.replace("[", "[^", 1))).select("doc_id", "line_no", F.array_join(_words("line"), " ").alias("line"))
 
 
 def _slot(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
-def word_counts(lines: DataFrame) -> DataFrame:
-    """One row: an array of SLOTS counts, of all words of all lines by hash slot."""
-    slots = lines.select(F.explode("words").alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    full = lines.sparkSession.range(SLOTS).select(F.col("id").cast("int").alias("slot")).join(slots, "slot", "left")
-    ordered = F.array_sort(F.collect_list(F.struct("slot", F.coalesce("n", F.lit(0)).alias("n"))))
-    return full.agg(F.transform(ordered, lambda x: x["n"]).alias("counts"))
+def word_counts(lines: DataFrame) -> list[int]:
+    """Counts of all words of all lines by hash slot: SLOTS numbers."""
+    slots = lines.select(F.explode(F.split("line", " ")).alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
+    found = dict(slots.collect())
+    return [found.get(k, 0) for k in range(SLOTS)]
 
 
-def _tokens(counts: str, words: str) -> Column:
-    """Distinct shingles of a line, rarest first: structs of rarity and hash."""
-    w, n = F.col(words), F.size(words)
-    each = lambda i: F.struct(
-        F.least(*[F.get(F.col("freq"), i + k) for k in range(SHINGLE)]).alias("r"),
-        F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).alias("t"),
-    )
-    long = F.transform(F.sequence(F.lit(0), n - SHINGLE), each)
-    short = F.array(F.struct(F.array_min("freq").alias("r"), F.xxhash64(w, F.lit(SHINGLE)).alias("t")))
-    return F.when(n >= SHINGLE, F.array_sort(F.array_distinct(long))).otherwise(short)
+def _shingles(w: Column) -> Column:
+    """Distinct token hashes of a line's words, in no order."""
+    n = F.size(w)
+    long = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+    return F.when(n >= SHINGLE, F.array_distinct(long)).otherwise(F.array(F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE))))
+
+
+def _ranked(w: Column, counts: Column) -> Column:
+    """Distinct tokens of a line's words, rarest first: structs of rarity r and hash t."""
+
+    def of(f: Column) -> Column:
+        n = F.size(w)
+        each = lambda i: F.struct(F.least(*[F.get(f, i + k) for k in range(SHINGLE)]).alias("r"), F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).alias("t"))
+        long = F.transform(F.sequence(F.lit(0), n - SHINGLE), each)
+        short = F.array(F.struct(F.array_min(f).alias("r"), F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE)).alias("t")))
+        return F.when(n >= SHINGLE, F.sort_array(F.array_distinct(long))).otherwise(short)
+
+    return _let(F.transform(w, lambda x: F.get(counts, _slot(x))), of)
 
 
 def classes_of(lines: DataFrame) -> DataFrame:
-    """Distinct lines: h, first (doc_id, line_no), words."""
-    some = lines.where(F.size("words") > 0)
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", F.array_join("words", " ").alias("line"))
-    return some.groupBy(F.xxhash64("words").alias("h")).agg(F.min(place).alias("first")).select("h", F.col("first").dropFields("line").alias("first"), F.split("first.line", " ").alias("words"))
+    """Distinct lines: h, first place (struct), line."""
+    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "line")
+    return lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min(place).alias("first")).select("h", F.col("first").dropFields("line").alias("first"), F.col("first.line").alias("line"))
 
 
 def matching_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """h of every class of equal lines that matches an earlier, different class."""
     lines = lines_of(docs, text, key)
-    counts = stage(word_counts(lines), "counts")  # one row of a fixed size
-    classes = classes_of(lines).crossJoin(F.broadcast(counts))
-    classes = classes.withColumn("freq", F.transform("words", lambda w: F.get(F.col("counts"), _slot(w)))).withColumn("toks", _tokens("freq", "words"))
-    classes = classes.select("h", "first", F.transform("toks", lambda t: t["t"]).alias("toks")).withColumn("n", F.size("toks"))
+    counts = F.split(F.lit(",".join(map(str, word_counts(lines)))), ",").cast("array<long>")  # folded to a constant
+    classes = classes_of(lines)
+    toks = classes.select("h", _let(F.split("line", " "), lambda w: _ranked(w, counts)).alias("toks")).withColumn("n", F.size("toks"))
 
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    posted = classes.select("h", "n", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok"))
-    posted = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("tok"))).where("df > 1").drop("df")
-    a, b = (posted.select("tok", *(F.col(c).alias(c + s) for c in ("h", "n", "pos"))) for s in "ab")
+    posted = toks.select("h", "n", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok")).select("h", "n", "pos", "tok.t")
+    posted = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1").drop("df")
+    a, b = (posted.select("t", *(F.col(c).alias(c + s) for c in ("h", "n", "pos"))) for s in "ab")
     need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
     pairs = (
-        a.join(b, "tok")
+        a.join(b, "t")
         .where("ha < hb and 5 * na >= 4 * nb and 5 * nb >= 4 * na")
         .where(F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= need)
         .select("ha", "hb")
         .distinct()
     )
-    side = lambda s: classes.select(*(F.col(c).alias(c + s) for c in ("h", "first", "toks")))
-    both = pairs.join(side("a"), "ha").join(side("b"), "hb").withColumn("common", F.size(F.array_intersect("toksa", "toksb")))
-    linked = both.where("100 * common >= 80 * (size(toksa) + size(toksb) - common)")
+    side = lambda s: classes.select(*(F.col(c).alias(c + s) for c in ("h", "first", "line")))
+    both = pairs.join(side("a"), "ha").join(side("b"), "hb")
+    sets = lambda c: _let(F.split(c, " "), _shingles)  # noqa: E731  only of lines that are candidates
+    both = both.select("ha", "hb", "firsta", "firstb", _let(sets("linea"), lambda x: _let(sets("lineb"), lambda y: F.struct(F.size(F.array_intersect(x, y)).alias("common"), F.size(x).alias("na"), F.size(y).alias("nb")))).alias("v"))
+    linked = both.where("100 * v.common >= 80 * (v.na + v.nb - v.common)")
     return linked.select(F.when(F.col("firsta") < F.col("firstb"), F.col("hb")).otherwise(F.col("ha")).alias("h")).distinct()
 
 
@@ -102,7 +115,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Null texts have no line; lines without words stay; rows that repeat as a whole count as one
     document (a line number's first row stays in each); a null doc_id comes after all others.
     """
-    lines = lines_of(docs, text, key).where(F.size("words") > 0).select("doc_id", "line_no", F.xxhash64("words").alias("h"))
+    lines = lines_of(docs, text, key).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     near = stage(matching_lines(docs, text, key), "near")

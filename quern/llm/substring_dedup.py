@@ -264,7 +264,7 @@ class FingerprintIndex:
     """
 
     def __init__(self, spark: SparkSession, path: str):
-        self.spark, self.path, self.generations = spark, path.rstrip("/"), []
+        self.spark, self.path, self.generations, self.batches = spark, path.rstrip("/"), [], 0
 
     def _history(self) -> DataFrame | None:
         parts = [self.spark.read.schema("bucket int, run binary").parquet(g) for g in self.generations]
@@ -275,7 +275,7 @@ class FingerprintIndex:
 
     def add(self, docs: DataFrame) -> DataFrame:
         kept = masked(docs, self._history(), BUCKETS).select("doc_id", "text", "masks").mapInArrow(_texts, "doc_id long, text string")
-        n = len(self.generations)
+        n, self.batches = self.batches, self.batches + 1
         kept.write.parquet(f"{self.path}/kept-{n}")
         run = f"{self.path}/run-{n}"
         dealt(batch_runs(docs, BUCKETS), "bucket").mapInArrow(_merged, "bucket int, run binary").write.parquet(run)
@@ -284,7 +284,7 @@ class FingerprintIndex:
 
     def compact(self) -> FingerprintIndex:
         if len(self.generations) > 1:
-            path = f"{self.path}/merged-{len(self.generations)}-{hashlib.sha256(''.join(self.generations).encode()).hexdigest()[:8]}"
+            path = f"{self.path}/merged-{self.batches}"
             dealt(self._history(), "bucket").mapInArrow(_merged, "bucket int, run binary").write.parquet(path)
             self.generations = [path]
         return self
