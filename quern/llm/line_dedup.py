@@ -49,31 +49,33 @@ def _slot(word: Column) -> Column:
     return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
 
 
-def word_counts(lines: DataFrame) -> list[int]:
-    """Counts of all words of all lines by hash slot: SLOTS numbers."""
-    slots = lines.select(F.explode(F.split("line", " ")).alias("w")).groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n"))
-    found = dict(slots.collect())
-    return [found.get(k, 0) for k in range(SLOTS)]
+def word_classes(docs: DataFrame, text: str = "text") -> list[int]:
+    """Rarity classes of words by hash slot: the logarithm of the count of all words in the slot."""
+    words = docs.select(F.explode(F.split(F.lower(F.col(text)), f"{SPACE}+")).alias("w"))
+    found = dict(words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect())
+    return [found.get(k, 0).bit_length() for k in range(SLOTS)]
 
 
-def _shingles(w: Column) -> Column:
-    """Distinct token hashes of a line's words, in no order."""
+def _each(w: Column, token, whole) -> Column:
+    """Distinct tokens of a line's words w: token(i) for each five words from i on; whole() for a shorter line."""
     n = F.size(w)
-    long = F.transform(F.sequence(F.lit(0), n - SHINGLE), lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-    return F.when(n >= SHINGLE, F.array_distinct(long)).otherwise(F.array(F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE))))
+    return F.when(n >= SHINGLE, F.array_distinct(F.transform(F.sequence(F.lit(0), n - SHINGLE), token))).otherwise(F.array(whole()))
+
+
+def _shingles(w: Column) -> Column:
+    """Token hashes, in no order."""
+    return _each(w, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), lambda: F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE)))
 
 
-def _ranked(w: Column, counts: Column) -> Column:
-    """Distinct tokens of a line's words, rarest first: structs of rarity r and hash t."""
+def _ranked(w: Column, classes: Column) -> Column:
+    """Tokens, rarest first: a token's rarity class over 56 bits of its hash, as one number."""
+    packed = lambda c, h: F.shiftleft(c.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
     def of(f: Column) -> Column:
-        n = F.size(w)
-        each = lambda i: F.struct(F.least(*[F.get(f, i + k) for k in range(SHINGLE)]).alias("r"), F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]).alias("t"))
-        long = F.transform(F.sequence(F.lit(0), n - SHINGLE), each)
-        short = F.array(F.struct(F.array_min(f).alias("r"), F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE)).alias("t")))
-        return F.when(n >= SHINGLE, F.sort_array(F.array_distinct(long))).otherwise(short)
+        token = lambda i: packed(F.least(*[F.get(f, i + k) for k in range(SHINGLE)]), F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
+        return F.sort_array(_each(w, token, lambda: packed(F.array_min(f), F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE)))))
 
-    return _let(F.transform(w, lambda x: F.get(counts, _slot(x))), of)
+    return _let(F.transform(w, lambda x: F.get(classes, _slot(x))), of)
 
 
 def classes_of(lines: DataFrame) -> DataFrame:
@@ -84,13 +86,12 @@ def classes_of(lines: DataFrame) -> DataFrame:
 
 def matching_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
     """h of every class of equal lines that matches an earlier, different class."""
-    lines = lines_of(docs, text, key)
-    counts = F.split(F.lit(",".join(map(str, word_counts(lines)))), ",").cast("array<long>")  # folded to a constant
-    classes = classes_of(lines)
-    toks = classes.select("h", _let(F.split("line", " "), lambda w: _ranked(w, counts)).alias("toks")).withColumn("n", F.size("toks"))
+    rarity = F.split(F.lit(",".join(map(str, word_classes(docs, text)))), ",").cast("array<int>")  # folded to a constant
+    classes = classes_of(lines_of(docs, text, key))
+    toks = classes.select("h", _let(F.split("line", " "), lambda w: _ranked(w, rarity)).alias("toks")).withColumn("n", F.size("toks"))
 
     prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    posted = toks.select("h", "n", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "tok")).select("h", "n", "pos", "tok.t")
+    posted = toks.select("h", "n", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "t"))
     posted = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1").drop("df")
     a, b = (posted.select("t", *(F.col(c).alias(c + s) for c in ("h", "n", "pos"))) for s in "ab")
     need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
@@ -115,7 +116,7 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Null texts have no line; lines without words stay; rows that repeat as a whole count as one
     document (a line number's first row stays in each); a null doc_id comes after all others.
     """
-    lines = lines_of(docs, text, key).select("doc_id", "line_no", F.xxhash64("line").alias("h"))
+    lines = stage(lines_of(docs, text, key).select("doc_id", "line_no", F.xxhash64("line").alias("h")), "lines")
     place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
     first = lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
     near = stage(matching_lines(docs, text, key), "near")
