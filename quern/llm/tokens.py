@@ -19,7 +19,7 @@ from quern.llm.common import LOWER, gather
 #: The id that ends a document.
 END = 1
 #: Words that a worker remembers.
-REMEMBERED = 700_000
+REMEMBERED = 1_200_000
 
 #: Where symbols begin that end a word after an ASCII or Latin-1 letter or a digit; words of such letters.
 _TAIL = re.compile(rb"(?:(?<=[a-z0-9])|(?<=\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]))[!-/:-@\[-`{-~]+(?=[\x09-\x0d\x20]|$)")
@@ -106,13 +106,15 @@ class WordCodec(dict):
         """(ids of all texts, number of each): every text ends with END; a null text is empty."""
         split = [(t or b"").translate(LOWER).split() for t in texts]
         words = [w for s in split for w in s]
-        new = [w for w in dict.fromkeys(words) if w not in self]
-        if new and self.count + len(new) > REMEMBERED:
-            self.clear()
-            new = list(dict.fromkeys(words))
-        if new:
+        at = [*map(self.get, words)]
+        if None in at:
+            new = [*dict.fromkeys(w for w, i in zip(words, at, strict=True) if i is None)]
+            if self.count + 3 * len(new) > REMEMBERED and self.count:  # a word may bring two parts
+                self.clear()
+                new = [*dict.fromkeys(words)]
             self.learn(new)
-        k = np.fromiter(map(self.__getitem__, words), np.int64, len(words))
+            at = [*map(self.__getitem__, words)]
+        k = np.array(at, np.int64)
         per = self.begin[k + 1] - self.begin[k]
         starts = np.repeat(self.begin[k] - (np.cumsum(per) - per), per)
         ids = self.ids[starts + np.arange(len(starts))]
