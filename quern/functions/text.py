@@ -184,7 +184,11 @@ ENTITY_PATTERNS = {
 def entities(c: Column, patterns: dict[str, str] | None = None) -> Column:
     """Spans of all types: priority (the type's place in the list), start, end, type, text."""
     own = patterns or ENTITY_PATTERNS
-    return F.concat(*[F.transform(spans(c, p), lambda s, k=k, t=t: F.struct(F.lit(k).alias("priority"), s["start"].alias("start"), s["end"].alias("end"), F.lit(t).alias("type"), s["text"].alias("text"))) for k, (t, p) in enumerate(own.items())])
+
+    def of(priority: int, kind: str, pattern: str) -> Column:
+        return F.transform(spans(c, pattern), lambda s: F.struct(F.lit(priority).alias("priority"), s["start"].alias("start"), s["end"].alias("end"), F.lit(kind).alias("type"), s["text"].alias("text")))
+
+    return F.concat(*[of(k, kind, pattern) for k, (kind, pattern) in enumerate(own.items())])
 
 
 def normalize_entity(kind: Column, text: Column) -> Column:
