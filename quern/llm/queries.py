@@ -5,6 +5,7 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from quern.llm import chunk_store, decontaminate, line_dedup, ngram_join, packing, substring_dedup, topk, toxicity, warc, wrapper
 
@@ -14,11 +15,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 
 def op1_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return ngram_join.jaccard_components(table(spark, sf_dir, "documents"))
+    return ngram_join.jaccard_components(table(spark, sf_dir, "documents")).drop("set_id")
 
 
 def op2_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    found = line_dedup.line_decisions(table(spark, sf_dir, "documents"))
+    return found.withColumn("removed", F.array_join("removed", ","))
 
 
 def op3_substring_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -69,4 +71,44 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     )
 }
 
-ORACLES: dict[str, str] = {}
+_LOWER = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_WORDS = r"'[^\x20\x09-\x0D]+'"
+_ALNUM = r"'[^\x00-\x2F\x3A-\x60\x7B-\x7F]+'"
+_SHINGLES = """CASE WHEN len(w) = 0 THEN [] WHEN len(w) < 5 THEN [array_to_string(w, ' ')]
+  ELSE list_distinct(list_transform(range(1, len(w) - 3), lambda i: array_to_string(w[i:i + 4], ' '))) END"""
+
+ORACLES: dict[str, str] = {
+    "op1_ngram_jaccard_join": f"""WITH RECURSIVE d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_WORDS}) AS w FROM documents),
+s AS (SELECT doc_id, {_SHINGLES} AS s FROM d), x AS (SELECT doc_id, len(s) AS n, s FROM s),
+c AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY list_sort(s)) AS rep, n, s FROM x WHERE n > 0),
+t AS (SELECT rep, n, unnest(s) AS t FROM c WHERE doc_id = rep),
+p AS (SELECT a.rep AS a, b.rep AS b FROM t a JOIN t b ON a.t = b.t AND a.rep < b.rep GROUP BY a.rep, b.rep, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))),
+e AS (SELECT a, b FROM p UNION SELECT b, a FROM p UNION SELECT rep, doc_id FROM c WHERE rep <> doc_id UNION SELECT doc_id, rep FROM c WHERE rep <> doc_id),
+r(id, reach) AS (SELECT doc_id, doc_id FROM d UNION SELECT r.id, e.b FROM r JOIN e ON r.reach = e.a)
+SELECT doc_id, n AS n_shingles, component_id FROM x JOIN (SELECT id AS doc_id, min(reach) AS component_id FROM r GROUP BY 1) USING (doc_id)""",
+    "op2_line_dedup": rf"""WITH l AS (SELECT doc_id, unnest(p) AS line, generate_subscripts(p, 1) - 1 AS line_no FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents)),
+w AS (SELECT doc_id, line_no, list_filter(string_split_regex(lower(line), '[ \t\n\v\f\r]+'), lambda x: x <> '') AS w FROM l),
+s AS (SELECT doc_id, line_no, array_to_string(w, ' ') AS line, {_SHINGLES} AS s FROM w WHERE len(w) > 0),
+c AS (SELECT line, min((doc_id, line_no)) AS first, any_value(s) AS s FROM s GROUP BY 1),
+t AS (SELECT line, first, len(s) AS n, unnest(s) AS t FROM c),
+m AS (SELECT DISTINCT b.line FROM (SELECT a.line AS a, b.line AS b FROM t a JOIN t b ON a.t = b.t AND a.first < b.first GROUP BY a.line, b.line, a.n, b.n HAVING 100 * count(*) >= 80 * (a.n + b.n - count(*))) p JOIN c b ON p.b = b.line),
+g AS (SELECT doc_id, list_sort(list(CAST(line_no AS INTEGER))) AS removed FROM s JOIN c USING (line) WHERE (doc_id, line_no) <> first OR line IN (FROM m) GROUP BY 1)
+SELECT doc_id, CAST(coalesce(len(string_split(text, chr(10))), 0) AS BIGINT) AS n_lines, CAST(coalesce(len(removed), 0) AS BIGINT) AS n_removed, coalesce(array_to_string(removed, ','), '') AS removed FROM documents LEFT JOIN g USING (doc_id)""",
+    "op3_substring_dedup": f"""WITH d AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), {_WORDS}) AS w FROM documents),
+x AS (SELECT doc_id, unnest(range(1, len(w) - 33)) AS i, w FROM d), h AS (SELECT doc_id, i, array_to_string(w[i:i + 34], ' ') AS t FROM x),
+r AS (SELECT doc_id, i FROM h JOIN (SELECT t FROM h GROUP BY 1 HAVING count(*) > 1) USING (t)),
+g AS (SELECT DISTINCT doc_id, unnest(range(i, i + 35)) AS k FROM r), y AS (SELECT doc_id, unnest(w) AS word, generate_subscripts(w, 1) AS k FROM d),
+z AS (SELECT doc_id, count(*) AS n, string_agg(word, ' ' ORDER BY k) AS kept FROM y ANTI JOIN g USING (doc_id, k) GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(len(w) - coalesce(n, 0) AS BIGINT) AS n_removed, sha256(coalesce(kept, '')) AS kept_sha256 FROM d LEFT JOIN z USING (doc_id)""",
+    "op5_benchmark_decontamination": f"""WITH b AS (SELECT item_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM benchmark), bl AS (SELECT item_id, w, least(13, len(w)) AS m FROM b WHERE len(w) > 0),
+bw AS (SELECT DISTINCT item_id, m, array_to_string(w[i:i + m - 1], ' ') AS t FROM (SELECT item_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM bl)),
+d AS (SELECT doc_id, regexp_extract_all({_LOWER}, {_ALNUM}) AS w FROM documents),
+dw AS (SELECT doc_id, i, m, array_to_string(w[i:i + m - 1], ' ') AS t FROM (SELECT doc_id, w, m, unnest(range(1, len(w) - m + 2)) AS i FROM d, (SELECT DISTINCT m FROM bw))),
+o AS (SELECT doc_id, i, m, item_id FROM dw JOIN bw USING (m, t)), k AS (SELECT doc_id, count(DISTINCT k) AS n_hit FROM (SELECT doc_id, unnest(range(i, i + m)) AS k FROM o) GROUP BY 1),
+n AS (SELECT doc_id, list_sort(list(DISTINCT CAST(item_id AS VARCHAR))) AS items FROM o GROUP BY 1)
+SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, coalesce(n_hit, 0) AS n_hit, CAST(coalesce(len(items), 0) AS BIGINT) AS n_items, sha256(coalesce(array_to_string(items, ','), '')) AS items_sha256,
+  coalesce(n_hit, 0) > 0 AND 20 * coalesce(n_hit, 0) >= len(w) AS contaminated FROM d LEFT JOIN k USING (doc_id) LEFT JOIN n USING (doc_id)""",
+    "op6_exact_top_k": """WITH v AS (SELECT vec_id, list_transform(embedding, lambda x: floor(256 * CAST(x AS DOUBLE))) AS q FROM embeddings WHERE embedding IS NOT NULL AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0)
+SELECT a.vec_id AS query_id, CAST(row_number() OVER (PARTITION BY a.vec_id ORDER BY list_dot_product(a.q, b.q) DESC, b.vec_id) AS INTEGER) AS rank, b.vec_id, CAST(list_dot_product(a.q, b.q) AS BIGINT) AS score
+FROM v a JOIN v b ON a.vec_id <> b.vec_id WHERE a.vec_id % 50 = 0 QUALIFY rank <= 5""",
+}
