@@ -9,6 +9,7 @@ import random
 import re
 import zlib
 from collections import Counter, defaultdict
+from functools import lru_cache
 
 import numpy as np
 import pytest
@@ -277,11 +278,17 @@ def test_top_k(spark):
     assert [tuple(y) for y in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 128)]
 
 
-def ids_of(text):
+@lru_cache
+def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
     t.encode_special_tokens = True
+    return t
+
+
+def ids_of(text):
+    t = tokenizer()
     return np.array(t.encode(text or "", add_special_tokens=False).ids + [1], "<u4")
 
 
