@@ -134,12 +134,17 @@ def line_decisions(docs: DataFrame) -> DataFrame:
     return full.select("doc_id", "n_lines", F.coalesce(F.size("removed"), F.lit(0)).cast("long").alias("n_removed"), F.coalesce("removed", empty).alias("removed")).withColumn("n_removed", F.greatest("n_removed", F.lit(0)))
 
 
-def without_repeated_lines(docs: DataFrame) -> DataFrame:
-    """docs with the lines that go taken out of text; all columns kept; n_chars, if there, follows."""
+def without_repeated_lines(docs: DataFrame, keep_emptied: bool = True) -> DataFrame:
+    """docs with the lines that go taken out of text; all columns kept; n_chars, if there, follows.
+
+    keep_emptied=False leaves out documents that lose all their words: every line of theirs stands
+    in an earlier document. Documents that never had words stay."""
     gone = repeated_lines(docs).groupBy(F.col("doc_id").alias("_id")).agg(F.collect_set("line_no").alias("_gone"))
     kept = F.array_join(F.filter(F.split("text", "\n", -1), lambda line, i: ~F.array_contains("_gone", i)), "\n")
     full = docs.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")), "left")
     full = full.withColumn("text", F.when(F.col("_gone").isNull(), F.col("text")).otherwise(kept))
+    if not keep_emptied:
+        full = full.where(F.col("_gone").isNull() | F.col("text").rlike(SPACE.replace("[", "[^", 1)))
     if "n_chars" in docs.columns:
         full = full.withColumn("n_chars", F.when(F.col("_gone").isNull(), F.col("n_chars")).otherwise(F.length("text").cast(dict(docs.dtypes)["n_chars"])))
     return full.select(*docs.columns)

@@ -27,6 +27,10 @@ def test_stages_decide(spark):
     bench = spark.read.parquet(f"{DATA}/benchmark.parquet")
     toxic = {r["doc_id"] for r in toxicity.scores(docs, labels).where("predicted = 1").collect()}
     assert {r["doc_id"] for r in toxicity.without_toxic(docs, labels).collect()} == {r["doc_id"] for r in docs.collect()} - toxic
-    assert line_dedup.without_repeated_lines(docs).count() == docs.count()
+    whole = {r["doc_id"]: r["text"] for r in line_dedup.without_repeated_lines(docs).collect()}
+    assert len(whole) == docs.count()
+    left = {r["doc_id"] for r in corpus_pipeline.lines(spark, docs, DATA).collect()}
+    before = {r["doc_id"]: r["text"] for r in docs.collect()}
+    assert left == {i for i, t in whole.items() if t.split() or not before[i].split()} and len(left) < len(whole)
     assert ngram_join.one_of_each(docs).count() == ngram_join.jaccard_components(docs).select("component_id").distinct().count()
     assert decontaminate.clean_of(docs, bench).count() == decontaminate.judged(docs, bench).where("not contaminated").count()
