@@ -387,6 +387,20 @@ def test_wrapper(spark, main):
     assert wrapper.main_texts(pages.limit(0)).count() == 0
 
 
+def texts_of(spark, htmls, host="h.example"):
+    pages = spark.createDataFrame([(i, f"http://{host}/{i}", h) for i, h in enumerate(htmls)], "page_id long, url string, html string")
+    return [x["text"] for x in wrapper.main_texts(pages).orderBy("page_id").collect()]
+
+
+@pytest.mark.parametrize("titles", ["Same", "Title {i}"])
+@pytest.mark.parametrize("page", ["<article>{}</article>", "<main>{}</main>", '<div class="c">{}</div>'])
+def test_wrapper_of_reposted_articles(spark, page, titles):
+    """Most pages of a host carry one article, under menus and adverts of their own: none loses a paragraph."""
+    body = lambda i: (titles.format(i=i), "One story.", "Its end.") if i < 7 else (f"Other {i}", f"Another story {i}.", f"Ends {i}.")
+    htmls = [f"<body><nav>menu {i}</nav><div class='ad'>buy {i}</div>" + page.format("<h1>{}</h1><p>{}</p><p>{}</p>".format(*body(i))) + "<div class='x'>About this site</div></body>" for i in range(10)]
+    assert texts_of(spark, htmls) == ["\n\n".join(body(i)) for i in range(10)]
+
+
 def test_tree_matching():
     a, b = (wrapper.shape(wrapper.tree(h)) for h in ("<div><h1>x</h1><p>1<p>2<ul><li>a</ul></div>", "<div><p>1<ul><li>b<li>c</ul></div>"))
     pairs = {(x.kind, y.kind) for x, y in wrapper.matched(a, b)}
