@@ -401,6 +401,19 @@ def test_wrapper_of_reposted_articles(spark, page, titles):
     assert texts_of(spark, htmls) == ["\n\n".join(body(i)) for i in range(10)]
 
 
+def test_roles():
+    kept = ['<div class="content no-sidebar">{}</div>', '<div id="page" class="has-comments">{}</div>', '<div class="with-sidebar"><article>{}</article></div>', '<div class="sidebar"><h1>T</h1>{}</div>', '<div class="page social"><div class="widget">{}</div></div>', '<article><section id="related-work">{}</section></article>', '<section id="related-work">{}</section>', '<article><h2 id="share-of-revenue">{}</h2></article>', '<article><h2 id="comments">{}</h2></article>', "<article><p>Let <math><mi>{}</mi></math> be</article>"]
+    for html in kept:
+        assert "all of it" in " ".join(wrapper.content_of(f"<body>{html.format('all of it')}</body>", None, None)), html
+    for name in ("ad", "site-footer", "cookie-notice", "nav_menu", "big comments", "ad-300x250"):
+        assert wrapper.content_of(f'<body><article><p>text<div class="{name}">gone</div></article></body>', None, None) == ["text"]
+        assert wrapper.content_of(f'<body><p>a text of its own<div class="{name}">gone</div></body>', None, None) == ["a text of its own"]
+    assert wrapper.content_of('<body><article>text</article><div class="related"><article>teaser of more</article></div></body>', None, None) == ["text"]
+    assert wrapper.content_of('<body><div class="c"><h1>T</h1><p>text</div><div id="comments"><p>many many many readers</div></body>', None, None) == ["T", "text"]
+    assert wrapper.content_of('<body><h1>T</h1><div class="social"><p>text</div></body>', None, None) == ["T", "text"]
+    assert wrapper.content_of('<body><div class="sidebar"><article>text</article></div><div id="comments"><p>many many readers</div></body>', None, None) == ["text"]
+
+
 def test_tree_matching():
     a, b = (wrapper.shape(wrapper.tree(h)) for h in ("<div><h1>x</h1><p>1<p>2<ul><li>a</ul></div>", "<div><p>1<ul><li>b<li>c</ul></div>"))
     pairs = {(x.kind, y.kind) for x, y in wrapper.matched(a, b)}
