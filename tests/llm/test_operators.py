@@ -401,6 +401,32 @@ def test_wrapper_of_reposted_articles(spark, page, titles):
     assert texts_of(spark, htmls) == ["\n\n".join(body(i)) for i in range(10)]
 
 
+ROOTS = [
+    "<article><header><h1>T{i}</h1></header><div class='entry-content'><p>{long}</p></div></article>",
+    "<article><h1>T{i}</h1><p class='lead'>Lead {i}</p><div class='body'><p>{long}</p></div><p class='end'>End {i}</p></article>",
+    "<main><div><h1>T{i}</h1><div class='body'><p>{long}</p></div></div></main>",
+    "<div class='post'><h1>T{i}</h1><div class='body'><p>{long}</p></div></div>",
+    "<div class='post'>By {i}<div class='body'><p>{long}</p></div></div>",
+    "<div class='wrap'><h1>T{i}</h1><article><p>{long}</p></article></div>",
+]
+
+
+@pytest.mark.parametrize("page", ROOTS)
+def test_wrapper_with_a_body_beside_the_title(spark, page):
+    long = lambda i: f"word{i} " * 200 + "end"
+    htmls = [f"<body><nav>menu {i}</nav>" + page.format(i=i, long=long(i)) + "<div class='x'>About this site</div></body>" for i in range(5)]
+    for i, text in enumerate(texts_of(spark, htmls)):
+        assert text == "\n\n".join(x for x in (f"T{i}" * ("<h1>" in page), f"By {i}" * ("By" in page), f"Lead {i}" * ("Lead" in page), long(i), f"End {i}" * ("End" in page)) if x)
+
+
+def test_wrapper_of_extra_blocks(spark):
+    """A block that the host's reference page lacks is no less part of the text."""
+    long = lambda i: f"word{i} " * 200 + "end"
+    lead = lambda i: f"<h3 class='late'>Late {i}</h3>" if i > 2 else ""
+    htmls = [f"<body><nav>menu {i}</nav><div class='post'>{lead(i)}<div class='body'><p>{long(i)}</p></div></div><div class='x'>About this site</div></body>" for i in range(6)]
+    assert texts_of(spark, htmls) == [(f"Late {i}\n\n" if i > 2 else "") + long(i) for i in range(6)]
+
+
 def test_roles():
     kept = ['<div class="content no-sidebar">{}</div>', '<div id="page" class="has-comments">{}</div>', '<div class="with-sidebar"><article>{}</article></div>', '<div class="sidebar"><h1>T</h1>{}</div>', '<div class="page social"><div class="widget">{}</div></div>', '<article><section id="related-work">{}</section></article>', '<section id="related-work">{}</section>', '<article><h2 id="share-of-revenue">{}</h2></article>', '<article><h2 id="comments">{}</h2></article>', "<article><p>Let <math><mi>{}</mi></math> be</article>"]
     for html in kept:
