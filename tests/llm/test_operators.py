@@ -427,6 +427,22 @@ def test_wrapper_of_extra_blocks(spark):
     assert texts_of(spark, htmls) == [(f"Late {i}\n\n" if i > 2 else "") + long(i) for i in range(6)]
 
 
+def test_wrapper_of_very_long_pages(spark):
+    """Template behind hundreds of runs is template, in a list of h2 and p as in one of divs in divs."""
+    part = lambda i, k: f"<h2>Head {i} {k}</h2><p>text {i} {k}</p>"
+    nest = lambda i, k: f"<div><h2>Head {i} {k}</h2><div class='in'><p>text {i} {k}</p></div></div><hr>"
+    for piece in (part, nest):
+        htmls = [f"<body><div class='c'><h1>T{i}</h1>" + "".join(piece(i, k) for k in range(400 if i % 2 == 0 else 3)) + "<div class='x'>About this site</div></div></body>" for i in range(4)]
+        for i, text in enumerate(texts_of(spark, htmls)):
+            assert text == "\n\n".join([f"T{i}"] + [x for k in range(400 if i % 2 == 0 else 3) for x in (f"Head {i} {k}", f"text {i} {k}")])
+
+
+@pytest.mark.parametrize("odd", ["", "plain words", "<p>gone</p>"])
+def test_wrapper_with_an_odd_first_page(spark, odd):
+    htmls = [odd] + [f"<body><div class='c'><h1>T{i}</h1><p>text {i}</p></div><div class='x'>About this site</div></body>" for i in range(5)]
+    assert texts_of(spark, htmls)[1:] == [f"T{i}\n\ntext {i}" for i in range(5)]
+
+
 def test_roles():
     kept = ['<div class="content no-sidebar">{}</div>', '<div id="page" class="has-comments">{}</div>', '<div class="with-sidebar"><article>{}</article></div>', '<div class="sidebar"><h1>T</h1>{}</div>', '<div class="page social"><div class="widget">{}</div></div>', '<article><section id="related-work">{}</section></article>', '<section id="related-work">{}</section>', '<article><h2 id="share-of-revenue">{}</h2></article>', '<article><h2 id="comments">{}</h2></article>', "<article><p>Let <math><mi>{}</mi></math> be</article>"]
     for html in kept:
