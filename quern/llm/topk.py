@@ -72,7 +72,7 @@ def _keyed(pivots: np.ndarray, most: float):
 
 
 def _search(pivots: np.ndarray, most: float, k: int):
-    """Per meeting of a block with a group of queries: the k best of each query."""
+    """Per meeting of a block with a group of queries: the k best rows for each query, and how often it asks."""
 
     def run(batches):
         for _, rows in rows_by_key(batches):
@@ -81,7 +81,7 @@ def _search(pivots: np.ndarray, most: float, k: int):
             if not data or not asked:
                 continue
             x, ids, radius = _matrix([r[2] for r in data]), np.array([r[1] for r in data]), np.array([r[4] for r in data])
-            q, qids = _matrix([r[2] for r in asked]), np.array([r[1] for r in asked])
+            q, qids, times = _matrix([r[2] for r in asked]), np.array([r[1] for r in asked]), np.array([r[5] for r in asked], np.int32)
             pivot = pivots[data[0][3]][None, :]
             dq = _distance(np.c_[q, np.zeros(len(q))], pivot)[:, 0]
             qq = (q * q).sum(1)
@@ -109,7 +109,8 @@ def _search(pivots: np.ndarray, most: float, k: int):
                     top = np.lexsort((o, -s), axis=1)[:, :k]
                     best[who], owner[who] = np.take_along_axis(s, top, 1), np.take_along_axis(o, top, 1)
             ok = np.isfinite(best)
-            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, ok.sum(1))), pa.array(owner[ok]), pa.array(best[ok].astype(np.int64))], ["query_id", "vec_id", "score"])
+            n = ok.sum(1)
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(qids, n)), pa.array(owner[ok]), pa.array(best[ok].astype(np.int64)), pa.array(np.repeat(times, n))], ["query_id", "vec_id", "score", "times"])
 
     return run
 
@@ -119,9 +120,12 @@ def top_k(vectors: DataFrame, k: int = 5, every: int = 50, vector: str = "embedd
 
     Rows with a null key, a null vector, or a null or non-finite component take no part; vectors of
     different lengths never meet; an empty table gives no row. A repeated key stands for rows of one
-    owner: none of them answers its own query; in other answers each counts. Other columns are not looked at.
+    owner: none of them answers its own query; in other answers each counts, and so does each that asks:
+    the rows of a key that asks rank their pairs together. Other columns are not looked at.
     """
-    rows = stage(vectors.select(F.col(key).cast("long"), vector).mapInArrow(quantised, "vec_id long, dim int, vec binary, norm double"), "quantised")
+    each = vectors.select(F.col(key).cast("long"), vector).mapInArrow(quantised, "vec_id long, dim int, vec binary, norm double")
+    # of equal rows no more than k can be among the k best
+    rows = stage(each.groupBy("vec_id", "dim", "vec", "norm").agg(F.least(F.count(F.lit(1)), F.lit(k)).cast("int").alias("times")), "quantised")
     out = None
     for (dim,) in rows.select("dim").distinct().orderBy("dim").collect():  # nearly always one
         found = _of_dimension(rows.where(F.col("dim") == dim), k, every)
@@ -133,7 +137,8 @@ def _of_dimension(rows: DataFrame, k: int, every: int) -> DataFrame:
     n, most = rows.agg(F.count(F.lit(1)), F.max("norm")).first()
     drawn = rows.orderBy(F.xxhash64("vec_id", F.lit(5)), "vec").limit(PIVOTS).select("vec").collect()
     pivots = _lifted(_matrix([r["vec"] for r in drawn]), most)
-    keyed = stage(rows.select("vec_id", "vec").mapInArrow(_keyed(pivots, most), "vec_id long, vec binary, pivot int, radius double"), "keyed")
+    copies = rows.select("vec_id", "vec", F.explode(F.sequence(F.lit(1), "times"))).select("vec_id", "vec")
+    keyed = stage(copies.mapInArrow(_keyed(pivots, most), "vec_id long, vec binary, pivot int, radius double"), "keyed")
     # cut each pivot's distances into blocks of about BLOCK vectors: at most n / BLOCK numbers go to the driver
     share = keyed.groupBy("pivot").agg(F.count(F.lit(1)).alias("n"))
     wanted = F.greatest(F.ceil(F.col("n") / BLOCK).cast("int"), F.lit(1))
@@ -141,17 +146,17 @@ def _of_dimension(rows: DataFrame, k: int, every: int) -> DataFrame:
     marked = keyed.join(F.broadcast(edges), "pivot")  # PIVOTS rows
     rank = F.size(F.filter("marks", lambda m: m < F.col("radius")))
     # inside a mark, where many radii are equal, vectors go to sub-blocks by hash: no block outgrows its share
-    block = F.xxhash64("pivot", F.floor(rank * F.col("parts") / 200), F.when(F.col("parts") > 200, F.pmod(F.xxhash64("vec_id"), F.ceil(F.col("parts") / 200))).otherwise(F.lit(0)))
+    block = F.xxhash64("pivot", F.floor(rank * F.col("parts") / 200), F.when(F.col("parts") > 200, F.pmod(F.xxhash64("vec_id", "vec"), F.ceil(F.col("parts") / 200))).otherwise(F.lit(0)))
     data = marked.select("vec_id", "vec", "pivot", "radius", block.alias("block"))
     blocks = stage(data, "blocks")
     groups = max(1, -(-n // (every * GROUP)))
-    ask = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", F.pmod(F.xxhash64("vec_id"), F.lit(groups)).cast("int").alias("grp"))
+    ask = rows.where(F.col("vec_id") % every == 0).select("vec_id", "vec", "times", F.pmod(F.xxhash64("vec_id", "vec"), F.lit(groups)).cast("int").alias("grp"))
     meet = lambda b, g: F.xxhash64(b, g)
     # a query group is copied to every block, a block to every query group: rows in blocks, not pairs
     names = blocks.select("block").distinct()
-    asked = ask.join(F.broadcast(names), F.lit(True)).select(meet("block", "grp").alias("key"), F.lit(True).alias("asked"), "vec_id", "vec", F.lit(0).alias("pivot"), F.lit(0.0).alias("radius"))
-    given = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(meet("block", "grp").alias("key"), F.lit(False).alias("asked"), "vec_id", "vec", "pivot", "radius")
-    found = dealt(given.unionByName(asked), "key").mapInArrow(_search(pivots, most, k), "query_id long, vec_id long, score long")
+    asked = ask.join(F.broadcast(names), F.lit(True)).select(meet("block", "grp").alias("key"), F.lit(True).alias("asked"), "vec_id", "vec", F.lit(0).alias("pivot"), F.lit(0.0).alias("radius"), "times")
+    given = blocks.withColumn("grp", F.explode(F.sequence(F.lit(0), F.lit(groups - 1)))).select(meet("block", "grp").alias("key"), F.lit(False).alias("asked"), "vec_id", "vec", "pivot", "radius", F.lit(1).alias("times"))
+    found = dealt(given.unionByName(asked), "key").mapInArrow(_search(pivots, most, k), "query_id long, vec_id long, score long, times int")
     best = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    # a repeated key asks once
-    return found.distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+    pairs = found.select("query_id", "vec_id", "score", F.explode(F.sequence(F.lit(1), "times"))).drop("col")
+    return pairs.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")

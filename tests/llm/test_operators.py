@@ -278,6 +278,27 @@ def test_top_k(spark):
     assert [tuple(y) for y in topk.top_k(few).collect()] == [(0, 1, 1, 256 * 128)]
 
 
+def test_top_k_of_repeated_rows(spark):
+    """Repeated candidates, a hot key with many vectors and repeated asking rows, as the registered SQL has them."""
+    import duckdb
+    import pandas as pd
+
+    from quern.llm.queries import ORACLES
+
+    r = np.random.default_rng(3)
+    x = np.round(r.normal(size=(120, 4)), 3)
+    rows = [(i, x[i].tolist()) for i in range(120)] + [(7, (2 * x[0]).tolist())] * 9 + [(8, (1.9 * x[0]).tolist())] * 3 + [(50, x[50].tolist())] * 2 + [(100, x[3].tolist())]
+    rows += [(9, np.round(v, 3).tolist()) for v in r.normal(size=(40, 4))]
+    r.shuffle(rows)
+    rows = [(int(i), list(map(float, v))) for i, v in rows]
+    con = duckdb.connect()
+    con.register("embeddings", pd.DataFrame(rows, columns=["vec_id", "embedding"]))
+    want = con.sql(ORACLES["op6_exact_top_k"]).fetchall()
+    got = topk.top_k(spark.createDataFrame(rows, "vec_id long, embedding array<double>").repartition(3)).collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+    assert [y["vec_id"] for y in sorted(got) if y["query_id"] == 0] == [7] * 5
+
+
 @lru_cache
 def tokenizer():
     from tokenizers import Tokenizer
