@@ -175,6 +175,19 @@ def relation_edges(spark, d):
     return resolve.edges(docs_.capitalised(documents(spark, d)), ["doc_id"], "entity_text", 5, 2)
 
 
+SENTENCE_EDGES = r"""WITH t AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),
+u AS (SELECT doc_id, generate_subscripts(p, 1) AS sentence, unnest(list_transform(p, lambda x: regexp_extract_all(x, '[A-Z][a-z]{5,}'))) AS f FROM t),
+m AS (SELECT doc_id, sentence, unnest(f) AS entity_text, generate_subscripts(f, 1) AS k FROM u), f AS (SELECT doc_id, sentence, entity_text, min(k) AS k FROM m GROUP BY 1, 2, 3),
+r AS (SELECT doc_id, sentence, entity_text FROM f QUALIFY row_number() OVER (PARTITION BY doc_id, sentence ORDER BY k) <= 5)
+SELECT a.entity_text AS subject, b.entity_text AS object, count(*) AS weight FROM r a JOIN r b USING (doc_id, sentence) WHERE a.entity_text < b.entity_text GROUP BY 1, 2"""
+
+
+@register("relation_edges_by_sentence", SENTENCE_EDGES)
+def relation_edges_by_sentence(spark, d):
+    """The edges of W14 and G1: the first five names of each sentence are paired, whole documents through. Of any weight."""
+    return resolve.edges(docs_.in_sentences(documents(spark, d)), ["doc_id", "sentence"], "entity_text", 5, 1)
+
+
 @register("relation_evidence", f"WITH {SPANS} SELECT entity_text, doc_id, start, row_number() OVER (PARTITION BY entity_text ORDER BY doc_id, start) AS rank FROM s QUALIFY rank <= 2")
 def relation_evidence(spark, d):
     return resolve.evidence(docs_.capitalised(documents(spark, d)), ["entity_text"], ["doc_id", "start"]).select("entity_text", "doc_id", F.col("start").cast("bigint").alias("start"), "rank")

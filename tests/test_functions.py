@@ -136,3 +136,12 @@ def test_stream_equals_table(spark, tmp_path):
     query.awaitTermination(120)
     got, want = (sorted((str(r["starts"]), r["event_type"], r["events"]) for r in df.collect()) for df in (spark.table("daily"), tumbling(events, "1 day")))
     assert got == want
+
+
+def test_edges_by_sentence(spark):
+    """Names behind the first five of a document are paired too, and only within their sentence."""
+    first = "Albany Boston Carson Dallas Easton Fresno meet."
+    docs = spark.createDataFrame([(i, f"{first} Then Gardena and Houston.\nIrvine saw Jackson!") for i in range(3)] + [(9, None), (10, "")], "doc_id long, text string")
+    got = {(r["subject"], r["object"]): r["weight"] for r in resolve.edges(documents.in_sentences(docs), ["doc_id", "sentence"], "entity_text").collect()}
+    names = first.split()[:5]
+    assert got == {(a, b): 3 for a in names for b in names if a < b} | {("Gardena", "Houston"): 3, ("Irvine", "Jackson"): 3}
