@@ -176,11 +176,16 @@ def _by_document(dtype):
     return run
 
 
+def _names(refs: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[list[bytes]]:
+    """The names of each document's chunks, in order."""
+    raw = refs["name"].astype("S32")
+    return [[bytes(x).ljust(32, b"\0") for x in raw[a:b]] for a, b in zip(at, to, strict=True)]  # numpy strips zero bytes
+
+
 def _recipes(dtype):
     def run(batches):
         for refs, at, to in _by_document(dtype)(batches):
-            raw = refs["name"].astype("S32")
-            names = [[bytes(x).ljust(32, b"\0") for x in raw[a:b]] for a, b in zip(at, to, strict=True)]  # numpy strips zero bytes
+            names = _names(refs, at, to)
             first = refs[at]
             yield pa.RecordBatch.from_arrays(
                 [
@@ -234,10 +239,21 @@ def joined_crc(crc: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
 
 def _checked(dtype):
     def run(batches):
-        for refs, at, _ in _by_document(dtype)(batches):
+        for refs, at, to in _by_document(dtype)(batches):
             crc = joined_crc(refs["crc"], refs["len"].astype(np.int64) * 4, at)
+            names = _names(refs, at, to)
             first = refs[at]
-            yield pa.RecordBatch.from_arrays([pa.array(first["row"], pa.int64()), pa.array(np.add.reduceat(refs["len"].astype(np.int64), at)), pa.array(crc)], ["row", "read_tokens", "ids_crc32"])
+            yield pa.RecordBatch.from_arrays(
+                [
+                    pa.array(first["doc"], pa.int64(), mask=first["null"] > 0),
+                    pa.array(first["row"], pa.int64()),
+                    pa.array(np.add.reduceat(refs["len"].astype(np.int64), at)),
+                    pa.array([hashlib.sha256(b"".join(n)).hexdigest() for n in names]),
+                    pa.array([merkle(n) for n in names], pa.binary()),
+                    pa.array(crc),
+                ],
+                ["read_doc", "row", "read_tokens", "read_digests", "read_root", "ids_crc32"],
+            )
 
     return run
 
@@ -267,10 +283,24 @@ class ChunkStore:
         recipes = recipes.mapInArrow(_recipes(dtype), "doc_id long, row long, n_tokens long, digests binary, root binary")
         ordered = numbered_files(stage(recipes, "recipes"), ["n_tokens"], "doc_id").withColumnRenamed("n_tokens_before", "start")
         ordered.write.parquet(f"{self.path}/recipes")
-        filed = self.recipes.select(F.xxhash64(F.col("_metadata.file_name")).alias("key"), F.col("_metadata.file_name").alias("file"), "doc_id", "row", "n_tokens", "root")
-        dealt(filed, "key").mapInArrow(_roots, "file string, docs long, tokens long, root binary").write.parquet(f"{self.path}/manifest")
+        self._filed().write.parquet(f"{self.path}/manifest")
         return self
 
+    def _filed(self) -> DataFrame:
+        """The manifest that the recipe files as they are should have."""
+        filed = self.recipes.select(F.xxhash64(F.col("_metadata.file_name")).alias("key"), F.col("_metadata.file_name").alias("file"), "doc_id", "row", "n_tokens", "root")
+        return dealt(filed, "key").mapInArrow(_roots, "file string, docs long, tokens long, root binary")
+
+    def _verify_manifest(self) -> None:
+        """Raises ValueError if the recipe files and the manifest differ."""
+        same = F.col("m.file").eqNullSafe(F.col("r.file"))
+        for c in ("docs", "tokens", "root"):
+            same = same & F.col(f"m.{c}").eqNullSafe(F.col(f"r.{c}"))
+        both = self.manifest.alias("m").join(self._filed().alias("r"), F.col("m.file") == F.col("r.file"), "full_outer")
+        wrong = both.where(~same).select(F.coalesce("m.file", "r.file")).first()
+        if wrong:
+            raise ValueError(f"the manifest and a recipe file differ: {wrong[0]}")
+
     @property
     def packs(self) -> DataFrame:
         return self.spark.read.schema("pack int, digests binary, lengths binary, data binary, refs binary").parquet(f"{self.path}/packs")
@@ -285,10 +315,16 @@ class ChunkStore:
 
     def read_back(self) -> DataFrame:
         """doc_id, start, n_tokens, ids_crc32, merkle_root: chunks are read, their names checked, and joined
-        by the recipes; a document's CRC-32 follows from those of its chunks, so no chunk moves."""
+        in their order; a document's CRC-32 follows from those of its chunks, so no chunk moves. The names in
+        that order and their Merkle root must be those of the recipe, every document must have a recipe and
+        every recipe a document; recipe files must have the roots that the manifest states, at once."""
+        self._verify_manifest()
         refs, dtype = _references(width(self.spark), self.kind)
-        found = dealt(self.packs.select("digests", "lengths", "refs", "data").mapInArrow(refs, "bucket int, run binary"), "bucket").mapInArrow(_checked(dtype), "row long, read_tokens long, ids_crc32 long")
-        both = self.recipes.join(found, "row").where(F.expr("assert_true(read_tokens = n_tokens, 'a recipe and its chunks differ') is null"))
+        found = dealt(self.packs.select("digests", "lengths", "refs", "data").mapInArrow(refs, "bucket int, run binary"), "bucket")
+        found = found.mapInArrow(_checked(dtype), "read_doc long, row long, read_tokens long, read_digests string, read_root binary, ids_crc32 long")
+        recipes = self.recipes.select("doc_id", "row", "start", "n_tokens", F.sha2("digests", 256).alias("named"), "root")
+        same = "read_doc <=> doc_id and read_tokens <=> n_tokens and read_digests <=> named and read_root <=> root"
+        both = recipes.join(found, "row", "full_outer").where(F.expr(f"assert_true({same}, 'a recipe and its chunks differ') is null"))
         return both.select("doc_id", "start", "n_tokens", "ids_crc32", F.lower(F.hex("root")).alias("merkle_root"))
 
 

@@ -355,6 +355,39 @@ def test_token_store(spark, docs, rows, nothing, tmp_path):
     assert chunk_store.stored(nothing).read_back().count() == 0
 
 
+@pytest.mark.parametrize("wrong", ["nothing", "digests", "root", "doc_id", "lost", "manifest"])
+def test_token_store_with_a_wrong_recipe(spark, docs, tmp_path, wrong):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    store = chunk_store.ChunkStore(spark, f"file://{tmp_path}/store").write(docs)
+    folder = "manifest" if wrong == "manifest" else "recipes"
+    column = "root" if wrong == "manifest" else wrong
+    for path in sorted((tmp_path / "store" / folder).glob("*.parquet")) if wrong != "nothing" else ():
+        held = pq.read_table(path)
+        rows = held.to_pylist()
+        k = next((k for k, x in enumerate(rows) if folder == "manifest" or len(x["digests"]) >= 64), None)
+        if k is not None:
+            break
+    if wrong != "nothing":
+        x = rows[k]
+        if wrong == "lost":
+            del rows[k]
+        else:
+            x[column] = 10**9 if column == "doc_id" else x[column][32:64] + x[column][:32] + x[column][64:] if column == "digests" else bytes(32)
+        pq.write_table(pa.Table.from_pylist(rows, held.schema), path)
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+    if wrong == "nothing":
+        assert store.read_back().count() == docs.count()
+    else:
+        with pytest.raises(Exception, match="differ"):
+            store.read_back().collect()
+    if wrong in ("digests", "doc_id"):  # no root says so: the recipes themselves do
+        store._verify_manifest = lambda: None
+        with pytest.raises(Exception, match="a recipe and its chunks differ"):
+            store.read_back().collect()
+
+
 def test_joined_crc():
     r = random.Random(1)
     parts = [r.randbytes(r.choice([0, 4, 40, 4000])) for _ in range(50)]
