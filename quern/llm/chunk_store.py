@@ -4,17 +4,25 @@ A rolling hash over the ids cuts each document's stream at places that depend on
 so passages that repeat give equal chunks. A chunk is named by the SHA-256 of its bytes. Three
 tables, all written below one folder:
 
-packs      pack, digests, lengths, data, refs: one row a pack, every distinct chunk once
-recipes    doc_id, row, start, n_tokens, digests, root: one row a document in ascending doc_id order
-manifest   file, docs, tokens, root: one row a recipe file, the Merkle root over its documents' roots
-
-Ids are little-endian unsigned numbers of `width` bytes (2 if the vocabulary has at most 65,536 ids,
-else 4). Merkle trees hash pairs of nodes with SHA-256; an odd node is carried up.
+packs      name, data: every distinct chunk once, in buckets of names
+recipes    doc_id, row, n_tokens, digests, root, start: one row a document in ascending doc_id order
+manifest   file, docs, tokens, root: one row a recipe file, the Merkle root over its documents
+                   (a leaf hashes doc_id, start, n_tokens and root)
+
+Ids are little-endian unsigned numbers of 2 bytes if the vocabulary has at most 65,536 ids, else 4.
+Merkle trees hash pairs of nodes with SHA-256; an odd node is carried up.
+
+Reading back goes by the recipes: each names its chunks, the chunks are looked up in the packs, and a
+document's ids are put together again, checked against names, count and root. A chunk is a row of
+bounded size, so nothing is held whole but one document. A chunk that more than one reference in
+HOT_SHARE names is sent to all tasks (there are fewer than HOT_SHARE such); the others are joined.
 """
 
 from __future__ import annotations
 
 import hashlib
+import uuid
+import zlib
 
 import numpy as np
 import pyarrow as pa
@@ -22,13 +30,15 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import by_key, dealt, mix, rows_by_key, scratch, stage, texts, width, windows
+from quern.llm.common import dealt, mix, release, rows_by_key, scratch, stage, width
 from quern.llm.packing import numbered_files
-from quern.llm.tokens import codec, default_vocabulary
+from quern.llm.tokens import codec, default_vocabulary, runs
 
 #: Ids under the rolling hash; a chunk ends where CUT bits of the hash are zero, or at MOST ids.
 ROLL, CUT, MOST = 8, 9, 8192
-REF = np.dtype([("doc", "<i8"), ("null", "u1"), ("row", "<i8"), ("ord", "<i4"), ("at", "<i4")])
+HOT_SHARE = 256
+_CUT = "doc_id long, row long, n_tokens long, digests binary, root binary, chunks array<struct<name:binary,data:binary>>"
+_RECIPES = "doc_id long, row long, n_tokens long, digests binary, root binary, start long"
 
 
 def merkle(leaves: list[bytes]) -> bytes:
@@ -38,257 +48,121 @@ def merkle(leaves: list[bytes]) -> bytes:
     return level[0]
 
 
-def chunk_ends(ids: np.ndarray) -> list[int]:
-    """Where the chunks of one document's ids end."""
-    h = windows(mix(ids.astype(np.uint64)), ROLL)
-    ends = np.flatnonzero((h & np.uint64((1 << CUT) - 1)) == 0) + ROLL
-    ends = np.unique(np.r_[0, ends, len(ids)])
-    gaps = np.diff(ends)
-    if len(gaps) and gaps.max() > MOST:
-        ends = np.unique(np.concatenate([ends, *(np.arange(a, b, MOST) for a, b in zip(ends[:-1], ends[1:], strict=True) if b - a > MOST)]))
-    return ends[1:].tolist()
-
-
-def _cut(vocabulary: str, kind: str, buckets: int):
-    """(bucket, run): references of a task's chunks, and each distinct chunk's bytes once."""
-
-    def run(batches):
-        encode = codec(vocabulary).encode
-        seen: dict[bytes, None] = {}
-        row = TaskContext.get().partitionId() << 33
-        held: dict[int, list] = {}
-        size = 0
-
-        def flush():
-            keys, blobs = [], []
-            for k in sorted(held):
-                names, docs, rows, ords, lens, datas = zip(*held[k], strict=True)
-                refs = np.empty(len(names), REF)
-                refs["doc"], refs["null"], refs["row"], refs["ord"] = [d or 0 for d in docs], [d is None for d in docs], rows, ords
-                refs["at"] = [-1 if d is None else len(d) for d in datas]
-                keys.append(k)
-                blobs.append(b"".join((np.array([len(names)], "<u4").tobytes(), refs.tobytes(), np.array(lens, "<i4").tobytes(), *names, *(d for d in datas if d is not None))))
-            return pa.RecordBatch.from_arrays([pa.array(keys, pa.int32()), pa.array(blobs, pa.binary())], ["bucket", "run"])
+def _gear(size: int) -> np.ndarray:
+    """A random number for each id: a fixed one, so the same ids are cut in the same places for ever."""
+    return (mix(np.arange(1, size + 1, dtype=np.uint64)) >> np.uint64(32)).astype(np.uint32)
 
-        for batch in batches:
-            column, keys = texts(batch.column(0)), batch.column(1).to_pylist()
-            for lo in range(0, len(keys), 256):
-                ids, n = encode(column[lo : lo + 256])
-                at = 0
-                for key, m in zip(keys[lo : lo + 256], n.tolist(), strict=True):
-                    own = ids[at : at + m]
-                    raw, a, w = own.astype(kind).tobytes(), 0, int(kind[-1])
-                    for k, b in enumerate(chunk_ends(own)):
-                        data = raw[w * a : w * b]
-                        name = hashlib.sha256(data).digest()
-                        fresh = name not in seen
-                        seen[name] = None
-                        held.setdefault(int.from_bytes(name[:4], "little") % buckets, []).append((name, key, row, k, b - a, data if fresh else None))
-                        size += 80 + (len(data) if fresh else 0)
-                        a = b
-                    row += 1
-                    at += m
-                if size > 24 << 20:
-                    yield flush()
-                    held, size = {}, 0
-        if held:
-            yield flush()
 
-    return run
+def chunk_ends(ids: np.ndarray, counts: np.ndarray, gear: np.ndarray) -> np.ndarray:
+    """Where chunks end in the ids of documents, one after the other, of `counts` ids each (none empty)."""
+    last = np.cumsum(counts)
+    h, m = gear[ids], 1
+    while m < ROLL and len(h) > m:  # a shifted sum over ROLL ids, by doubling
+        h, m = (h[:-m] << np.uint32(m)) + h[m:], 2 * m
+    cut = np.flatnonzero(h < np.uint32(1 << (32 - CUT))) if m == ROLL else np.empty(0, np.int64)
+    cut = cut[np.searchsorted(last, cut, "right") == np.searchsorted(last, cut + ROLL - 1, "right")] + ROLL
+    ends = np.unique(np.r_[0, cut, last])
+    long = np.flatnonzero(np.diff(ends) > MOST)
+    return np.unique(np.concatenate([ends, *(np.arange(ends[k], ends[k + 1], MOST) for k in long)]))[1:]
 
 
-def _packs(batches):
-    """One pack a bucket: its distinct chunks in the order of their names, and who refers to them."""
-    for bucket, blobs in by_key(batches):
-        chunks: dict[bytes, tuple[int, bytes]] = {}
-        refs, names = [], []
-        for x in blobs:
-            n = int(np.frombuffer(x, "<u4", 1)[0])
-            r = np.frombuffer(x, REF, n, 4).copy()
-            lens = np.frombuffer(x, "<i4", n, 4 + REF.itemsize * n).tolist()
-            at = 4 + (REF.itemsize + 4) * n
-            own = [x[at + 32 * k : at + 32 * k + 32] for k in range(n)]
-            at += 32 * n
-            for name, length, size in zip(own, lens, r["at"].tolist(), strict=True):
-                if size >= 0:
-                    chunks.setdefault(name, (length, x[at : at + size]))
-                    at += size
-            refs.append(r)
-            names += own
-        order = sorted(chunks)
-        place = {name: k for k, name in enumerate(order)}
-        refs = np.concatenate(refs)
-        refs["at"] = [place[n] for n in names]
-        yield pa.RecordBatch.from_arrays(
-            [
-                pa.array([bucket], pa.int32()),
-                pa.array([b"".join(order)], pa.binary()),
-                pa.array([np.array([chunks[n][0] for n in order], "<i4").tobytes()], pa.binary()),
-                pa.array([b"".join(chunks[n][1] for n in order)], pa.binary()),
-                pa.array([refs.tobytes()], pa.binary()),
-            ],
-            ["pack", "digests", "lengths", "data", "refs"],
-        )
-
-
-def _references(buckets: int, kind: str | None):
-    """From packs to (bucket of the document, run of references); with the bytes' CRC-32 if kind is given."""
-    import zlib
-
-    dtype = np.dtype([*REF.descr, ("name", "S32"), ("len", "<i4"), ("crc", "<u4")])
+def _cut(vocabulary: str, kind: str):
+    """A row for each document: its recipe and its chunks."""
+    w = int(kind[-1])
 
     def run(batches):
+        words = codec(vocabulary)
+        encode, gear = words.encode, _gear(len(words.ends_word))
+        row = TaskContext.get().partitionId() << 33
         for batch in batches:
-            for row in zip(*(c.to_pylist() for c in batch.columns), strict=True):
-                digests, lengths, raw = row[0], np.frombuffer(row[1], "<i4"), row[2]
-                refs = np.frombuffer(raw, REF)
-                crc = np.zeros(len(lengths), np.uint32)
-                if kind:  # read the chunks back
-                    at, w = 0, int(kind[-1])
-                    for k, n in enumerate(lengths.tolist()):
-                        data = row[3][at : at + w * n]
-                        if hashlib.sha256(data).digest() != digests[32 * k : 32 * k + 32]:
-                            raise ValueError("a chunk does not have the bytes that its name says")
-                        crc[k] = zlib.crc32(np.frombuffer(data, kind).astype("<u4").tobytes())
-                        at += w * n
-                out = np.empty(len(refs), dtype)
-                for f in REF.names:
-                    out[f] = refs[f]
-                out["name"] = np.frombuffer(digests, "S32")[refs["at"]] if len(digests) else b""
-                out["len"], out["crc"] = lengths[refs["at"]], crc[refs["at"]]
-                bucket = (mix(refs["row"].astype(np.uint64)) % np.uint64(buckets)).astype(np.int64)
-                order = np.argsort(bucket, kind="stable")
-                out, bucket = out[order], bucket[order]
-                cuts = np.r_[np.flatnonzero(np.r_[True, bucket[1:] != bucket[:-1]]), len(out)]
-                yield pa.RecordBatch.from_arrays([pa.array(bucket[cuts[:-1]], pa.int32()), pa.array([out[a:b].tobytes() for a, b in zip(cuts[:-1], cuts[1:], strict=True)], pa.binary())], ["bucket", "run"])
-
-    return run, dtype
-
-
-def _by_document(dtype):
-    def run(batches):
-        for _, blobs in by_key(batches):
-            refs = np.concatenate([np.frombuffer(x, dtype) for x in blobs])
-            refs = refs[np.lexsort((refs["ord"], refs["row"]))]
-            at = np.flatnonzero(np.r_[True, np.diff(refs["row"]) != 0])
-            yield refs, at, np.r_[at[1:], len(refs)]
+            for lo, hi in runs(batch.column(0)):
+                ids, n = encode(batch.column(0).slice(lo, hi - lo))
+                raw, ends, last = ids.astype(kind).tobytes(), chunk_ends(ids, n, gear), np.cumsum(n)
+                data = [raw[w * a : w * b] for a, b in zip([0, *ends.tolist()], ends.tolist(), strict=False)]
+                names = [hashlib.sha256(d).digest() for d in data]
+                to = np.searchsorted(ends, last) + 1
+                own = [names[a:b] for a, b in zip([0, *to.tolist()], to.tolist(), strict=False)]
+                chunks = pa.StructArray.from_arrays([pa.array(names, pa.binary()), pa.array(data, pa.binary())], ["name", "data"])
+                yield pa.RecordBatch.from_arrays(
+                    [
+                        batch.column(1).slice(lo, hi - lo),
+                        pa.array(np.arange(row, row + len(n))),
+                        pa.array(n),
+                        pa.array([b"".join(x) for x in own], pa.binary()),
+                        pa.array([merkle(x) for x in own], pa.binary()),
+                        pa.ListArray.from_arrays(pa.array(np.r_[0, to], pa.int32()), chunks),
+                    ],
+                    ["doc_id", "row", "n_tokens", "digests", "root", "chunks"],
+                )
+                row += len(n)
 
     return run
 
 
-def _names(refs: np.ndarray, at: np.ndarray, to: np.ndarray) -> list[list[bytes]]:
-    """The names of each document's chunks, in order."""
-    raw = refs["name"].astype("S32")
-    return [[bytes(x).ljust(32, b"\0") for x in raw[a:b]] for a, b in zip(at, to, strict=True)]  # numpy strips zero bytes
-
+def _read(kind: str):
+    """Documents from their chunks, which come in order; raises if anything differs from the recipe."""
 
-def _recipes(dtype):
     def run(batches):
-        for refs, at, to in _by_document(dtype)(batches):
-            names = _names(refs, at, to)
-            first = refs[at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(first["doc"], pa.int64(), mask=first["null"] > 0),
-                    pa.array(first["row"], pa.int64()),
-                    pa.array(np.add.reduceat(refs["len"].astype(np.int64), at)),
-                    pa.array([b"".join(n) for n in names], pa.binary()),
-                    pa.array([merkle(n) for n in names], pa.binary()),
-                ],
-                ["doc_id", "row", "n_tokens", "digests", "root"],
-            )
-
-    return run
-
-
-def _shift_tables() -> np.ndarray:
-    """For each power of two: what that many zero bytes do to a CRC-32, a table for each of its four bytes."""
-    one = np.array([[(v << (8 * k)) for v in range(256)] for k in range(4)], np.uint64)
-    crc_table = []
-    for v in range(256):
-        for _ in range(8):
-            v = (v >> 1) ^ (0xEDB88320 if v & 1 else 0)
-        crc_table.append(v)
-    table = np.array(crc_table, np.uint64)
-    step = lambda c: table[(c & np.uint64(255)).astype(np.int64)] ^ (c >> np.uint64(8))
-    out = [step(one)]
-    for _ in range(47):
-        out.append(_shift(out[-1], out[-1]))
-    return np.stack(out)
-
-
-def _shift(tables: np.ndarray, crc: np.ndarray) -> np.ndarray:
-    got = np.zeros_like(crc)
-    for k in range(4):
-        got ^= tables[k][((crc >> np.uint64(8 * k)) & np.uint64(255)).astype(np.int64)]
-    return got
-
-
-def joined_crc(crc: np.ndarray, size: np.ndarray, at: np.ndarray) -> np.ndarray:
-    """CRC-32 of concatenated parts: crc and bytes of each part; at: where each whole begins."""
-    tables = _shift_tables()
-    total = np.cumsum(size)
-    end = np.r_[total[at[1:] - 1], total[-1]] if len(at) else total
-    after = np.repeat(end, np.diff(np.r_[at, len(size)])) - total  # bytes behind each part
-    out = crc.astype(np.uint64)
-    for p in range(int(after.max(initial=0)).bit_length()):
-        some = np.flatnonzero((after >> p) & 1)
-        out[some] = _shift(tables[p], out[some])
-    return np.bitwise_xor.reduceat(out, at).astype(np.int64)
-
-
-def _checked(dtype):
-    def run(batches):
-        for refs, at, to in _by_document(dtype)(batches):
-            crc = joined_crc(refs["crc"], refs["len"].astype(np.int64) * 4, at)
-            names = _names(refs, at, to)
-            first = refs[at]
-            yield pa.RecordBatch.from_arrays(
-                [
-                    pa.array(first["doc"], pa.int64(), mask=first["null"] > 0),
-                    pa.array(first["row"], pa.int64()),
-                    pa.array(np.add.reduceat(refs["len"].astype(np.int64), at)),
-                    pa.array([hashlib.sha256(b"".join(n)).hexdigest() for n in names]),
-                    pa.array([merkle(n) for n in names], pa.binary()),
-                    pa.array(crc),
-                ],
-                ["read_doc", "row", "read_tokens", "read_digests", "read_root", "ids_crc32"],
-            )
+        for row, parts in rows_by_key(batches):
+            place, names, data, head = zip(*parts, strict=True)
+            if None in names or None in data or place != tuple(range(len(parts))):
+                raise ValueError(f"chunks are missing for row {row}")
+            if any(hashlib.sha256(d).digest() != x for x, d in zip(names, data, strict=True)):
+                raise ValueError("a chunk does not have the bytes that its name says")
+            ids, recipe = np.frombuffer(b"".join(data), kind), head[0]
+            if len(ids) != recipe["n_tokens"] or merkle(list(names)) != recipe["root"]:
+                raise ValueError(f"a recipe and its chunks differ: row {row}")
+            yield (recipe["doc_id"], recipe["start"], len(ids), zlib.crc32(ids.astype("<u4").tobytes()), recipe["root"].hex())
+
+    def batched(batches):
+        types = (pa.int64(), pa.int64(), pa.int64(), pa.int64(), pa.string())
+        names, held = ["doc_id", "start", "n_tokens", "ids_crc32", "merkle_root"], []
+        made = lambda: pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(zip(*held, strict=True), types, strict=True)], names)
+        for x in run(batches):
+            held.append(x)
+            if len(held) == 4096:
+                yield made()
+                held.clear()
+        if held:
+            yield made()
 
-    return run
+    return batched
 
 
 def _roots(batches):
     for _, rows in rows_by_key(batches):
         rows.sort(key=lambda r: (r[1] is not None, r[1] or 0, r[2]))
-        yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([len(rows)], pa.int64()), pa.array([sum(r[3] for r in rows)], pa.int64()), pa.array([merkle([r[4] for r in rows])], pa.binary())], ["file", "docs", "tokens", "root"])
+        leaves = [hashlib.sha256(f"{r[1]} {r[4]} {r[3]} ".encode() + r[5]).digest() for r in rows]
+        yield pa.RecordBatch.from_arrays([pa.array([rows[0][0]]), pa.array([len(rows)], pa.int64()), pa.array([sum(r[3] for r in rows)], pa.int64()), pa.array([merkle(leaves)], pa.binary())], ["file", "docs", "tokens", "root"])
 
 
 class ChunkStore:
     """The store below `path`. docs: doc_id, text; other columns are not looked at. A null or empty
     text is a document of the end id alone; repeated rows are documents of their own; ties of
-    doc_id are ordered by the row's place. An empty table gives an empty store."""
+    doc_id are ordered by the row's place; null ids come first. An empty table gives an empty store."""
 
     def __init__(self, spark: SparkSession, path: str, vocabulary: str | None = None):
         self.spark, self.path, self.vocabulary = spark, path.rstrip("/"), vocabulary or default_vocabulary()
+        self.table = None  # packs as a table of this session, if it wrote them
         self.kind = "<u2" if codec(self.vocabulary).codec.get_vocab_size() <= 1 << 16 else "<u4"
 
     def write(self, docs: DataFrame) -> ChunkStore:
-        p = width(self.spark)
-        cut = docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_cut(self.vocabulary, self.kind, p), "bucket int, run binary")
-        packs = dealt(cut, "bucket").mapInArrow(_packs, "pack int, digests binary, lengths binary, data binary, refs binary")
-        packs.write.option("compression", "zstd").parquet(f"{self.path}/packs")
-        refs, dtype = _references(p, None)
-        recipes = dealt(self.packs.select("digests", "lengths", "refs").mapInArrow(refs, "bucket int, run binary"), "bucket")
-        recipes = recipes.mapInArrow(_recipes(dtype), "doc_id long, row long, n_tokens long, digests binary, root binary")
-        ordered = numbered_files(stage(recipes, "recipes"), ["n_tokens"], "doc_id").withColumnRenamed("n_tokens_before", "start")
+        cut = stage(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_cut(self.vocabulary, self.kind), _CUT), "cut", "zstd")
+        # equal chunks meet in their own task first, so one that every document holds does not gather
+        packs = cut.select(F.explode("chunks").alias("c")).groupBy("c.name").agg(F.first("c.data").alias("data"))
+        # in buckets, so that they need no shuffle to be joined
+        named = packs.write.bucketBy(width(self.spark), "name").sortBy("name").option("compression", "zstd").option("path", f"{self.path}/packs")
+        self.table = f"packs_{uuid.uuid4().hex}"
+        named.format("parquet").saveAsTable(self.table)
+        ordered = numbered_files(cut.drop("chunks"), ["n_tokens"], "doc_id").withColumnRenamed("n_tokens_before", "start")
         ordered.write.parquet(f"{self.path}/recipes")
         self._filed().write.parquet(f"{self.path}/manifest")
+        release(cut)
         return self
 
     def _filed(self) -> DataFrame:
         """The manifest that the recipe files as they are should have."""
-        filed = self.recipes.select(F.xxhash64(F.col("_metadata.file_name")).alias("key"), F.col("_metadata.file_name").alias("file"), "doc_id", "row", "n_tokens", "root")
+        filed = self.recipes.select(F.xxhash64(F.col("_metadata.file_name")).alias("key"), F.col("_metadata.file_name").alias("file"), "doc_id", "row", "n_tokens", "start", "root")
         return dealt(filed, "key").mapInArrow(_roots, "file string, docs long, tokens long, root binary")
 
     def _verify_manifest(self) -> None:
@@ -303,29 +177,34 @@ class ChunkStore:
 
     @property
     def packs(self) -> DataFrame:
-        return self.spark.read.schema("pack int, digests binary, lengths binary, data binary, refs binary").parquet(f"{self.path}/packs")
+        return self.spark.table(self.table) if self.table else self.spark.read.schema("name binary, data binary").parquet(f"{self.path}/packs")
 
     @property
     def recipes(self) -> DataFrame:
-        return self.spark.read.schema("doc_id long, row long, n_tokens long, digests binary, root binary, start long").parquet(f"{self.path}/recipes")
+        return self.spark.read.schema(_RECIPES).parquet(f"{self.path}/recipes")
 
     @property
     def manifest(self) -> DataFrame:
         return self.spark.read.schema("file string, docs long, tokens long, root binary").parquet(f"{self.path}/manifest")
 
     def read_back(self) -> DataFrame:
-        """doc_id, start, n_tokens, ids_crc32, merkle_root: chunks are read, their names checked, and joined
-        in their order; a document's CRC-32 follows from those of its chunks, so no chunk moves. The names in
-        that order and their Merkle root must be those of the recipe, every document must have a recipe and
-        every recipe a document; recipe files must have the roots that the manifest states, at once."""
+        """doc_id, start, n_tokens, ids_crc32, merkle_root of every document, put together by its recipe from
+        the chunks in the packs. Chunks must have the bytes that their names say, documents the count and
+        the Merkle root that their recipes say, recipe files the roots that the manifest says."""
         self._verify_manifest()
-        refs, dtype = _references(width(self.spark), self.kind)
-        found = dealt(self.packs.select("digests", "lengths", "refs", "data").mapInArrow(refs, "bucket int, run binary"), "bucket")
-        found = found.mapInArrow(_checked(dtype), "read_doc long, row long, read_tokens long, read_digests string, read_root binary, ids_crc32 long")
-        recipes = self.recipes.select("doc_id", "row", "start", "n_tokens", F.sha2("digests", 256).alias("named"), "root")
-        same = "read_doc <=> doc_id and read_tokens <=> n_tokens and read_digests <=> named and read_root <=> root"
-        both = recipes.join(found, "row", "full_outer").where(F.expr(f"assert_true({same}, 'a recipe and its chunks differ') is null"))
-        return both.select("doc_id", "start", "n_tokens", "ids_crc32", F.lower(F.hex("root")).alias("merkle_root"))
+        named = F.expr("transform(sequence(0, greatest(length(digests) div 32 - 1, 0)), i -> substring(digests, 32 * i + 1, 32))")
+        refs = self.recipes.select("row", "doc_id", "start", "n_tokens", "root", F.posexplode(named).alias("place", "name"))
+        refs = refs.select("row", "place", "name", F.when(F.col("place") == 0, F.struct("doc_id", "start", "n_tokens", "root")).alias("head"))
+        often = refs.groupBy("name").agg(F.count(F.lit(1)).alias("n"))
+        total = often.agg(F.sum("n")).first()[0] or 0
+        # fewer than HOT_SHARE chunks of MOST ids: at most 8 MB
+        hot = self.packs.join(F.broadcast(often.where(F.col("n") > total // HOT_SHARE + width(self.spark)).select("name")), "name", "left_semi")
+        known = refs.join(F.broadcast(hot.withColumnRenamed("data", "known")), "name", "left")
+        rest = known.where("known is null").drop("known").join(self.packs, "name", "left")
+        columns = ["row", "place", "name", "data", "head"]
+        parts = known.where("known is not null").withColumnRenamed("known", "data").select(columns).unionByName(rest.select(columns))
+        parts = parts.repartition(width(self.spark), "row").sortWithinPartitions("row", "place")
+        return parts.mapInArrow(_read(self.kind), "doc_id long, start long, n_tokens long, ids_crc32 long, merkle_root string")
 
 
 def stored(docs: DataFrame, vocabulary: str | None = None) -> ChunkStore:

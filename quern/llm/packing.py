@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stage, texts, width
-from quern.llm.tokens import codec, default_vocabulary
+from quern.llm.common import stage, width
+from quern.llm.tokens import codec, default_vocabulary, runs
 
 SEQUENCE = 2048
 
@@ -32,11 +32,11 @@ def _cut(vocabulary: str, sequence: int, with_ids: bool):
     def run(batches):
         encode = codec(vocabulary).encode
         for batch in batches:
-            column, keys = texts(batch.column(0)), batch.column(1).to_pylist()
-            for lo in range(0, len(keys), 256):
-                ids, n = encode(column[lo : lo + 256])
+            column, keys = batch.column(0), batch.column(1).to_pylist()
+            for lo, hi in runs(column):
+                ids, n = encode(column.slice(lo, hi - lo))
                 out, at = [], 0
-                for key, m in zip(keys[lo : lo + 256], n.tolist(), strict=True):
+                for key, m in zip(keys[lo:hi], n.tolist(), strict=True):
                     raw, start, crcs, own = memoryview(ids[at : at + m].astype("<u4").tobytes()), 0, [], []
                     for length in pieces_of(m, sequence):
                         part = raw[4 * start : 4 * (start + length)]

@@ -12,6 +12,7 @@ from collections import Counter, defaultdict
 from functools import lru_cache
 
 import numpy as np
+import pyarrow as pa
 import pytest
 from pyspark.sql import functions as F
 
@@ -304,7 +305,6 @@ def tokenizer():
     from tokenizers import Tokenizer
 
     t = Tokenizer.from_file(tokens.default_vocabulary())
-    t.encode_special_tokens = True
     return t
 
 
@@ -316,10 +316,32 @@ def ids_of(text):
 def test_token_codec():
     r = random.Random(3)
     alphabet = "abzÉé×÷ßñ.,'!?sS tT\n\t́  　x1٣漢…😀İſ\x1c\x00-_&"
-    column = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(2000)] + ["don't!! it's <|endoftext|>."]
-    got, n = tokens.codec(tokens.default_vocabulary()).encode([t.encode() for t in column])
+    column = ["".join(r.choice(alphabet) for _ in range(r.randint(0, 40))) for _ in range(2000)]
+    column += ["don't!! it's <|endoftext|>.", " x<|endoftext|>y ", "<|ENDOFTEXT|> <|startoftext|", None, "", " \n", "é" * 3000, "word " * 9000]
+    got, n = tokens.codec(tokens.default_vocabulary()).encode(pa.array(column).slice(0))
     assert got.tolist() == [int(i) for t in column for i in ids_of(t)]
-    assert int(n.sum()) == len(got)
+    assert n.tolist() == [len(ids_of(t)) for t in column]
+    part, n = tokens.codec(tokens.default_vocabulary()).encode(pa.array(column).slice(500, 300))
+    assert part.tolist() == [int(i) for t in column[500:800] for i in ids_of(t)]
+
+
+def test_token_codec_forgets(monkeypatch):
+    monkeypatch.setattr(tokens, "REMEMBERED", 400)
+    own, r = tokens.WordCodec(tokens.default_vocabulary()), random.Random(4)
+    for _ in range(30):
+        column = [" ".join("".join(r.choice("abcdé.,") for _ in range(r.randint(1, 4))) for _ in range(30)) for _ in range(4)]
+        assert own.encode(pa.array(column))[0].tolist() == [int(i) for t in column for i in ids_of(t)]
+
+
+def test_token_codec_of_another_kind():
+    import public_tokenizers
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    column = ["Two  words.", None, "", "a<|endoftext|>b\n\n"]
+    want = [[*Tokenizer.from_file(path).encode(t or "", add_special_tokens=False).ids, 1] for t in column]
+    got, n = tokens.codec(path).encode(pa.array(column))
+    assert got.tolist() == sum(want, []) and n.tolist() == [len(x) for x in want]
 
 
 def test_packing(docs, rows, nothing):
@@ -349,15 +371,15 @@ def test_token_store(spark, docs, rows, nothing, tmp_path):
         ids = ids_of(t)
         assert (got[i]["start"], got[i]["n_tokens"], got[i]["ids_crc32"]) == (start, len(ids), zlib.crc32(ids.tobytes()))
         start += len(ids)
-    names = [r["digests"][k : k + 32] for r in store.packs.collect() for k in range(0, len(r["digests"]), 32)]
+    names = [bytes(r["name"]) for r in store.packs.collect()]
     assert len(names) == len(set(names))
+    assert {bytes(r["digests"][k : k + 32]) for r in store.recipes.collect() for k in range(0, len(r["digests"]), 32)} == set(names)
     assert store.manifest.agg(F.sum("docs"), F.sum("tokens")).first() == (len(rows), start)
     assert chunk_store.stored(nothing).read_back().count() == 0
 
 
 @pytest.mark.parametrize("wrong", ["nothing", "digests", "root", "doc_id", "lost", "manifest"])
 def test_token_store_with_a_wrong_recipe(spark, docs, tmp_path, wrong):
-    import pyarrow as pa
     import pyarrow.parquet as pq
 
     store = chunk_store.ChunkStore(spark, f"file://{tmp_path}/store").write(docs)
@@ -382,18 +404,50 @@ def test_token_store_with_a_wrong_recipe(spark, docs, tmp_path, wrong):
     else:
         with pytest.raises(Exception, match="differ"):
             store.read_back().collect()
-    if wrong in ("digests", "doc_id"):  # no root says so: the recipes themselves do
+    if wrong == "digests":  # no root says so: the recipes themselves do
         store._verify_manifest = lambda: None
         with pytest.raises(Exception, match="a recipe and its chunks differ"):
             store.read_back().collect()
 
 
-def test_joined_crc():
-    r = random.Random(1)
-    parts = [r.randbytes(r.choice([0, 4, 40, 4000])) for _ in range(50)]
-    at = np.array([0, 7, 20, 21])
-    got = chunk_store.joined_crc(np.array([zlib.crc32(p) for p in parts], np.uint32), np.array(list(map(len, parts))), at)
-    assert got.tolist() == [zlib.crc32(b"".join(parts[a:b])) for a, b in zip(at, [*at[1:], 50], strict=True)]
+def test_token_store_with_a_wrong_pack(spark, docs, tmp_path):
+    import pyarrow.parquet as pq
+
+    store = chunk_store.ChunkStore(spark, f"file://{tmp_path}/store").write(docs)
+    path = max((tmp_path / "store" / "packs").glob("*.parquet"), key=lambda p: pq.read_metadata(p).num_rows)
+    held = pq.read_table(path)
+    for change, says in ((lambda x: x | {"data": x["data"][:-2] + b"zz"}, "the bytes that its name says"), (lambda x: x | {"name": bytes(32)}, "chunks are missing")):
+        pq.write_table(pa.Table.from_pylist([change(x) for x in held.to_pylist()], held.schema), path)
+        (path.parent / f".{path.name}.crc").unlink(missing_ok=True)
+        with pytest.raises(Exception, match=says):
+            store.read_back().collect()
+
+
+def test_chunks():
+    """Cuts depend on a document's own ids alone, and no chunk has more than MOST of them."""
+    r = np.random.default_rng(5)
+    docs = [r.integers(0, 900, n).astype(np.uint32) for n in (1, 7, 8, 9, 5000, 3)] + [np.zeros(20_000, np.uint32), np.ones(1, np.uint32)]
+    counts = np.array([len(d) for d in docs])
+    gear = chunk_store._gear(1000)
+    ends, own = chunk_store.chunk_ends(np.concatenate(docs), counts, gear).tolist(), []
+    for d, at in zip(docs, np.cumsum(counts) - counts, strict=True):
+        own += (at + chunk_store.chunk_ends(d, np.array([len(d)]), gear)).tolist()
+    assert ends == own
+    assert max(np.diff([0, *ends])) == chunk_store.MOST and set(np.cumsum(counts)) <= set(ends)
+
+
+def test_token_store_of_equal_documents(spark):
+    """Null and repeated ids, one text in most rows, and one of many ids in one chunk."""
+    rows = [(None, "same text"), (5, "same text"), (5, "other"), (5, None)] + [(i, "same text") for i in range(400)] + [(7, "a " * 20_000)]
+    got = sorted(chunk_store.stored(spark.createDataFrame(rows, "doc_id long, text string").repartition(3)).read_back().collect(), key=lambda x: x["start"])
+    assert len(got) == len(rows)
+    at = 0
+    for x in got:
+        assert x["start"] == at
+        at += x["n_tokens"]
+    want = Counter((i, len(ids_of(t)), zlib.crc32(ids_of(t).tobytes())) for i, t in rows)
+    assert Counter((x["doc_id"], x["n_tokens"], x["ids_crc32"]) for x in got) == want
+    assert [x["doc_id"] for x in got] == sorted((i for i, _ in rows), key=lambda i: (i is not None, i or 0))
 
 
 def test_toxicity(spark):
