@@ -20,6 +20,7 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.types import StructField, StructType
 
 from quern.llm.common import ALNUM, texts
 
@@ -152,16 +153,13 @@ def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """docs whose score stays below one half, all columns kept: a filter on the scan, nothing is moved."""
-    from pyspark.sql.types import StructField, StructType
-
     scorer = fit(docs, labels)
     names = docs.columns
     schema = StructType([StructField(f"c{k}", f.dataType) for k, f in enumerate(docs.schema.fields)])
+    own = names.index("text")
 
     def run(batches):
         for batch in batches:
-            keep = scorer.score(texts(batch.column(0))) < 0.5
-            yield pa.RecordBatch.from_arrays([c.filter(pa.array(keep)) for c in batch.columns[1:]], batch.schema.names[1:])
+            yield batch.filter(pa.array(scorer.score(texts(batch.column(own))) < 0.5))
 
-    renamed = docs.select(F.col("text").alias("_text"), *(F.col(f"`{c}`").alias(f"c{k}") for k, c in enumerate(names)))
-    return renamed.mapInArrow(run, schema).toDF(*names)
+    return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*names)
