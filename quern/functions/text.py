@@ -6,6 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 SPACE = "[ \\t\\n\\r\\f\\x0B]"
+SENTENCE_END = f"(?<=[.!?])(?={SPACE})"
 
 
 def nullif_empty(c: Column) -> Column:
@@ -97,13 +98,32 @@ def chunk_words(c: Column, size: int, overlap: int) -> Column:
     return F.transform(starts, lambda s: F.array_join(F.slice(w, s + 1, F.lit(size)), " "))
 
 
+def let(value: Column, body) -> Column:
+    """body(value) with the value computed once, however often the body names it."""
+    return F.transform(F.array(value), body)[0]
+
+
+#: Elements that `running` adds up before it starts a new block.
+BLOCK = 256
+
+
+def running(lengths: Column) -> Column:
+    """Running sums of an array of ints, in blocks, so that time grows with the length and not its square."""
+    add = lambda acc, x: F.concat(acc, F.array(F.coalesce(F.try_element_at(acc, F.lit(-1)), F.lit(0)) + x))
+    empty = F.array().cast("array<int>")
+    blocks = lambda n: F.transform(F.sequence(F.lit(0), F.size(n) - 1, F.lit(BLOCK)), lambda at: F.aggregate(F.slice(n, at + 1, F.lit(BLOCK)), empty, add))
+    before = lambda own: F.aggregate(F.transform(own, lambda x: F.element_at(x, -1)), F.array(F.lit(0)), add)
+    summed = lambda own: let(before(own), lambda to: F.flatten(F.transform(own, lambda x, i: F.transform(x, lambda v: v + F.get(to, i)))))
+    return F.when(F.size(lengths) > 0, let(lengths, lambda n: let(blocks(n), summed))).otherwise(empty)
+
+
 def spans(c: Column, pattern: str) -> Column:
     """All matches with code-point offsets: structs of start, end and text. The pattern has no groups.
 
     Matches and what lies between them alternate, so running lengths are the offsets."""
-    found, between = F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)), F.split(c, pattern, -1)
-    at = lambda i: F.aggregate(F.slice(between, F.lit(1), i + 1), F.lit(0), lambda n, x: n + F.length(x)) + F.aggregate(F.slice(found, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x))
-    return F.transform(found, lambda m, i: F.struct(at(i).alias("start"), (at(i) + F.length(m)).alias("end"), m.alias("text")))
+    both = F.struct(F.regexp_extract_all(c, F.lit(f"({pattern})"), F.lit(1)).alias("found"), F.split(c, pattern, -1).alias("between"))
+    ends = lambda x: running(F.transform(x["found"], lambda m, i: F.length(m) + F.length(F.get(x["between"], i))))
+    return let(both, lambda x: F.transform(F.arrays_zip(x["found"].alias("m"), ends(x).alias("e")), lambda z: F.struct((z["e"] - F.length(z["m"])).alias("start"), z["e"].alias("end"), z["m"].alias("text"))))
 
 
 def without_overlaps(found: Column) -> Column:
@@ -115,10 +135,14 @@ def without_overlaps(found: Column) -> Column:
 
 def sentences(c: Column) -> Column:
     """Sentences with offsets: a text is cut behind . ! or ? where white space follows."""
-    parts = F.split(c, f"(?<=[.!?])(?={SPACE})", -1)
-    starts = F.transform(parts, lambda p, i: F.aggregate(F.slice(parts, F.lit(1), i), F.lit(0), lambda n, x: n + F.length(x)))
-    whole = F.transform(F.arrays_zip(parts.alias("p"), starts.alias("s")), lambda z: F.struct((z["s"] + F.length(z["p"]) - F.length(F.ltrim(F.translate(z["p"], "\n\t\r", "   ")))).alias("start"), (z["s"] + F.length(z["p"])).alias("end"), F.regexp_replace(z["p"], f"^{SPACE}+", "").alias("text")))
-    return F.filter(whole, lambda x: x["text"] != "")
+    trimmed = lambda x: F.regexp_replace(x, f"^{SPACE}+", "")
+    of = lambda z: let(trimmed(z["p"]), lambda t: F.struct((z["e"] - F.length(t)).alias("start"), z["e"].alias("end"), t.alias("text")))
+    cut = let(F.split(c, SENTENCE_END, -1), lambda parts: F.transform(F.arrays_zip(parts.alias("p"), running(F.transform(parts, F.length)).alias("e")), of))
+    return F.filter(cut, lambda x: x["text"] != "")
+
+
+def sentence_count(c: Column) -> Column:
+    return F.size(F.filter(F.split(c, SENTENCE_END, -1), lambda p: p.rlike(SPACE.replace("[", "[^", 1))))
 
 
 def digit_ratio(c: Column) -> Column:

@@ -92,9 +92,14 @@ def capitalised(docs: DataFrame, pattern: str = "[A-Z][a-z]{5,}", key: str = "do
     return docs.select(key, F.inline(T.spans(F.col(text), pattern))).withColumnRenamed("text", "entity_text")
 
 
+def names(docs: DataFrame, pattern: str = "[A-Z][a-z]{5,}", key: str = "doc_id", text: str = "text") -> DataFrame:
+    """As capitalised, without offsets: key, start (the match's number in the text), entity_text."""
+    return docs.select(key, F.posexplode(F.regexp_extract_all(text, F.lit(f"({pattern})"), F.lit(1))).alias("start", "entity_text"))
+
+
 def in_sentences(docs: DataFrame, pattern: str = "[A-Z][a-z]{5,}", key: str = "doc_id", text: str = "text") -> DataFrame:
     """Matches inside each sentence: key, sentence (its number from 0), start (the match's number in it), entity_text.
 
-    Sentences are those of T.sentences; offsets, which take time by the square of their number, are not made."""
-    cut = docs.select(key, F.posexplode(F.split(F.col(text), f"(?<=[.!?])(?={T.SPACE})", -1)).alias("sentence", "_s"))
+    Sentences are those of T.sentences."""
+    cut = docs.select(key, F.posexplode(F.split(F.col(text), T.SENTENCE_END, -1)).alias("sentence", "_s"))
     return cut.select(key, "sentence", F.posexplode(F.regexp_extract_all("_s", F.lit(f"({pattern})"), F.lit(1))).alias("start", "entity_text"))

@@ -84,7 +84,7 @@ def good_chunks(spark, d):
     r"SELECT doc_id, CAST(len(list_filter(string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)), lambda x: trim(x, E' \t\n\r') <> '')) AS BIGINT) AS sentences FROM documents",
 )
 def sentence_counts(spark, d):
-    return documents(spark, d).select("doc_id", F.size(T.sentences(F.col("text"))).cast("bigint").alias("sentences"))
+    return documents(spark, d).select("doc_id", T.sentence_count(F.col("text")).cast("bigint").alias("sentences"))
 
 
 LINES = "l AS (SELECT doc_id, CAST(generate_subscripts(p, 1) - 1 AS INTEGER) AS line_no, unnest(p) AS line FROM (SELECT doc_id, string_split(text, chr(10)) AS p FROM documents))"
@@ -131,13 +131,13 @@ def frequent_lines(spark, d):
 
 @register("entity_counts", f"WITH {SPANS} SELECT lang, count(*) AS mentions, count(DISTINCT entity_text) AS entities FROM s JOIN documents USING (doc_id) GROUP BY 1")
 def entity_counts(spark, d):
-    found = docs_.capitalised(documents(spark, d)).join(documents(spark, d).select("doc_id", "lang"), "doc_id")
+    found = docs_.names(documents(spark, d)).join(documents(spark, d).select("doc_id", "lang"), "doc_id")
     return found.groupBy("lang").agg(F.count(F.lit(1)).cast("bigint").alias("mentions"), F.count_distinct("entity_text").cast("bigint").alias("entities"))
 
 
 @register("top_entities", f"WITH {SPANS} SELECT entity_text, count(*) AS n FROM s GROUP BY 1 ORDER BY n DESC, entity_text LIMIT 20")
 def top_entities(spark, d):
-    return docs_.capitalised(documents(spark, d)).groupBy("entity_text").agg(F.count(F.lit(1)).cast("bigint").alias("n")).orderBy(F.desc("n"), "entity_text").limit(20)
+    return docs_.names(documents(spark, d)).groupBy("entity_text").agg(F.count(F.lit(1)).cast("bigint").alias("n")).orderBy(F.desc("n"), "entity_text").limit(20)
 
 
 @register("keyword_pages", "SELECT k AS keyword, count(*) AS documents FROM documents, (SELECT unnest(['license', 'Copyright', 'trash', 'the']) AS k) WHERE contains(lower(text), lower(k)) GROUP BY 1")
@@ -157,7 +157,7 @@ SELECT entity_text AS alias, key, first_value(entity_text) OVER (PARTITION BY ke
 
 @register("alias_groups", ALIASES)
 def alias_groups(spark, d):
-    return resolve.aliases(docs_.capitalised(documents(spark, d)))
+    return resolve.aliases(docs_.names(documents(spark, d)))
 
 
 @register("frequent_mentions", f"WITH {SPANS} SELECT doc_id, entity_text, start FROM s WHERE entity_text IN (SELECT entity_text FROM s GROUP BY 1 HAVING count(*) >= 4)")
@@ -172,7 +172,7 @@ SELECT a.entity_text AS subject, b.entity_text AS object, count(*) AS weight FRO
 
 @register("relation_edges", EDGES)
 def relation_edges(spark, d):
-    return resolve.edges(docs_.capitalised(documents(spark, d)), ["doc_id"], "entity_text", 5, 2)
+    return resolve.edges(docs_.names(documents(spark, d)), ["doc_id"], "entity_text", 5, 2)
 
 
 SENTENCE_EDGES = r"""WITH t AS (SELECT doc_id, string_split_regex(regexp_replace(text, '([.!?])[ \t\n\r\f\v]+', '\1' || chr(1), 'g'), chr(1)) AS p FROM documents),

@@ -145,3 +145,18 @@ def test_edges_by_sentence(spark):
     got = {(r["subject"], r["object"]): r["weight"] for r in resolve.edges(documents.in_sentences(docs), ["doc_id", "sentence"], "entity_text").collect()}
     names = first.split()[:5]
     assert got == {(a, b): 3 for a in names for b in names if a < b} | {("Gardena", "Houston"): 3, ("Irvine", "Jackson"): 3}
+
+
+def test_spans_of_very_long_texts(spark):
+    """Ten thousand matches in one text: offsets are right, and take time in proportion."""
+    import re
+    import time
+
+    text = "".join(f"é{'x' * (i % 7)} Name{'abc'[i % 3] * (i % 5)}! " for i in range(10_000))
+    df = spark.createDataFrame([(text,), ("",), ("none",), (None,)], "t string")
+    began = time.time()
+    got = df.select(T.spans(F.col("t"), "Name[a-c]*").alias("s"), T.sentences(F.col("t")).alias("u")).collect()
+    assert time.time() - began < 30
+    assert [(x["start"], x["end"], x["text"]) for x in got[0]["s"]] == [(m.start(), m.end(), m.group()) for m in re.finditer("Name[a-c]*", text)]
+    assert len(got[0]["u"]) == 10_000 and all(text[x["start"] : x["end"]] == x["text"] for x in got[0]["u"])
+    assert got[1]["s"] == got[2]["s"] == [] and got[3]["s"] is None
