@@ -6,15 +6,21 @@ Jaccard similarity of their token sets is 0.8 or more. A line goes if an earlier
 of doc_id and line number, matches it. Lines without words never match and stay.
 
 Plan
-1. Equal lines collapse to classes by a hash of their words, with the first place of each class;
-   partial aggregation keeps a line that a third of all documents hold from meeting in one task.
-2. A class's tokens are ordered by rarity: a token is as rare as its rarest word, whose count comes
+1. A line's tokens are ordered by rarity: a token is as rare as its rarest word, whose count comes
    from a table of word counts by hash slot (SLOTS numbers, whatever the corpus holds); ties go by
-   the token's hash. All but 80 % of the tokens, and one more, form the prefix.
-3. Prefix tokens that lie in one class only are dropped by a window count; the others are joined,
-   under the length filter (neither set is a quarter larger than the other) and the positional
-   filter (the first shared token leaves room for the intersection).
-4. Candidate pairs meet their classes' token arrays again and are verified exactly.
+   the token's hash. All but 80 % of the tokens, and one more, form the prefix. Place, line hash and
+   prefix are written; the texts themselves are never shuffled.
+2. Equal lines collapse to classes by the hash of their words, with the first place of each class;
+   partial aggregation keeps a line that a third of all documents hold from meeting in one task.
+3. Prefix tokens that lie in one class only go. Classes with a shared one are read again at their
+   first places, with all their tokens; a table of BITS bits, sent to all tasks, leaves other lines
+   behind in their own task (it filters less the more classes there are, and never drops one). A
+   sketch has a bit for the parity of the tokens in each of 64 parts.
+4. In each token's group, in the order of places, a class meets the group's first member and the
+   LAST members before it, under the length filter (neither set is a quarter larger than the other),
+   the positional filter (the first shared token leaves room for the intersection) and a filter by
+   sketch; then their tokens are compared. Of a family of near copies nearly all are settled here, without its pairs.
+5. Only a class that is not settled meets all earlier members of its groups, under the same filters.
 """
 
 from __future__ import annotations
@@ -22,92 +28,125 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stage
+from quern.llm.common import release, stage
 
 SHINGLE = 5
 #: Hash slots of the table of word counts, whatever the size of the corpus.
 SLOTS = 1 << 13
+#: Size of the table of classes that are read again.
+BITS = 1 << 23
+#: Members before it that a class meets at first.
+LAST = 3
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
-
-
-def _let(value: Column, body) -> Column:
-    """body(value) with the value computed once, however often the body names it."""
-    return F.transform(F.array(value), body)[0]
-
-
-def _words(line: str) -> Column:
-    return F.filter(F.split(F.lower(F.col(line)), f"{SPACE}+"), lambda w: w != "")
+LOW56 = (1 << 56) - 1
 
 
 def lines_of(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """doc_id, line_no (from 0), line: a row for each line with words, which one space sets apart."""
+    """doc_id, line_no (from 0), line: a row for each line with words, in lower case and set apart by one space."""
     split = docs.select(F.col(key).alias("doc_id"), F.posexplode(F.split(F.col(text), "\n", -1)).alias("line_no", "line"))
-    return split.where(F.col("line").rlike(SPACE.replace("[", "[^", 1))).select("doc_id", "line_no", F.array_join(_words("line"), " ").alias("line"))
+    odd = F.contains(F.col("line"), F.lit("  "))
+    for c in "\t\x0b\f\r":
+        odd = odd | F.contains(F.col("line"), F.lit(c))
+    plain = F.when(odd, F.regexp_replace("line", f"{SPACE}+", " ")).otherwise(F.col("line"))
+    return split.select("doc_id", "line_no", F.lower(F.trim(plain)).alias("line")).where("line <> ''")
 
 
-def _slot(word: Column) -> Column:
-    return F.pmod(F.xxhash64(word), F.lit(SLOTS)).cast("int")
+def _hashed(lines: DataFrame) -> DataFrame:
+    """doc_id, line_no, words (hashes), h: the hash of them all."""
+    words = lines.select("doc_id", "line_no", F.transform(F.split("line", " "), lambda w: F.xxhash64(w)).alias("words"))
+    return words.withColumn("h", F.xxhash64("words"))
 
 
 def word_classes(docs: DataFrame, text: str = "text") -> list[int]:
     """Rarity classes of words by hash slot: the logarithm of the count of all words in the slot."""
-    words = docs.select(F.explode(F.split(F.lower(F.col(text)), f"{SPACE}+")).alias("w"))
-    found = dict(words.groupBy(_slot(F.col("w")).alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect())
+    words = docs.select(F.explode(F.split(F.lower(F.replace(F.col(text), F.lit("\n"), F.lit(" "))), " ")).alias("w"))
+    found = dict(words.groupBy(F.pmod(F.xxhash64("w"), F.lit(SLOTS)).cast("int").alias("slot")).agg(F.count(F.lit(1)).alias("n")).collect())
     return [found.get(k, 0).bit_length() for k in range(SLOTS)]
 
 
-def _each(w: Column, token, whole) -> Column:
-    """Distinct tokens of a line's words w: token(i) for each five words from i on; whole() for a shorter line."""
+def _tokens(w: Column, token) -> Column:
+    """Distinct tokens of a line's words w, sorted: token(five words) for each five of them, or token(all) of a shorter line."""
     n = F.size(w)
-    return F.when(n >= SHINGLE, F.array_distinct(F.transform(F.sequence(F.lit(0), n - SHINGLE), token))).otherwise(F.array(whole()))
+    of = lambda i: token([F.get(w, i + k) for k in range(SHINGLE)])
+    return F.sort_array(F.array_distinct(F.when(n >= SHINGLE, F.transform(F.sequence(F.lit(0), n - SHINGLE), of)).otherwise(F.array(token([w])))))
+
+
+def _prefixes(hashed: DataFrame, rarity: list[int]) -> DataFrame:
+    """doc_id, line_no, h, n (tokens), prefix: the rarest tokens, each a rarity class over 56 bits of a hash."""
+    classes = F.split(F.lit(",".join(map(str, rarity))), ",").cast("array<long>")  # folded to a constant
+    ranked = lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(SLOTS)).cast("int")), 56).bitwiseOR(x.bitwiseAND(F.lit(LOW56)))
+
+    def token(words: list[Column]) -> Column:
+        least = F.least(*words) if len(words) > 1 else F.array_min(words[0])  # the rarest word's class is on top
+        return least.bitwiseAND(F.lit(~LOW56)).bitwiseOR(F.xxhash64(*words).bitwiseAND(F.lit(LOW56)))
+
+    packed = hashed.select("doc_id", "line_no", "h", F.transform("words", ranked).alias("w"))
+    toks = packed.select("doc_id", "line_no", "h", _tokens(F.col("w"), token).alias("toks"))
+    n = F.size("toks")
+    return toks.select("doc_id", "line_no", "h", n.alias("n"), F.slice("toks", F.lit(1), n - F.ceil(n * 4 / 5).cast("int") + 1).alias("prefix"))
+
+
+#: The order of lines.
+PLACE = "struct(isnull(doc_id) AS none, doc_id, line_no)"
+
 
+def _classes(lines: DataFrame) -> DataFrame:
+    """Distinct lines: h, first place (struct), copies, n, prefix."""
+    return lines.groupBy("h").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
-def _shingles(w: Column) -> Column:
-    """Token hashes, in no order."""
-    return _each(w, lambda i: F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]), lambda: F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE)))
 
+def _met(lines: DataFrame) -> DataFrame:
+    """t, h, n, pos: postings of prefix tokens that lie in two classes or more."""
+    posted = _classes(lines).select("h", "n", F.posexplode("prefix").alias("pos", "t"))
+    posted = posted.select("t", "h", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("v"))
+    met = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1")
+    return stage(met.select("t", "h", F.shiftright("v", 32).cast("int").alias("n"), F.col("v").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")), "met")
 
-def _ranked(w: Column, classes: Column) -> Column:
-    """Tokens, rarest first: a token's rarity class over 56 bits of its hash, as one number."""
-    packed = lambda c, h: F.shiftleft(c.cast("long"), 56).bitwiseOR(h.bitwiseAND(F.lit((1 << 56) - 1)))
 
-    def of(f: Column) -> Column:
-        token = lambda i: packed(F.least(*[F.get(f, i + k) for k in range(SHINGLE)]), F.xxhash64(*[F.get(w, i + k) for k in range(SHINGLE)]))
-        return F.sort_array(_each(w, token, lambda: packed(F.array_min(f), F.xxhash64(F.array_join(w, " "), F.lit(SHINGLE)))))
+def _read_again(docs: DataFrame, lines: DataFrame, met: DataFrame, text: str, key: str) -> DataFrame:
+    """h, first, toks, sketch of the classes in met: read at the first place of each."""
+    wanted = lines.groupBy("h").agg(F.min(F.expr(PLACE)).alias("first")).join(met.select("h").distinct(), "h")
+    at = lambda doc, line: F.xxhash64(F.coalesce(doc, F.lit(-1)), line)
+    slot, bit = F.pmod("at", F.lit(BITS // 64)), F.shiftright("at", 40).bitwiseAND(F.lit(63)).cast("int")
+    placed = wanted.select(at(F.col("first.doc_id"), F.col("first.line_no")).alias("at"))
+    bits = placed.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(at, 40) & 63 as int))")).alias("bits"))
+    own = lines_of(docs, text, key).withColumn("at", at(F.col("doc_id"), F.col("line_no"))).withColumn("slot", slot)
+    near = _hashed(own.join(F.broadcast(bits), "slot").where(F.getbit("bits", bit) == 1))  # BITS / 64 rows at most
+    toks = near.select("h", _tokens(F.col("words"), lambda words: F.xxhash64(*words)).alias("toks"))
+    toks = toks.withColumn("sketch", F.aggregate("toks", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))))
+    return stage(wanted.join(toks.groupBy("h").agg(F.first("toks").alias("toks"), F.first("sketch").alias("sketch")), "h"), "toks")
 
-    return _let(F.transform(w, lambda x: F.get(classes, _slot(x))), of)
 
+def _later(pairs: DataFrame, toks: DataFrame) -> DataFrame:
+    """h of the later ones among pairs (ha before hb) that match."""
+    side = lambda s: toks.select(F.col("h").alias("h" + s), F.col("toks").alias("t" + s))
+    both = pairs.distinct().join(side("a"), "ha").join(side("b"), "hb")
+    sizes = both.select("hb", F.size(F.array_intersect("ta", "tb")).alias("common"), (F.size("ta") + F.size("tb")).alias("all"))
+    return sizes.where("100 * common >= 80 * (all - common)").select(F.col("hb").alias("h")).distinct()
 
-def classes_of(lines: DataFrame) -> DataFrame:
-    """Distinct lines: h, first place (struct), line."""
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no", "line")
-    return lines.groupBy(F.xxhash64("line").alias("h")).agg(F.min(place).alias("first")).select("h", F.col("first").dropFields("line").alias("first"), F.col("first.line").alias("line"))
 
+#: Postings a and b of one token that may be of matching classes: length filter, positional filter, and of the
+#: parities of their tokens no more may differ than tokens do in sets that match.
+FILTERS = """a.h <> b.h and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and least(a.n - a.pos, b.n - b.pos) >= ceil((a.n + b.n) * 4 / 9)
+ and bit_count(a.sketch ^ b.sketch) <= a.n + b.n - 2 * ceil((a.n + b.n) * 4 / 9)"""
 
-def matching_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """h of every class of equal lines that matches an earlier, different class."""
-    rarity = F.split(F.lit(",".join(map(str, word_classes(docs, text)))), ",").cast("array<int>")  # folded to a constant
-    classes = classes_of(lines_of(docs, text, key))
-    toks = classes.select("h", _let(F.split("line", " "), lambda w: _ranked(w, rarity)).alias("toks")).withColumn("n", F.size("toks"))
 
-    prefix = F.col("n") - F.ceil(F.col("n") * 4 / 5).cast("int") + 1
-    posted = toks.select("h", "n", F.posexplode(F.slice("toks", F.lit(1), prefix)).alias("pos", "t"))
-    posted = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1").drop("df")
-    a, b = (posted.select("t", *(F.col(c).alias(c + s) for c in ("h", "n", "pos"))) for s in "ab")
-    need = F.ceil((F.col("na") + F.col("nb")) * 4 / 9)
-    pairs = (
-        a.join(b, "t")
-        .where("ha < hb and 5 * na >= 4 * nb and 5 * nb >= 4 * na")
-        .where(F.least(F.col("na") - F.col("posa"), F.col("nb") - F.col("posb")) >= need)
-        .select("ha", "hb")
-        .distinct()
-    )
-    side = lambda s: classes.select(*(F.col(c).alias(c + s) for c in ("h", "first", "line")))
-    both = pairs.join(side("a"), "ha").join(side("b"), "hb")
-    sets = lambda c: _let(F.split(c, " "), _shingles)  # noqa: E731  only of lines that are candidates
-    both = both.select("ha", "hb", "firsta", "firstb", _let(sets("linea"), lambda x: _let(sets("lineb"), lambda y: F.struct(F.size(F.array_intersect(x, y)).alias("common"), F.size(x).alias("na"), F.size(y).alias("nb")))).alias("v"))
-    linked = both.where("100 * v.common >= 80 * (v.na + v.nb - v.common)")
-    return linked.select(F.when(F.col("firsta") < F.col("firstb"), F.col("hb")).otherwise(F.col("ha")).alias("h")).distinct()
+def matching_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """h of every class of equal lines that matches an earlier, different class; lines: those of _prefixes."""
+    met = _met(lines)
+    toks = _read_again(docs, lines, met, text, key)
+    shared = stage(met.join(toks.select("h", "first", "sketch"), "h"), "shared")
+    order = Window.partitionBy("t").orderBy("first", "h")
+    own = F.struct("h", "n", "pos", "sketch")
+    near = shared.select(own.alias("b"), F.array(F.first(own).over(order), *(F.lag(own, k).over(order) for k in range(1, LAST + 1))).alias("a"))
+    near = near.select("b", F.explode("a").alias("a")).where(FILTERS).select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb"))
+    settled = stage(_later(near, toks), "settled")
+    rest = shared.join(settled, "h", "left_anti")
+    pairs = shared.alias("a").join(rest.alias("b"), F.col("a.t") == F.col("b.t")).where("a.first < b.first and " + FILTERS)
+    found = stage(_later(pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")), toks), "found")
+    out = stage(settled.unionByName(found), "near")
+    release(met, shared, toks, settled, found)
+    return out
 
 
 def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
@@ -116,12 +155,12 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     Null texts have no line; lines without words stay; rows that repeat as a whole count as one
     document (a line number's first row stays in each); a null doc_id comes after all others.
     """
-    lines = stage(lines_of(docs, text, key).select("doc_id", "line_no", F.xxhash64("line").alias("h")), "lines")
-    place = F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "line_no")
-    first = lines.groupBy("h").agg(F.min(place).alias("first"), F.count(F.lit(1)).alias("copies"))
-    near = stage(matching_lines(docs, text, key), "near")
+    lines = stage(_prefixes(_hashed(lines_of(docs, text, key)), word_classes(docs, text)), "lines")
+    near = matching_lines(docs, lines, text, key)
+    first = lines.groupBy("h").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
     judged = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near")
-    return lines.join(judged, "h").where(F.col("near").isNotNull() | ~(place.eqNullSafe(F.col("first")))).select("doc_id", "line_no")
+    gone = lines.select("doc_id", "line_no", "h").join(judged, "h").where(F.col("near").isNotNull() | ~(F.expr(PLACE).eqNullSafe(F.col("first"))))
+    return gone.select("doc_id", "line_no")
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:

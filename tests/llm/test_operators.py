@@ -151,6 +151,25 @@ def test_line_dedup(docs, rows, nothing):
     assert not re.search("Python|Pandas|Arrow", plan)
 
 
+def test_line_dedup_of_a_family(spark):
+    """One line in most rows, near copies of it in many, a chain whose ends do not match, tabs and null ids."""
+    r = random.Random(8)
+    base = [f"k{i}" for i in range(100)]
+    rows = [(i, " ".join(base)) for i in range(0, 300, 3)]
+    for i in range(1, 240, 3):
+        w = list(base)
+        w[r.randrange(100)] = f"n{i}"
+        rows.append((i, " ".join(w) + ("\n" + " ".join(base) if i % 2 else "")))
+    for k in range(6):  # each is near the one before it
+        rows.append((1000 + k, "\t".join(base[:2] + [f"c{j}" for j in range(5 * k)] + [f"d{j}" for j in range(5 * k, 60)])))
+    rows = [(i, t, "en", "s", 0, 0, "x", 0) for i, t in rows]
+    got = line_dedup.line_decisions(spark.createDataFrame(rows, SCHEMA).repartition(3)).collect()
+    assert {(x["doc_id"], k) for x in got for k in x["removed"]} == removed_lines(rows)
+    rows = [(None, "one line\n \none line"), (4, "one  LINE"), (4, "one  LINE"), (5, None), (6, "")]
+    got = line_dedup.line_decisions(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    assert sorted((x["doc_id"] or -1, x["n_lines"], x["removed"]) for x in got) == [(-1, 3, [0, 2]), (4, 1, []), (4, 1, []), (5, 0, []), (6, 1, [])]
+
+
 def without_repeats(rows):
     count = Counter(tuple(w[i : i + 35]) for w in (words(t) for _, t, *_ in rows) for i in range(len(w) - 34))
     out = {}
