@@ -6,8 +6,9 @@ run once, with barriers between. Its suffix array gives the Burrows-Wheeler tran
 over it answers rank queries; all benchmark windows are searched backwards together; an occurrence's
 place is found by walking back to the next sampled suffix. Spans of hit words are merged by counting.
 
-The pass over the documents needs no shuffle. Only the benchmark is broadcast, and its size is
-checked: a benchmark of more than BLOCK_BYTES is refused, to be passed in parts by the caller.
+The pass over the documents needs no shuffle. Only the benchmark is broadcast, at most BLOCK_BYTES of
+its text at once: a larger one is searched block after block, and the spans and items of all blocks
+are merged.
 """
 
 from __future__ import annotations
@@ -19,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ALNUM, gather, texts
+from quern.llm.common import ALNUM, gather, stage, texts
 
 WINDOW = 13
 #: Words of a shard; suffixes are sampled at every 8th place.
@@ -120,9 +121,12 @@ class Phrases:
     def of(rows: list[tuple[int, bytes | None]], window: int) -> Phrases:
         words: dict[bytes, int] = {}
         found: dict[int, dict[tuple, set[int]]] = {}
-        items = []
-        for k, (item, text) in enumerate(rows):
-            items.append(str(item))
+        items, places = [], {}
+        for item, text in rows:
+            if item is None:
+                k = -1  # its windows hit, but it has no name to list
+            elif (k := places.setdefault(str(item), len(items))) == len(items):
+                items.append(str(item))
             ids = [words.setdefault(w, len(words) + 1) for w in (text or b"").translate(ALNUM).split()]
             m = min(len(ids), window)
             for i in range(len(ids) - m + 1 if m else 0):
@@ -180,10 +184,12 @@ def _hits(ids: np.ndarray, counts: np.ndarray, phrases: Phrases) -> tuple[np.nda
         np.add.at(hit, word + m, -1)
         for d, p in set(zip(doc[word].tolist(), which.tolist(), strict=True)):
             items[d].update(of[p].tolist())
+        for found in items:
+            found.discard(-1)
     return np.cumsum(hit[:-1]) > 0, items
 
 
-def _scan(phrases_of, window: int, keep_words: bool):
+def _scan(phrases_of, window: int, keep_words: bool, key_type: pa.DataType = pa.int64()):  # noqa: B008
     """(row columns, n_words, n_hit, items, kept spans) of each document, shard after shard."""
 
     def run(batches):
@@ -206,7 +212,7 @@ def _scan(phrases_of, window: int, keep_words: bool):
                     spans = edge.tolist()
                 out.append((rows[k][1], c, int(h.sum()), sorted(phrases.items[i] for i in items[k]), spans))
             cols = list(zip(*out, strict=True))
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            types = (key_type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
             return pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
         rows, held = [], 0
@@ -228,6 +234,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
 
     docs: doc_id, text; benchmark: item_id, text; more columns are not looked at. Null and empty
     texts have no words; an item without words has no window. Rows may repeat: each is judged alone.
+    Benchmark rows of one item_id are one item; those of a null id hit words, but are not listed.
     An empty benchmark hits nothing. spans: begin and end places of merged runs of hit words, flat.
     """
     spark = docs.sparkSession
@@ -239,10 +246,44 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             held = 0
         blocks[-1].append((r["item_id"], t))
         held += len(t or b"")
-    if len(blocks) > 1:
-        raise ValueError(f"the benchmark holds more than {BLOCK_BYTES} bytes of text: pass it in parts and merge the spans")
-    shared = spark.sparkContext.broadcast(blocks[0])
-    return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_scan(shared, window, spans), "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>")
+    kind = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
+    if len(blocks) == 1:
+        shared = spark.sparkContext.broadcast(blocks[0])
+        return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_scan(shared, window, spans), kind)
+    # block after block; what each finds in a text goes under the text's digest, so equal texts share it
+    found = None
+    for block in blocks:
+        shared = spark.sparkContext.broadcast(block)
+        own = docs.where("text is not null").select("text", F.md5("text").alias("key"))
+        hits = own.mapInArrow(_scan(shared, window, True, pa.string()), kind.replace("doc_id long", "doc_id string"))
+        hits = hits.where("n_hit > 0").dropDuplicates(["doc_id"])
+        hits = stage(hits.select(F.col("doc_id").alias("_key"), "items", "spans"), "hits")
+        shared.unpersist()
+        found = hits if found is None else found.unionByName(hits)
+    merged = found.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
+    own = docs.select("text", F.col("doc_id").cast("long")).withColumn("_key", F.md5("text"))
+    return own.join(merged, "_key", "left").select("text", "doc_id", "items", "spans").mapInArrow(_counted(spans), kind)
+
+
+def _counted(keep_words: bool):
+    """The columns of _scan from texts, their items, and their spans of all blocks."""
+
+    def run(batches):
+        for batch in batches:
+            out = []
+            for t, key, items, spans in zip(texts(batch.column(0)), *(batch.column(k).to_pylist() for k in (1, 2, 3)), strict=True):
+                n = len((t or b"").translate(ALNUM).split())
+                change = np.zeros(n + 1, np.int64)
+                np.add.at(change, np.array(spans[::2] if spans else [], np.int64), 1)
+                np.add.at(change, np.array(spans[1::2] if spans else [], np.int64), -1)
+                hit = np.cumsum(change[:-1]) > 0
+                edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
+                out.append((key, n, int(hit.sum()), items or [], edge if keep_words else None))
+            cols = list(zip(*out, strict=True)) if out else [()] * 5
+            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_words", "n_hit", "items", "spans"])
+
+    return run
 
 
 def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:

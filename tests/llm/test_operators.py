@@ -265,6 +265,23 @@ def test_decontamination(spark, docs, rows, nothing):
     assert {x["doc_id"] for x in decontaminate.clean_of(docs, bench).collect()} == {i for i, (n, h, _) in want.items() if not (h and 20 * h >= n)}
 
 
+@pytest.mark.parametrize("block", [8 << 20, 300])
+def test_decontamination_of_repeated_items(spark, docs, rows, monkeypatch, block):
+    """Rows of one item are one item, null ids hit without a name; any number of blocks gives the same."""
+    monkeypatch.setattr(decontaminate, "BLOCK_BYTES", block)
+    items = [(k // 3, " ".join((t or "").split()[2 : 2 + 9 + k])) for k, (_, t, *_) in enumerate(rows) if k % 4 == 0] + [(1, "one two three"), (1, "one two three"), (None, "one")]
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    joined = defaultdict(dict)
+    for i, t in items:
+        for x, (n, h, of) in hits(rows, [(i, t)]).items():
+            if of and i is not None:
+                joined[x][str(i)] = 1
+    hit = {x: h for x, (n, h, _) in hits(rows, [(k, t) for k, (_, t) in enumerate(items)]).items()}
+    for x in decontaminate.judged(docs.unionByName(docs.where("doc_id < 50")), bench).collect():
+        of = sorted(joined[x["doc_id"]])
+        assert (x["n_hit"], x["n_items"], x["items_sha256"]) == (hit[x["doc_id"]], len(of), hashlib.sha256(",".join(of).encode()).hexdigest())
+
+
 def test_fm_index():
     r = np.random.default_rng(0)
     for _ in range(30):
