@@ -30,9 +30,9 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import dealt, mix, release, rows_by_key, scratch, stage, width
+from quern.llm.common import bounded, dealt, lean, mix, release, rows_by_key, scratch, stage, width
 from quern.llm.packing import numbered_files
-from quern.llm.tokens import codec, default_vocabulary, runs
+from quern.llm.tokens import codec, default_vocabulary, forget, runs
 
 #: Ids under the rolling hash; a chunk ends where CUT bits of the hash are zero, or at MOST ids.
 ROLL, CUT, MOST = 8, 9, 8192
@@ -95,6 +95,7 @@ def _cut(vocabulary: str, kind: str):
                     ["doc_id", "row", "n_tokens", "digests", "root", "chunks"],
                 )
                 row += len(n)
+        forget(words)
 
     return run
 
@@ -147,7 +148,7 @@ class ChunkStore:
         self.kind = "<u2" if codec(self.vocabulary).codec.get_vocab_size() <= 1 << 16 else "<u4"
 
     def write(self, docs: DataFrame) -> ChunkStore:
-        cut = stage(docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_cut(self.vocabulary, self.kind), _CUT), "cut", "zstd")
+        cut = stage(bounded(docs).select("text", F.col("doc_id").cast("long")).mapInArrow(lean(_cut(self.vocabulary, self.kind)), _CUT), "cut", "zstd")
         # equal chunks meet in their own task first, so one that every document holds does not gather
         packs = cut.select(F.explode("chunks").alias("c")).groupBy("c.name").agg(F.first("c.data").alias("data"))
         # in buckets, so that they need no shuffle to be joined
@@ -204,7 +205,7 @@ class ChunkStore:
         columns = ["row", "place", "name", "data", "head"]
         parts = known.where("known is not null").withColumnRenamed("known", "data").select(columns).unionByName(rest.select(columns))
         parts = parts.repartition(width(self.spark), "row").sortWithinPartitions("row", "place")
-        return parts.mapInArrow(_read(self.kind), "doc_id long, start long, n_tokens long, ids_crc32 long, merkle_root string")
+        return parts.mapInArrow(lean(_read(self.kind)), "doc_id long, start long, n_tokens long, ids_crc32 long, merkle_root string")
 
 
 def stored(docs: DataFrame, vocabulary: str | None = None) -> ChunkStore:

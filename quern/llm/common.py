@@ -6,6 +6,7 @@ kept in a machine-local folder unless the session runs in local mode and names n
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
@@ -21,6 +22,9 @@ LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: As LOWER, and every ASCII byte but letters and digits becomes a space.
 ALNUM = bytes(LOWER[c] if c > 127 or chr(c).isalnum() else 32 for c in range(256))
 
+#: Most rows and bytes of an Arrow batch.
+BATCH_ROWS, BATCH_BYTES = 1000, 8 << 20
+
 _own: dict[str, str] = {}
 
 
@@ -44,6 +48,33 @@ def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def bounded(df: DataFrame) -> DataFrame:
+    """df, in a session whose Arrow batches have at most BATCH_ROWS rows and BATCH_BYTES bytes: what a task and its
+    Python worker hold at once does not grow with the length of texts."""
+    conf = df.sparkSession.conf
+    if int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch")) != BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", BATCH_ROWS)
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", BATCH_BYTES)
+    return df
+
+
+def lean(run):
+    """run, and what its task leaves behind is given back: a Python worker stays for the tasks of other operators."""
+
+    def own(batches):
+        yield from run(batches)
+        _give_back()
+
+    return own
+
+
+def _give_back() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
+
+
 def release(*frames: DataFrame) -> None:
     """Deletes staged tables that nothing reads any more."""
     for df in frames:

@@ -20,7 +20,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import ALNUM, gather, stage, texts
+from quern.llm.common import ALNUM, bounded, gather, lean, stage, texts
 
 WINDOW = 13
 #: Words of a shard; suffixes are sampled at every 8th place.
@@ -237,7 +237,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     Benchmark rows of one item_id are one item; those of a null id hit words, but are not listed.
     An empty benchmark hits nothing. spans: begin and end places of merged runs of hit words, flat.
     """
-    spark = docs.sparkSession
+    spark = bounded(docs).sparkSession
     blocks, held = [[]], 0
     for r in benchmark.select("item_id", "text").toLocalIterator():
         t = None if r["text"] is None else r["text"].encode()
@@ -249,7 +249,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
     kind = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(blocks[0])
-        return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_scan(shared, window, spans), kind)
+        return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(lean(_scan(shared, window, spans)), kind)
     # block after block; what each finds in a text goes under the text's digest, so equal texts share it
     found = None
     for block in blocks:

@@ -28,7 +28,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quern.llm.common import LOWER, WordHash, by_key, components, dealt, gather, mix, release, rows_by_key, stage, texts, width, windows
+from quern.llm.common import LOWER, WordHash, bounded, by_key, components, dealt, gather, lean, mix, release, rows_by_key, stage, texts, width, windows
 
 SHINGLE = 5
 #: Words that a task holds at once.
@@ -333,12 +333,11 @@ def _documents(batches):
 
 def set_links(docs: DataFrame, text: str = "text") -> DataFrame:
     """(sid, component) of every set that links with another one; see the module's text."""
-    spark = docs.sparkSession
-    p = width(spark)
-    runs = docs.select(text).mapInArrow(_token_runs(p), "bucket int, run binary")
-    shared = dealt(runs, "bucket").mapInArrow(_shared_tokens(p), "grp int, run binary")
-    sets = stage(dealt(shared, "grp").mapInArrow(_surviving_sets, "sid long, n int, toks binary, cls binary"), "sets")
-    post = lambda df: dealt(df.mapInArrow(_postings(p), "bucket int, run binary"), "bucket")
+    p = width(bounded(docs).sparkSession)
+    runs = docs.select(text).mapInArrow(lean(_token_runs(p)), "bucket int, run binary")
+    shared = dealt(runs, "bucket").mapInArrow(lean(_shared_tokens(p)), "grp int, run binary")
+    sets = stage(dealt(shared, "grp").mapInArrow(lean(_surviving_sets), "sid long, n int, toks binary, cls binary"), "sets")
+    post = lambda df: dealt(df.mapInArrow(lean(_postings(p)), "bucket int, run binary"), "bucket")
     alone = sets.select("sid", "n", "toks", F.col("sid").alias("comp"), F.col("sid").alias("fam"))
     met = post(alone).mapInArrow(_hubs, "sid long, fam long, times long").groupBy("sid", "fam").agg(F.sum("times").alias("times"))
     own = met.groupBy("sid").agg(F.max_by("fam", F.struct("times", "fam")).alias("fam"))
@@ -349,12 +348,12 @@ def set_links(docs: DataFrame, text: str = "text") -> DataFrame:
     cut = family.join(sizes, "fam").withColumn("blocks", F.ceil(F.col("members") / BLOCK).cast("int")).withColumn("block", F.expr("cast(pmod(xxhash64(sid), blocks) as int)"))
     met = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
     key = F.xxhash64("fam", F.least("block", "other"), F.greatest("block", "other"))
-    inside = stage(dealt(met.select(key.alias("key"), "sid", "n", "toks"), "key").mapInArrow(_family_links, "a long, b long"), "links")
+    inside = stage(dealt(met.select(key.alias("key"), "sid", "n", "toks"), "key").mapInArrow(lean(_family_links), "a long, b long"), "links")
     labels = components(inside)
 
     # what lies in other families: pairs by any prefix token, unless they are connected already
     known = family.join(labels.withColumnRenamed("id", "sid"), "sid", "left").select("sid", "n", "toks", F.coalesce("component", "sid").alias("comp"), "fam")
-    pairs = post(known).mapInArrow(_cross_pairs, "a long, b long").distinct()
+    pairs = post(known).mapInArrow(lean(_cross_pairs), "a long, b long").distinct()
     across = stage(_verified(pairs, sets), "links")
     release(labels, family)
     links = [inside, across]
@@ -373,7 +372,7 @@ def jaccard_components(docs: DataFrame, text: str = "text", key: str = "doc_id")
     N^2 / 2^65. Columns of docs other than text and key are not looked at.
     """
     labels = set_links(docs, text)
-    own = stage(docs.select(F.col(text), F.col(key).cast("long")).mapInArrow(_documents, "id long, n_shingles long, sid long"), "own")
+    own = stage(docs.select(F.col(text), F.col(key).cast("long")).mapInArrow(lean(_documents), "id long, n_shingles long, sid long"), "own")
     full = own.where("n_shingles > 0")
     sets = full.groupBy("sid").agg(F.min("id").alias("first"))
     named = sets.join(labels, "sid", "left").select("sid", "first", F.coalesce("component", "sid").alias("component"))

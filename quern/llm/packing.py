@@ -16,8 +16,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import stage, width
-from quern.llm.tokens import codec, default_vocabulary, runs
+from quern.llm.common import bounded, lean, stage, width
+from quern.llm.tokens import codec, default_vocabulary, forget, runs
 
 SEQUENCE = 2048
 
@@ -30,7 +30,8 @@ def pieces_of(length: int, sequence: int = SEQUENCE) -> list[int]:
 
 def _cut(vocabulary: str, sequence: int, with_ids: bool):
     def run(batches):
-        encode = codec(vocabulary).encode
+        words = codec(vocabulary)
+        encode = words.encode
         for batch in batches:
             column, keys = batch.column(0), batch.column(1).to_pylist()
             for lo, hi in runs(column):
@@ -47,6 +48,7 @@ def _cut(vocabulary: str, sequence: int, with_ids: bool):
                     out.append((key, m, crcs, own if with_ids else None))
                 k, m, c, o = zip(*out, strict=True)
                 yield pa.RecordBatch.from_arrays([pa.array(k, pa.int64()), pa.array(m, pa.int64()), pa.array(c, pa.list_(pa.int64())), pa.array(o, pa.list_(pa.binary()))], ["doc_id", "doc_tokens", "crcs", "pieces"])
+        forget(words)
 
     return run
 
@@ -84,7 +86,7 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     """
     if sequence & (sequence - 1):
         raise ValueError("the sequence length must be a power of two")
-    cut = docs.select("text", F.col("doc_id").cast("long")).mapInArrow(_cut(vocabulary or default_vocabulary(), sequence, with_ids), "doc_id long, doc_tokens long, crcs array<long>, pieces array<binary>")
+    cut = bounded(docs).select("text", F.col("doc_id").cast("long")).mapInArrow(lean(_cut(vocabulary or default_vocabulary(), sequence, with_ids)), "doc_id long, doc_tokens long, crcs array<long>, pieces array<binary>")
     top = sequence.bit_length() - 1
     digits = [f"b{b}" for b in range(top, -1, -1)]
     count = lambda b: F.expr(f"doc_tokens div {sequence}") if b == top else F.expr(f"shiftright(doc_tokens, {b}) & 1")

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from quern.llm.common import WordHash, by_key, dealt, gather, mix, texts, width, windows
+from quern.llm.common import WordHash, bounded, by_key, dealt, gather, mix, texts, width, windows
 
 WINDOW, GRAM = 35, 8
 #: Bytes of text from which a task cuts one set of runs.
@@ -230,7 +230,7 @@ def _texts(batches):
 
 def batch_runs(docs: DataFrame, buckets: int) -> DataFrame:
     """(bucket, run) of a batch of documents (doc_id, text)."""
-    return docs.select("text", row_key("doc_id", "text").alias("row")).mapInArrow(_runs(buckets), "bucket int, run binary").select("bucket", F.concat(F.lit(b"n"), "run").alias("run"))
+    return bounded(docs).select("text", row_key("doc_id", "text").alias("row")).mapInArrow(_runs(buckets), "bucket int, run binary").select("bucket", F.concat(F.lit(b"n"), "run").alias("run"))
 
 
 def masked(docs: DataFrame, history: DataFrame | None = None, buckets: int | None = None) -> DataFrame:

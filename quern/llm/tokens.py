@@ -164,6 +164,12 @@ class WordCodec(dict):
         return ids, n
 
 
+def forget(own: WordCodec) -> None:
+    """What is left for the next task: not more than a part of what may be remembered."""
+    if own.count > REMEMBERED // 2:
+        own.clear()
+
+
 def codec(path: str) -> WordCodec:
     if path not in _codecs:
         _codecs[path] = WordCodec(path)

@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quern.llm.common import ALNUM, texts
+from quern.llm.common import ALNUM, bounded, lean, texts
 
 POSITIVES, UNLABELLED = 4_000, 16_000
 #: Words whose hash is a feature, and the least number of positives that hold one.
@@ -125,12 +125,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     prior = toxic / n if n else 0.01
     draw = lambda want, of: F.pmod(F.xxhash64(F.col("doc_id"), F.lit(17)), F.lit(1 << 30)) < F.lit(int(min(1.0, want / max(of, 1)) * (1 << 30)))
     positive = marked.where((F.col("toxic") > 0) & draw(POSITIVES, toxic)).select("doc_id", F.lit(True).alias("positive"))
-    total = docs.select("doc_id").count()
+    total = bounded(docs).select("doc_id").count()
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     # POSITIVES ids at most go to every executor
     known = own.join(F.broadcast(positive), "doc_id", "left")
     drawn = known.where(F.col("positive") | draw(UNLABELLED, total)).select("text", F.coalesce("positive", F.lit(False)))
-    rows = drawn.mapInArrow(_hashed, "positive boolean, ids binary").collect()
+    rows = drawn.mapInArrow(lean(_hashed), "positive boolean, ids binary").collect()
     ids = [(r["positive"], np.frombuffer(r["ids"], "<i4")) for r in rows]
     order = sorted(range(len(ids)), key=lambda k: (ids[k][0], ids[k][1].tobytes()))  # whatever order tasks end in
     return train([ids[k][1] for k in order if ids[k][0]], [ids[k][1] for k in order if not ids[k][0]], prior)
@@ -148,7 +148,7 @@ def _scored(scorer: Scorer):
 def scores(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """doc_id, held_out, score, predicted of every row of docs; null and empty texts get the bias's score."""
     scorer = fit(docs, labels)
-    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out")).mapInArrow(_scored(scorer), "doc_id long, held_out boolean, score double, predicted int")
+    return docs.select("text", F.col("doc_id").cast("long").alias("doc_id"), held_out("doc_id").alias("held_out")).mapInArrow(lean(_scored(scorer)), "doc_id long, held_out boolean, score double, predicted int")
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
@@ -162,4 +162,4 @@ def without_toxic(docs: DataFrame, labels: DataFrame) -> DataFrame:
         for batch in batches:
             yield batch.filter(pa.array(scorer.score(texts(batch.column(own))) < 0.5))
 
-    return docs.toDF(*schema.names).mapInArrow(run, schema).toDF(*names)
+    return docs.toDF(*schema.names).mapInArrow(lean(run), schema).toDF(*names)
