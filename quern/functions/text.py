@@ -215,7 +215,24 @@ def entities(c: Column, patterns: dict[str, str] | None = None) -> Column:
     return F.concat(*[of(k, kind, pattern) for k, (kind, pattern) in enumerate(own.items())])
 
 
+#: Programs under their short names, and words that stay small in a disaster's name. Fixed values.
+PROGRAMS = {
+    "HAP": "Homeowner Assistance Program",
+    "HRP": "Homeowner Reimbursement Program",
+    "CDBG-DR": "Community Development Block Grant - Disaster Recovery",
+    "CDBG-MIT": "Community Development Block Grant - Mitigation",
+}
+SMALL_WORDS = ("of", "and", "the", "in", "on")
+
+
 def normalize_entity(kind: Column, text: Column) -> Column:
-    """An entity's normal form: a declaration's number, a county as 'Name County', else trimmed text."""
-    county = F.concat(F.initcap(F.trim(F.regexp_replace(F.lower(text), "\\s+county$", ""))), F.lit(" County"))
-    return F.when(kind == "FEMA_DECLARATION", extract(text, "([0-9]{4})")).when(kind == "GRANT_NUMBER", F.upper(text)).when(kind == "TX_COUNTY", county).otherwise(F.trim(text))
+    """An entity's normal form: a declaration's number, a county as 'Name County', a program's long name, a
+    disaster's name with small words small, else trimmed text."""
+    own = F.trim(text)
+    county = F.concat(F.initcap(F.trim(F.regexp_replace(F.lower(own), "\\s+county$", ""))), F.lit(" County"))
+    program = F.coalesce(F.try_element_at(F.create_map(*[F.lit(x) for pair in PROGRAMS.items() for x in pair]), F.upper(own)), F.initcap(own))
+    disaster = F.array_join(F.transform(words(F.lower(own)), lambda w: F.when(w.isin(*SMALL_WORDS), w).otherwise(F.initcap(w))), " ")
+    return (
+        F.when(kind == "FEMA_DECLARATION", extract(own, "([0-9]{4})")).when(kind == "GRANT_NUMBER", F.upper(own)).when(kind == "TX_COUNTY", county).when(kind == "PROGRAM", program)
+        .when(kind == "DISASTER", disaster).otherwise(own)
+    )

@@ -153,7 +153,21 @@ def expenditure_rates(df: DataFrame, *keys: str) -> DataFrame:
 
 
 #: Activity code prefixes and their categories, in the order in which they are tried. Fixed values.
-CATEGORIES = (("HC", "Harris County"), ("COH", "City of Houston"), ("HCFCD", "Flood Control"), ("PLANNING", "Planning"), ("ADMIN", "Administration"))
+CATEGORIES = (
+    ("ADMIN", "Administration"),
+    ("PLANNING", "Planning"),
+    ("PLAN", "Planning"),
+    ("HAP", "Homeowner Assistance Program"),
+    ("HRP", "Homeowner Reimbursement"),
+    ("INF", "Infrastructure"),
+    ("LBAP", "Local Buyout/Acquisition"),
+    ("ERP", "Economic Revitalization"),
+    ("ARP", "Affordable Rental"),
+    ("PREPS", "PREPS Program"),
+    ("Hou", "City of Houston"),
+    ("HC", "Harris County"),
+    ("HCFCD", "Harris County Flood Control"),
+)
 
 
 def category_of(code: Column, prefixes=CATEGORIES, default: str = "Other") -> Column:
