@@ -1,3 +1,3 @@
 """Composite queries; importing this package registers all of them."""
 
-from quern.plans import panels, periods, rollups, rules, texts  # noqa: F401
+from quern.plans import ledgers, panels, periods, reports, rollups, rules, texts  # noqa: F401
