@@ -76,9 +76,20 @@ def good_chunks(docs: DataFrame, least: int = 200, most_digits: float = 0.15, bo
     return docs.where(ok)
 
 
+#: Patterns that are sent to every task at once.
+PATTERNS = 4096
+
+
 def substring_join(docs: DataFrame, patterns: DataFrame, text: str, pattern: str) -> DataFrame:
-    """Each row with every pattern that its text holds; patterns are a small table, sent to every task."""
-    return docs.join(F.broadcast(patterns), F.contains(F.lower(F.col(text)), F.lower(F.col(pattern))))
+    """Each row with every pattern that its text holds, whatever the case. A pattern may stand anywhere, so there is no
+    key to join by: patterns go to all tasks, in blocks of at most PATTERNS, and each block passes over the rows."""
+    parts = max(1, -(-patterns.count() // PATTERNS))
+    out = None
+    for part in range(parts):
+        block = patterns if parts == 1 else patterns.where(F.pmod(F.xxhash64(pattern), F.lit(parts)) == part)
+        found = docs.join(F.broadcast(block), F.contains(F.lower(F.col(text)), F.lower(F.col(pattern))))
+        out = found if out is None else out.unionByName(found)
+    return out
 
 
 def links(pages: DataFrame, key: str = "page_id", html: str = "html") -> DataFrame:

@@ -30,12 +30,25 @@ def nearest_to_row(vectors: DataFrame, row: int, k: int, key: str = "vec_id", ve
     return scored.orderBy(F.desc("score"), key).limit(k)
 
 
+#: Seeds that are sent to every task; with more of them the rows meet them in blocks of seeds.
+SEEDS = 1024
+
+
 def best_seed(vectors: DataFrame, seeds: DataFrame, threshold: float, k: int, head_first: bool = False, key: str = "vec_id", vector: str = "embedding") -> DataFrame:
-    """The largest cosine over a few seed vectors (seed, embedding) and the seed that has it; rows of at
-    least the threshold, k at most. head_first takes the k best before the threshold is applied."""
-    s = F.broadcast(seeds.select("seed", F.col(vector).alias("_s")))
-    scored = vectors.join(s, F.lit(True)).select(key, "seed", F.round(cosine(F.col(vector), F.col("_s")), 6).alias("score"))
-    best = scored.groupBy(key).agg(F.max("score").alias("score"), F.min_by("seed", F.struct(-F.col("score"), F.col("seed"))).alias("seed"))
+    """The largest cosine over seed vectors (seed, embedding) and the seed that has it; rows of at least
+    the threshold, k at most. head_first takes the k best before the threshold is applied.
+
+    Seeds are broadcast in blocks of at most SEEDS, and the best of each block compete."""
+    own = seeds.select("seed", F.col(vector).alias("_s"))
+    parts = -(-own.count() // SEEDS)
+    best = None
+    for part in range(max(parts, 1)):
+        block = own if parts <= 1 else own.where(F.pmod(F.xxhash64("seed"), F.lit(parts)) == part)
+        scored = vectors.join(F.broadcast(block), F.lit(True)).select(key, "seed", F.round(cosine(F.col(vector), F.col("_s")), 6).alias("score"))
+        scored = scored.groupBy(key).agg(F.max("score").alias("score"), F.min_by("seed", F.struct(-F.col("score"), F.col("seed"))).alias("seed"))
+        best = scored if best is None else best.unionByName(scored)
+    if parts > 1:
+        best = best.groupBy(key).agg(F.max("score").alias("score"), F.min_by("seed", F.struct(-F.col("score"), F.col("seed"))).alias("seed"))
     order = (F.desc("score"), key)
     if head_first:
         return best.orderBy(*order).limit(k).where(F.col("score") >= threshold)
@@ -69,30 +82,33 @@ def clusters(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "emb
     return found.select(key, "cluster", (1 / (1 + F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)))).alias("score"))
 
 
-def greedy_groups(ranked: DataFrame, threshold: float = 0.92, most: int = 300, key: str = "vec_id", vector: str = "embedding", score: str = "score") -> DataFrame:
-    """key, grp: rows in the order of score join the first group whose running centroid is close enough.
+def greedy_groups(ranked: DataFrame, threshold: float = 0.92, block: str = "label", key: str = "vec_id", vector: str = "embedding", score: str = "score") -> DataFrame:
+    """block, key, grp: inside a block, rows in the order of score (ties by key) join the first of the groups
+    whose running centroid is nearest, if it is close enough, else they begin one.
 
-    Sequential by nature, so it takes the `most` best rows only, as one group in one task."""
+    Each row's place depends on all rows before it, so a block is one sequential task: blocks must be of a size
+    that one task can hold, as topics are. Rows of different blocks never share a group."""
 
     def assign(df: pd.DataFrame) -> pd.DataFrame:
         df = df.sort_values([score, key], ascending=[False, True])
-        sums: list[np.ndarray] = []
-        out = []
-        for v in df[vector]:
-            x = np.array(v, float)
-            x = x / (np.linalg.norm(x) or 1)
-            near = [float(x @ s / (np.linalg.norm(s) or 1)) for s in sums]
-            best = int(np.argmax(near)) if near else -1
+        x = np.array(df[vector].tolist(), float)
+        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
+        sums = np.empty_like(x)
+        norms, out, n = np.empty(len(x)), [], 0
+        for v in x:
+            near = sums[:n] @ v / norms[:n]
+            best = int(near.argmax()) if n else -1
             if best >= 0 and near[best] >= threshold:
-                sums[best] = sums[best] + x
+                sums[best] += v
             else:
-                best = len(sums)
-                sums.append(x)
+                best, n = n, n + 1
+                sums[best] = v
+            norms[best] = np.linalg.norm(sums[best]) or 1
             out.append(best)
-        return pd.DataFrame({key: df[key], "grp": out})
+        return pd.DataFrame({block: df[block], key: df[key], "grp": out})
 
-    head = ranked.orderBy(F.desc(score), key).limit(most)
-    return head.groupBy(F.lit(True).alias("all")).applyInPandas(assign, f"{key} long, grp int")
+    kind = dict(ranked.dtypes)[block]
+    return ranked.select(block, key, vector, score).groupBy(block).applyInPandas(assign, f"{block} {kind}, {key} long, grp int")
 
 
 def chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:

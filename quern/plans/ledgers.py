@@ -216,10 +216,10 @@ def long_by_quarter(spark, d):
     return one(a, "money", "status", F.sum("total_budget")).unionByName(one(given, "households", "org_type", F.sum("households"))).unionByName(one(a, "severity", "activity_type", F.max("total_budget")))
 
 
-@register("money_view", VIEWS + "SELECT DISTINCT activity_code, status, round(total_budget, 2) AS amount, responsible_org FROM activities WHERE status = 'Completed' AND total_budget >= 1000 AND responsible_org ILIKE '%an%' ORDER BY amount DESC, activity_code, responsible_org LIMIT 200")
+@register("money_view", VIEWS + "SELECT DISTINCT activity_code, status, round(total_budget, 2) AS amount, responsible_org FROM activities WHERE status = 'Completed' AND total_budget >= 1000 AND responsible_org ILIKE '%1%' ORDER BY amount DESC, activity_code, responsible_org LIMIT 200")
 def money_view(spark, d):
     """Amounts by context, least amount and a part of a name."""
-    found = activities(spark, d).where((F.col("status") == "Completed") & (F.col("total_budget") >= 1000) & F.col("responsible_org").ilike("%an%"))
+    found = activities(spark, d).where((F.col("status") == "Completed") & (F.col("total_budget") >= 1000) & F.col("responsible_org").ilike("%1%"))
     return found.select("activity_code", "status", F.round("total_budget", 2).alias("amount"), "responsible_org").distinct().orderBy(F.desc("amount"), "activity_code", "responsible_org").limit(200)
 
 

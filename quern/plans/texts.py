@@ -277,5 +277,5 @@ def vector_clusters(spark, d):
 
 @register("vector_groups")
 def vector_groups(spark, d):
-    """Sequential by nature: the 300 best-ranked rows, in one task."""
+    """All rows, topic by topic; inside a topic the grouping is sequential by nature."""
     return vectors.greedy_groups(table(spark, d, "embeddings").withColumn("score", F.col("label").cast("double")), 0.3)

@@ -106,7 +106,7 @@ def test_scores_and_groups(spark):
     assert tuple(resolve.scores(gold, found, ["k"]).first()) == (2, 2, 1, 0.5, 0.666667, 0.571429)
     v = [(0, [1.0, 0.0], 9.0), (1, [0.99, 0.05], 8.0), (2, [0.0, 1.0], 7.0), (3, [0.02, 1.0], 6.0)]
     df = spark.createDataFrame(v, "vec_id long, embedding array<double>, score double")
-    assert sorted((r["vec_id"], r["grp"]) for r in vectors.greedy_groups(df, 0.9).collect()) == [(0, 0), (1, 0), (2, 1), (3, 1)]
+    assert sorted((r["vec_id"], r["grp"]) for r in vectors.greedy_groups(df.withColumn("label", F.lit(1)), 0.9).collect()) == [(0, 0), (1, 0), (2, 1), (3, 1)]
 
 
 def test_files_and_sinks(spark, tmp_path):
@@ -160,3 +160,48 @@ def test_spans_of_very_long_texts(spark):
     assert [(x["start"], x["end"], x["text"]) for x in got[0]["s"]] == [(m.start(), m.end(), m.group()) for m in re.finditer("Name[a-c]*", text)]
     assert len(got[0]["u"]) == 10_000 and all(text[x["start"] : x["end"]] == x["text"] for x in got[0]["u"])
     assert got[1]["s"] == got[2]["s"] == [] and got[3]["s"] is None
+
+
+def test_vector_groups_and_clusters(spark):
+    """Against a plain loop over all rows of each topic; a row's score follows from its cluster's centre."""
+    import numpy as np
+
+    from quern import registry
+
+    sf = "/root/testdata/sf0.001"
+    rows = sorted(map(tuple, spark.read.parquet(f"{sf}/embeddings.parquet").select("label", "vec_id", "embedding").collect()))
+    sums, want = {}, {}
+    for label, i, v in rows:
+        x = np.array(v, float) / np.linalg.norm(np.array(v, float))
+        own = sums.setdefault(label, [])
+        near = [x @ s / np.linalg.norm(s) for s in own]
+        best = int(np.argmax(near)) if near else -1
+        if best >= 0 and near[best] >= 0.3:
+            own[best] = own[best] + x
+        else:
+            best = len(own)
+            own.append(x)
+        want[i] = (label, best)
+    assert {r["vec_id"]: (r["label"], r["grp"]) for r in registry.queries()["vector_groups"](spark, sf).collect()} == want
+    got = registry.queries()["vector_clusters"](spark, sf).collect()
+    by_id, members = {i: np.array(v, float) for _, i, v in rows}, {}
+    for r in got:
+        members.setdefault(r["cluster"], []).append(r["vec_id"])
+    assert sorted(r["vec_id"] for r in got) == sorted(by_id) and len(members) == 8
+    centre = {c: np.mean([by_id[i] for i in ids], axis=0) for c, ids in members.items()}
+    assert max(abs(r["score"] - 1 / (1 + np.linalg.norm(by_id[r["vec_id"]] - centre[r["cluster"]]))) for r in got) < 0.02
+
+
+def test_range_joins_and_paragraphs(spark):
+    """Literal cases: a group ends at the next header, ties of ranges, bullets, long paragraphs."""
+    from quern.operators import pages as P
+
+    pages = spark.createDataFrame([(1, 1, "x"), (1, 2, "H"), (1, 3, "x"), (1, 4, "H"), (2, 1, "x")], "document_id int, page_number int, text string")
+    assert sorted((r["document_id"], r["page_number"], r["header_page"]) for r in P.page_groups(pages, F.col("text") == "H").collect()) == [(1, 2, 2), (1, 3, 2), (1, 4, 4)]
+    lines = ["a", "b", "", "- one", "two", "* three", "", "y" * 900 + ".", "z", ""]
+    df = spark.createDataFrame([(1, "\n".join(lines)), (2, ""), (3, None)], "doc_id int, text string")
+    got = [(r["doc_id"], r["start_line"], r["end_line"], r["text"][:7]) for r in P.paragraphs(documents.lines(df)).orderBy("doc_id", "paragraph").collect()]
+    assert got == [(1, 0, 1, "a b"), (1, 3, 4, "- one t"), (1, 5, 5, "* three"), (1, 7, 7, "yyyyyyy"), (1, 8, 8, "z")]
+    points = spark.createDataFrame([("k", 1, 5), ("k", 2, 50)], "k string, line int, at int")
+    spans = spark.createDataFrame([("k", 0, 10, None), ("k", 3, 9, 7), ("k", 4, 9, 6)], "k string, s_start int, s_end int, section_id int")
+    assert sorted((r["line"], r["section_id"]) for r in P.covering(points, spans, "k", ["k", "line"], "at").collect()) == [(1, 7), (2, None)]
