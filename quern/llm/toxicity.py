@@ -73,18 +73,17 @@ class Scorer:
 
 
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Scorer:
-    """Fits the scorer; without positives every score is the prior."""
+    """Fits the scorer; without a word of a positive, or without unlabelled texts, every score is the prior."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
     base = float(np.log(prior / (1 - prior)))
-    if not positive or not unlabelled:
+    if not sum(map(len, positive)) or not unlabelled:
         return Scorer(np.empty(0, np.int32), np.empty(0), base)
     p_all, u_all = np.concatenate(positive), np.concatenate(unlabelled)
     ids, p_df = np.unique(p_all, return_counts=True)
     u_ids, u_count = np.unique(u_all, return_counts=True)
     u_df = np.zeros(len(ids))
-    at = np.searchsorted(u_ids, ids)
-    hit = (at < len(u_ids)) & (u_ids[np.minimum(at, len(u_ids) - 1)] == ids)
-    u_df[hit] = u_count[at[hit]]
+    _, mine, theirs = np.intersect1d(ids, u_ids, return_indices=True)
+    u_df[mine] = u_count[theirs]
     p_rate, u_rate = p_df / len(positive), u_df / len(unlabelled)
     # what stands out among the positives, in standard errors
     mean = (p_df + u_df) / (len(positive) + len(unlabelled))
