@@ -229,7 +229,7 @@ def _scan(phrases_of, window: int, keep_words: bool, key_type: pa.DataType = pa.
     return run
 
 
-def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False) -> DataFrame:
+def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, spans: bool = False, key: str = "long") -> DataFrame:
     """doc_id, n_words, n_hit, items (ids of the items with occurring windows), spans of hit words.
 
     docs: doc_id, text; benchmark: item_id, text; more columns are not looked at. Null and empty
@@ -246,26 +246,27 @@ def contamination(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, s
             held = 0
         blocks[-1].append((r["item_id"], t))
         held += len(t or b"")
-    kind = "doc_id long, n_words long, n_hit long, items array<string>, spans array<long>"
+    key_type = pa.string() if key == "string" else pa.int64()
+    kind = f"doc_id {key}, n_words long, n_hit long, items array<string>, spans array<long>"
     if len(blocks) == 1:
         shared = spark.sparkContext.broadcast(blocks[0])
-        return docs.select("text", F.col("doc_id").cast("long")).mapInArrow(lean(_scan(shared, window, spans)), kind)
+        return docs.select("text", F.col("doc_id").cast(key)).mapInArrow(lean(_scan(shared, window, spans, key_type)), kind)
     # block after block; what each finds in a text goes under the text's digest, so equal texts share it
     found = None
     for block in blocks:
         shared = spark.sparkContext.broadcast(block)
         own = docs.where("text is not null").select("text", F.md5("text").alias("key"))
-        hits = own.mapInArrow(_scan(shared, window, True, pa.string()), kind.replace("doc_id long", "doc_id string"))
+        hits = own.mapInArrow(_scan(shared, window, True, pa.string()), kind.replace(f"doc_id {key}", "doc_id string"))
         hits = hits.where("n_hit > 0").dropDuplicates(["doc_id"])
         hits = stage(hits.select(F.col("doc_id").alias("_key"), "items", "spans"), "hits")
         shared.unpersist()
         found = hits if found is None else found.unionByName(hits)
     merged = found.groupBy("_key").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), F.flatten(F.collect_list("spans")).alias("spans"))
-    own = docs.select("text", F.col("doc_id").cast("long")).withColumn("_key", F.md5("text"))
-    return own.join(merged, "_key", "left").select("text", "doc_id", "items", "spans").mapInArrow(_counted(spans), kind)
+    own = docs.select("text", F.col("doc_id").cast(key)).withColumn("_key", F.md5("text"))
+    return own.join(merged, "_key", "left").select("text", "doc_id", "items", "spans").mapInArrow(_counted(spans, key_type), kind)
 
 
-def _counted(keep_words: bool):
+def _counted(keep_words: bool, key_type: pa.DataType):
     """The columns of _scan from texts, their items, and their spans of all blocks."""
 
     def run(batches):
@@ -280,15 +281,15 @@ def _counted(keep_words: bool):
                 edge = np.flatnonzero(np.diff(np.r_[0, hit.astype(np.int8), 0])).tolist()
                 out.append((key, n, int(hit.sum()), items or [], edge if keep_words else None))
             cols = list(zip(*out, strict=True)) if out else [()] * 5
-            types = (pa.int64(), pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
+            types = (key_type, pa.int64(), pa.int64(), pa.list_(pa.string()), pa.list_(pa.int64()))
             yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["doc_id", "n_words", "n_hit", "items", "spans"])
 
     return run
 
 
-def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """The contract's columns: n_items, items_sha256 and contaminated beside the counts."""
-    found = contamination(docs, benchmark)
+def judged(docs: DataFrame, benchmark: DataFrame, key: str = "long") -> DataFrame:
+    """The contract's columns: n_items, items_sha256 and contaminated beside the counts; key: the type of doc_id, long or string."""
+    found = contamination(docs, benchmark, key=key)
     return found.select(
         "doc_id",
         "n_words",
@@ -300,6 +301,7 @@ def judged(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
 
 
 def clean_of(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """docs without the contaminated ones; all columns kept; rows with a null key stay."""
-    gone = judged(docs, benchmark).where("contaminated").select("doc_id").distinct()
-    return docs.join(gone, "doc_id", "left_anti").select(*docs.columns)
+    """docs without the contaminated ones, all columns kept. Each row is judged by its own text, whatever its key."""
+    key = F.concat_ws(":", F.coalesce(F.col("doc_id").cast("string"), F.lit("")), F.md5(F.coalesce("text", F.lit(""))))
+    gone = judged(docs.select("text", key.alias("doc_id")), benchmark, "string").where("contaminated").select(F.col("doc_id").alias("_key")).distinct()
+    return docs.join(gone, key == F.col("_key"), "left_anti").select(*docs.columns)

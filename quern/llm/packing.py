@@ -16,7 +16,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import bounded, lean, stage, width
+from quern.llm.common import bounded, lean, release, stage, width
 from quern.llm.tokens import codec, default_vocabulary, forget, runs
 
 SEQUENCE = 2048
@@ -92,7 +92,9 @@ def pack(docs: DataFrame, vocabulary: str | None = None, sequence: int = SEQUENC
     count = lambda b: F.expr(f"doc_tokens div {sequence}") if b == top else F.expr(f"shiftright(doc_tokens, {b}) & 1")
     counted = cut.select("*", *(count(b).alias(f"b{b}") for b in range(top, -1, -1)))
     # written before it is dealt out by ranges, which looks at its rows twice: texts are encoded once
-    numbered = numbered_files(stage(counted, "cut"), digits, "doc_id")
+    once = stage(counted, "cut")
+    numbered = numbered_files(once, digits, "doc_id")
+    release(once)
     # the number of sequences in the longer buckets, over all documents: one row
     totals = numbered.agg(*[F.coalesce(F.max(F.col(f"{d}_before") + F.col(d)), F.lit(0)).alias(d) for d in digits]).first()
     base, first = {}, 0

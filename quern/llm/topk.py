@@ -21,7 +21,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from quern.llm.common import dealt, rows_by_key, stage
+from quern.llm.common import dealt, release, rows_by_key, stage
 
 SCALE, PIVOTS = 256, 64
 #: Vectors of a block (more, if there would be more than MOST_BLOCKS of them), of an annulus inside it, and of
@@ -183,6 +183,7 @@ def _of_dimension(rows: DataFrame, k: int, every: int) -> DataFrame:
     # inside a mark, where many radii are equal, vectors go to sub-blocks by hash: no block outgrows its share
     block = F.xxhash64("pivot", F.floor(rank * F.col("parts") / 200), F.when(F.col("parts") > 200, F.pmod(F.xxhash64("vec_id", "vec"), F.ceil(F.col("parts") / 200))).otherwise(F.lit(0)))
     blocks = stage(marked.select("vec_id", "vec", "pivot", "radius", block.alias("block")), "blocks")
+    release(keyed)
     kept = blocks.groupBy("block", "pivot").agg(F.min("radius").alias("lo"), F.max("radius").alias("hi")).collect()  # MOST_BLOCKS rows and one a pivot and mark
     table = np.array([(r["block"], r["pivot"], r["lo"], r["hi"]) for r in sorted(kept)], [("block", "<i8"), ("pivot", "<i8"), ("lo", "<f8"), ("hi", "<f8")])
     groups = max(1, -(-n // (every * GROUP)))

@@ -113,6 +113,8 @@ def test_decontamination(spark, docs):
     bench = spark.createDataFrame([(1, "stand here alone"), (1, "stand here alone")], "item_id long, text string")
     got = Counter((x["doc_id"], x["n_hit"], x["n_items"], x["items_sha256"], x["contaminated"]) for x in decontaminate.judged(docs, bench).collect())
     none, one = (hashlib.sha256(x).hexdigest() for x in (b"", b"1"))
+    kept = decontaminate.clean_of(docs, bench)
+    assert kept.columns == docs.columns and Counter(x["doc_id"] for x in kept.collect()) == Counter([1, 1, 2, 3, 4, 5, 6, None])
     assert got[None, 3, 1, one, True] == 1 and got[None, 0, 0, none, False] == 1 and got[1, 0, 0, none, False] == 2
 
 
