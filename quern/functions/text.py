@@ -44,6 +44,15 @@ def parse_usd(c: Column) -> Column:
     return number * factor
 
 
+def loose_usd(c: Column) -> Column:
+    """The first number of a text such as "about $57.8M", by a billion or a million where the text names one or ends in
+    a capital B or M; null without a number, and where the first run of digits and points is none."""
+    text = F.translate(c, ",$", "")
+    low = F.lower(text)
+    factor = F.when(F.contains(low, F.lit("billion")) | F.endswith(text, F.lit("B")), 1e9).when(F.contains(low, F.lit("million")) | F.endswith(text, F.lit("M")), 1e6).otherwise(1.0)
+    return extract(text, "([0-9.]+)").try_cast("double") * factor
+
+
 def format_quarter(year: Column, quarter: Column, missing: str | None = "Unknown") -> Column:
     """'Q# YYYY'; a missing or zero part gives `missing`."""
     known = (F.coalesce(year, F.lit(0)) != 0) & (F.coalesce(quarter, F.lit(0)) != 0)

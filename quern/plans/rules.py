@@ -237,6 +237,14 @@ literal(
     lambda df: df.select("type", "text", T.normalize_entity(F.col("type"), F.col("text")).alias("normal")),
 )
 
+literal(
+    "loose_amounts", "text string", "amount double",
+    [
+        ("$1,234.50", 1234.5), ("57.5M", 57500000.0), ("57.5m", 57.5), ("$5 Billion in all", 5000000000.0), ("2B", 2000000000.0), ("2B of 3", 2.0), ("3 million or 2B", 3000000000.0), ("1.2.3", None), ("none", None), ("", None), (None, None),
+    ],
+    lambda df: df.select("text", T.loose_usd(F.col("text")).alias("amount")),
+)
+
 literal(
     "sizes_and_quarters", "bytes bigint, year int, quarter int", "size string, label string",
     [(512, 2025, 4, "512.0 B", "Q4 2025"), (2048, 0, 1, "2.0 KB", "Unknown"), (5 << 20, None, 1, "5.0 MB", "Unknown"), (3 << 30, 2019, 2, "3.0 GB", "Q2 2019")],

@@ -17,6 +17,13 @@ def to_json_rows(df: DataFrame) -> DataFrame:
     return df.select(F.to_json(F.struct(*df.columns)).alias("json"))
 
 
+def sidecars(df: DataFrame, path: str, key: str) -> None:
+    """The rows of each document as JSON lines in a folder of its own, key=value; rows are dealt by key and a hash of
+    the whole row, so that a large document is written by several tasks. A null key has the folder of no value."""
+    own = F.pmod(F.xxhash64(*df.columns), F.lit(8))
+    df.repartition(F.col(key), own).write.mode("overwrite").partitionBy(key).json(path)
+
+
 def upserted(old: DataFrame, new: DataFrame, keys: list[str], order: str | None = None) -> DataFrame:
     """old with the rows of new in place of those with the same key; of new's own rows the last one counts."""
     if order:

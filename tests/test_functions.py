@@ -122,6 +122,9 @@ def test_files_and_sinks(spark, tmp_path):
     assert sorted(map(tuple, sinks.upserted(old, new, ["k"], "o").select("k", "v").collect())) == [(1, "a"), (2, "c"), (3, "d")]
     assert sorted(r["k"] for r in sinks.inserted(old, new, ["k"]).collect()) == [1, 2, 3]
     assert dict(map(tuple, sinks.filled(old, new.where("o = 1"), ["k"], ["v"]).collect())) == {1: "a", 2: "b"}
+    sinks.sidecars(spark.createDataFrame([("a", 1), ("a", 2), (None, 3)], "doc string, page int"), str(tmp_path / "side"), "doc")
+    assert sorted(r["page"] for r in spark.read.json(str(tmp_path / "side" / "doc=a")).collect()) == [1, 2]
+    assert sorted((r["doc"] or "", r["page"]) for r in spark.read.json(str(tmp_path / "side")).collect()) == [("", 3), ("a", 1), ("a", 2)]
     sinks.to_csv(old, str(tmp_path / "out"), ["k"])
     assert spark.read.csv(str(tmp_path / "out"), header=True).count() == 2
 
