@@ -180,7 +180,7 @@ def spelled():
                 w = r.choice([w[:at] + w[at + 1 :], w[:at] + r.choice("aeé") + w[at + 1 :], w[:at] + r.choice("aeé") + w[at:]])
             words.append(w)
         rows.append((i % 140, r.choice([" ", ", ", "1", "\n"]).join(words)))
-    return [*rows, (None, "necessary necesary"), (None, None), (200, None), (201, ""), (202, "rarely " + "x" * 50_000)]
+    return [*rows, (None, "necessary necesary"), (None, None), (200, None), (201, ""), (202, "rarely " + "x" * 50_000), (203, "separater " * 30 + "separaters " * 3)]
 
 
 @pytest.mark.parametrize("split", [20_000, 2])
