@@ -8,6 +8,8 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators import graphs, neighbours
+from quern.operators.stages import cut
 
 
 def dot(a: Column, b: Column) -> Column:
@@ -82,33 +84,79 @@ def clusters(vectors: DataFrame, k: int, key: str = "vec_id", vector: str = "emb
     return found.select(key, "cluster", (1 / (1 + F.sqrt(F.aggregate(gap, F.lit(0.0), lambda s, x: s + x * x)))).alias("score"))
 
 
+#: Rows of a component that one task groups at once.
+AT_ONCE = 20_000
+
+
+def settled_groups(ranked: DataFrame, threshold: float = 0.92, block: str = "label", key: str = "vec_id", vector: str = "embedding", score: str = "score", at_once: int = AT_ONCE) -> DataFrame:
+    """block, key, founder, place: inside a block, rows in the order of score (nulls last, ties by key) join the group
+    whose running centroid is nearest, if its cosine is at least the threshold, else they found one. Of equally near
+    groups the oldest wins; place is the row's place in that order within its component.
+
+    A centroid of rows that each joined at the threshold or above is at least threshold long, so a row that joins has a
+    member within threshold squared of it. Rows that no chain of such neighbours connects never share a group. So
+    components of that neighbourhood are grouped apart from each other, each in its order, `at_once` rows in a round,
+    with the sums of its groups carried from round to round. Without a usable vector a row founds a group of its own.
+
+    What one task holds are `at_once` rows and the groups of one component. Keys are longs and distinct."""
+    at = neighbours.cells(ranked, key, vector)
+    links = graphs.components(neighbours.links_within(at, float(np.sqrt(2 - 2 * threshold * threshold)) + 1e-8))
+    rows = ranked.select(F.col(block).alias("block"), F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(score).cast("double").alias("score"))
+    rows = rows.join(links.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
+    order = Window.partitionBy("block", "component").orderBy(F.desc_nulls_last("score"), "key")
+    rows = cut(rows.withColumn("place", F.row_number().over(order) - 1).withColumn("round", F.expr(f"place div {at_once}")))
+    rounds = rows.agg(F.max("round")).first()[0]
+    kind = dict(rows.dtypes)["block"]
+    schema = f"block {kind}, component long, key long, founder long, place int, s array<double>, n int"
+
+    def settle(_, new: pd.DataFrame, groups: pd.DataFrame) -> pd.DataFrame:
+        new, groups = new.sort_values("place"), groups.sort_values("place")
+        size = len(new) + len(groups)
+        width = max((len(v) for v in [*new["v"], *groups["s"]] if v is not None), default=1)
+        sums, norms, founders, places = np.zeros((size, width)), np.ones(size), list(groups["founder"]), list(groups["place"])
+        n = len(groups)
+        if n:
+            sums[:n] = groups["s"].tolist()
+            norms[:n] = np.linalg.norm(sums[:n], axis=1)
+        out = []
+        for k, v, place in zip(new["key"], new["v"], new["place"], strict=True):
+            x = None if v is None else np.array(v, float)
+            usable = x is not None and np.isfinite(x).all() and np.linalg.norm(x) > 0
+            if usable:
+                x /= np.linalg.norm(x)
+                near = sums[:n] @ x / norms[:n]
+                best = int(near.argmax()) if n else -1
+                if best >= 0 and near[best] >= threshold:
+                    sums[best] += x
+                    norms[best] = np.linalg.norm(sums[best]) or 1
+                    out.append((k, founders[best], place))
+                    continue
+                sums[n], norms[n] = x, 1
+                n += 1
+                founders.append(k)
+                places.append(place)
+            out.append((k, k, place))
+        where = (new if len(new) else groups)[["block", "component"]].iloc[0]
+        rows_ = [(where["block"], where["component"], k, f, p, None, 0) for k, f, p in out] + [(where["block"], where["component"], None, f, p, s.tolist(), 1) for f, p, s in zip(founders, places, sums[:n], strict=True)]
+        return pd.DataFrame(rows_, columns=["block", "component", "key", "founder", "place", "s", "n"]).astype({"key": "Int64"})
+
+    done, groups = None, ranked.sparkSession.createDataFrame([], schema)
+    for r in range(-1 if rounds is None else rounds + 1):
+        now = rows.where(F.col("round") == r)
+        old = groups.join(now.select("block", "component").distinct(), ["block", "component"], "left_semi")
+        both = cut(now.groupBy("block", "component").cogroup(old.groupBy("block", "component")).applyInPandas(settle, schema))
+        groups, found = both.where("n = 1"), both.where("n = 0")
+        done = found if done is None else done.union(found)
+    done = groups.where("false") if done is None else done
+    return done.select(F.col("block").alias(block), F.col("key").alias(key), "founder", "place")
+
+
 def greedy_groups(ranked: DataFrame, threshold: float = 0.92, block: str = "label", key: str = "vec_id", vector: str = "embedding", score: str = "score") -> DataFrame:
-    """block, key, grp: inside a block, rows in the order of score (ties by key) join the first of the groups
-    whose running centroid is nearest, if it is close enough, else they begin one.
-
-    Each row's place depends on all rows before it, so a block is one sequential task: blocks must be of a size
-    that one task can hold, as topics are. Rows of different blocks never share a group."""
-
-    def assign(df: pd.DataFrame) -> pd.DataFrame:
-        df = df.sort_values([score, key], ascending=[False, True])
-        x = np.array(df[vector].tolist(), float)
-        x /= np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-300)
-        sums = np.empty_like(x)
-        norms, out, n = np.empty(len(x)), [], 0
-        for v in x:
-            near = sums[:n] @ v / norms[:n]
-            best = int(near.argmax()) if n else -1
-            if best >= 0 and near[best] >= threshold:
-                sums[best] += v
-            else:
-                best, n = n, n + 1
-                sums[best] = v
-            norms[best] = np.linalg.norm(sums[best]) or 1
-            out.append(best)
-        return pd.DataFrame({block: df[block], key: df[key], "grp": out})
-
-    kind = dict(ranked.dtypes)[block]
-    return ranked.select(block, key, vector, score).groupBy(block).applyInPandas(assign, f"{block} {kind}, {key} long, grp int")
+    """block, key, grp: settled_groups, and a block's groups numbered in the order of their founders."""
+    found = settled_groups(ranked, threshold, block, key, vector, score)
+    first = found.join(ranked.select(F.col(key), F.col(score).alias("_s")), key).where(F.col(key) == F.col("founder"))
+    number = F.row_number().over(Window.partitionBy(block).orderBy(F.desc_nulls_last("_s"), "founder")) - 1
+    return found.join(first.select("founder", number.alias("grp")), "founder").select(block, key, "grp")
 
 
 def chunks(docs: DataFrame, size: int, overlap: int, key: str = "doc_id", text: str = "text") -> DataFrame:
