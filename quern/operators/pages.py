@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import text as T
+
 
 def best(rows: DataFrame, keys: list[str], *order) -> DataFrame:
     """The first row of each key in the given order."""
@@ -81,3 +83,28 @@ def typed_edges(mentions: DataFrame, unit: list[str], kind: str, text: str, orde
     pairs = a.join(b, unit).where(F.struct("a_rank", f"a{text}") < F.struct("b_rank", f"b{text}")).where(pair)
     out = pairs.groupBy(F.col(f"a{kind}").alias("source_type"), F.col(f"a{text}").alias("source"), F.col(f"b{kind}").alias("target_type"), F.col(f"b{text}").alias("target"))
     return out.agg(F.count(F.lit(1)).cast("bigint").alias("weight")).where(F.col("weight") >= least_weight)
+
+
+#: What ends a line. Fixed values.
+LINE_END = "\\r\\n|[\\n\\r\\x0B\\x0C\\x1C\\x1D\\x1E\\x85\\u2028\\u2029]"
+
+
+def line_offsets(pages: DataFrame, key: list[str], raw: str, clean: str) -> DataFrame:
+    """key, line_no, start, end, aligned: where each line of the raw text stands in the clean text (code points from 0).
+
+    Lines are cleaned one by one and joined by a space, empty ones left out; an empty line has an empty span where it
+    would stand. If what comes out is the clean text, its lines are aligned; if not, each line has the whole clean text
+    as its span. A null or empty raw text has no lines, and a null clean text is empty. key is distinct.
+
+    The comparison is made page by page before lines are apart, so a line's row holds no text but its length."""
+    lines = F.transform(F.split(raw, LINE_END, -1), lambda x: T.clean_text(x))
+    cut = pages.select(*key, F.coalesce(clean, F.lit("")).alias("_clean"), F.when(F.element_at(F.split(raw, LINE_END, -1), -1) == "", F.slice(lines, 1, F.size(lines) - 1)).otherwise(lines).alias("_lines"))
+    joined = F.array_join(F.filter("_lines", lambda x: x != ""), " ")
+    cut = cut.select(*key, F.length("_clean").alias("_length"), ((joined == F.col("_clean")) & (joined != "")).alias("aligned"), F.transform("_lines", F.length).alias("_sizes"))
+    cut = cut.select(*key, "_length", "aligned", F.posexplode("_sizes").alias("line_no", "_n"))  # what stands beside a generator is computed for each of its rows
+    step = F.when(F.col("_n") > 0, F.col("_n") + 1).otherwise(0)
+    upto = F.sum(step).over(Window.partitionBy(*key).orderBy("line_no").rowsBetween(Window.unboundedPreceding, 0)) - step
+    # an empty line stands behind the text so far, before the space that a next line brings
+    start = F.when(F.col("_n") > 0, F.col("_upto")).otherwise(F.greatest(F.col("_upto") - 1, F.lit(0)))
+    found = cut.withColumn("_upto", upto).withColumn("_start", start)
+    return found.select(*key, "line_no", F.when(F.col("aligned"), F.col("_start")).otherwise(0).cast("long").alias("start"), F.when(F.col("aligned"), F.col("_start") + F.col("_n")).otherwise(F.col("_length")).cast("long").alias("end"), "aligned")

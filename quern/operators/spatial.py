@@ -62,3 +62,16 @@ def merged_spans(df: DataFrame, key: str, start: str = "start", end: str = "end"
     fresh = (F.col(start) > F.coalesce(F.max(end).over(before), F.lit(-1))).cast("int")
     out = df.select(key, start, end, fresh.alias("_f")).withColumn("_g", F.sum("_f").over(up_to))
     return out.groupBy(key, "_g").agg(F.min(start).alias(start), F.max(end).alias(end)).drop("_g")
+
+
+def carried_once(df: DataFrame, keys: list[str], order: str, sets: str, value: str, uses: str, out: str) -> DataFrame:
+    """df with `out`: at a row that uses it, the value of the last row (the row itself included) that set one, if no row
+    since then has used it; else null. A row that sets takes the place of what was kept, by null too. sets and uses are
+    conditions; a null condition is false; order is distinct within keys."""
+    so_far = Window.partitionBy(*keys).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
+    before = so_far.rowsBetween(Window.unboundedPreceding, -1)
+    set_at = F.last(F.when(F.expr(sets), F.struct(F.col(order).alias("at"), F.col(value).alias("value"))), ignorenulls=True).over(so_far)
+    used_at = F.last(F.when(F.expr(uses), F.col(order)), ignorenulls=True).over(before)
+    found = df.withColumn("_set", set_at).withColumn("_used", used_at)
+    fresh = F.expr(uses) & (F.col("_used").isNull() | (F.col("_set.at") > F.col("_used")))
+    return found.withColumn(out, F.when(fresh, F.col("_set.value"))).drop("_set", "_used")

@@ -5,20 +5,25 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 _own: dict[str, str] = {}
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """df, written below spark.checkpoint.dir and read back; below a folder of our own in local mode only, where none is named."""
-    sc = df.sparkSession.sparkContext
+def folder(spark: SparkSession, label: str) -> str:
+    """A new path below spark.checkpoint.dir; below a folder of our own in local mode only, where none is named."""
+    sc = spark.sparkContext
     base = sc.getConf().get("spark.checkpoint.dir")
     if not base:
         if not sc.master.startswith("local"):
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         base = _own.setdefault(sc.applicationId, "file://" + tempfile.mkdtemp(prefix="quern-"))
-    path = f"{base.rstrip('/')}/cut-{uuid.uuid4().hex}"
+    return f"{base.rstrip('/')}/{label}-{uuid.uuid4().hex}"
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """df, written to the shared folder and read back."""
+    path = folder(df.sparkSession, "cut")
     df.write.parquet(path)
     out = df.sparkSession.read.schema(df.schema).parquet(path)
     out.cut_path = path
