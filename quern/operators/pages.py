@@ -19,16 +19,31 @@ def page_groups(pages: DataFrame, is_header: Column, key: str = "document_id", p
     return pages.withColumn("header_page", F.max(F.when(is_header, F.col(page))).over(before)).where("header_page is not null")
 
 
+#: Positions are cut into bins of this width, and ranges meet only where they share one.
+BIN = 1024
+
+
+def bins(start, end) -> Column:
+    """The bins of positions from start to end, both included; one bin at least; null if either is."""
+    start, end = (F.floor((F.col(x) if isinstance(x, str) else x) / BIN) for x in (start, end))
+    return F.sequence(start, F.greatest(start, end))
+
+
 def overlapping(rows: DataFrame, spans: DataFrame, key: str) -> DataFrame:
-    """Rows (start, end) that overlap any span (s_start, s_end) of their key."""
-    on = (F.col(f"r.{key}") == F.col(f"s.{key}")) & (F.col("s.s_start") < F.col("r.end")) & (F.col("s.s_end") > F.col("r.start"))
-    return rows.alias("r").join(spans.alias("s"), on, "left_semi")
+    """Rows (start, end) that overlap any span (s_start, s_end) of their key. A span does not end before it begins."""
+    own = rows.withColumn("_row", F.monotonically_increasing_id())
+    own = own.withColumn("_bin", F.explode(bins("start", F.col("end") - 1)))
+    spans = spans.select(key, "s_start", "s_end", F.explode(bins("s_start", F.col("s_end") - 1)).alias("_bin"))
+    on = (F.col(f"r.{key}") == F.col(f"s.{key}")) & (F.col("r._bin") == F.col("s._bin")) & (F.col("s.s_start") < F.col("r.end")) & (F.col("s.s_end") > F.col("r.start"))
+    return own.alias("r").join(spans.alias("s"), on, "left_semi").dropDuplicates(["_row"]).drop("_row", "_bin")
 
 
 def covering(points: DataFrame, spans: DataFrame, key: str, point: list[str], at: str) -> DataFrame:
     """Points with the first span that covers them, one with a section before one without; null if there is none."""
-    on = (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("s.s_start") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col("s.s_end"))
-    met = points.alias("p").join(spans.alias("s"), on, "left").select("p.*", "s.s_start", "s.s_end", "s.section_id")
+    points = points.withColumn("_bin", F.floor(F.col(at) / BIN))
+    spans = spans.where("s_start < s_end").withColumn("_bin", F.explode(bins("s_start", F.col("s_end") - 1)))
+    on = (F.col(f"p.{key}") == F.col(f"s.{key}")) & (F.col("p._bin") == F.col("s._bin")) & (F.col("s.s_start") <= F.col(f"p.{at}")) & (F.col(f"p.{at}") < F.col("s.s_end"))
+    met = points.alias("p").join(spans.alias("s"), on, "left").select("p.*", "s.s_start", "s.s_end", "s.section_id").drop("_bin")
     return best(met, point, F.col("section_id").isNull(), F.col("s_start").asc_nulls_last(), F.col("s_end").asc_nulls_last(), F.col("section_id").asc_nulls_last())
 
 
@@ -61,7 +76,9 @@ def paragraphs(lines: DataFrame, key: str = "doc_id", order: str = "line_no", li
 
 def section_text(lines: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:
     """Text of each span (start_line, end_line, heading) of lines, without a first line that is the heading itself."""
-    on = (F.col(f"l.{key}") == F.col(f"s.{key}")) & F.col("l.line_no").between(F.col("s.start_line"), F.col("s.end_line"))
+    lines = lines.withColumn("_bin", F.floor(F.col("line_no") / BIN))
+    spans = spans.where("start_line <= end_line").withColumn("_bin", F.explode(bins("start_line", "end_line")))
+    on = (F.col(f"l.{key}") == F.col(f"s.{key}")) & (F.col("l._bin") == F.col("s._bin")) & F.col("l.line_no").between(F.col("s.start_line"), F.col("s.end_line"))
     kept = lines.alias("l").join(spans.alias("s"), on).where(~((F.col("l.line_no") == F.col("s.start_line")) & (F.trim("l.line") == F.col("s.heading"))))
     ordered = F.array_sort(F.collect_list(F.struct("l.line_no", "l.line")))
     return kept.groupBy(f"s.{key}", "s.section_index").agg(F.array_join(F.transform(ordered, lambda x: x["line"]), "\n").alias("text"))

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import text as T
+from quern.operators.pages import BIN, bins
 
 
 def aliases(mentions: DataFrame, text: str = "entity_text", least: int = 1) -> DataFrame:
@@ -29,8 +30,11 @@ def frequent(mentions: DataFrame, column: str, least: int) -> DataFrame:
 
 
 def inside(spans: DataFrame, windows: DataFrame, key: str) -> DataFrame:
-    """Spans (start, end) inside windows (w_start, w_end) of the same key: an equi join with a residual."""
-    return spans.join(windows, key).where("start >= w_start and end <= w_end")
+    """Spans (start, end) inside windows (w_start, w_end) of the same key. A span lies in the bin of its start, a window in
+    all bins from its start to its end, so that what meets grows with the spans and windows and not with their product."""
+    spans = spans.where("start <= end").withColumn("_bin", F.floor(F.col("start") / BIN))
+    windows = windows.withColumn("_bin", F.explode(bins("w_start", "w_end")))
+    return spans.join(windows, [key, "_bin"]).where("start >= w_start and end <= w_end").drop("_bin")
 
 
 def edges(mentions: DataFrame, unit: list[str], name: str, most_a_unit: int = 5, least_weight: int = 3) -> DataFrame:
