@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules as R
 from quern.functions import text as T
-from quern.operators import density, pages, spatial, stages, topics, vectors
+from quern.operators import density, dictionary, pages, spatial, stages, topics, vectors
 from quern.operators import documents as docs_
 from quern.registry import register
 from quern.sources import sinks
@@ -126,3 +126,34 @@ def fund_switch_statements(spark, d):
     text = F.concat(F.lit("The budget of this order was  "), verb, way, F.lit("; so it was decided"), amount, why, F.lit("."))
     read = table(spark, d, "orders").select("o_orderkey", R.fund_switch(text, (F.col("o_custkey") % 4).cast("int")).alias("x")).where("x.keyword IS NOT NULL").select("o_orderkey", "x.*")
     return read.groupBy("keyword", "score", "confidence", "from").agg(F.count("*").alias("statements"), F.sum("o_orderkey").alias("keys"))
+
+
+#: Names for the dictionary queries: of each benchmark item its first word, its second and third, and its fourth to sixth.
+_NAMES = r"""b AS (SELECT regexp_extract_all(lower(text), '[\p{L}\p{N}_]+') AS w FROM benchmark),
+n AS (SELECT DISTINCT kind, name FROM (SELECT 'DISASTER' AS kind, w[1] AS name FROM b UNION ALL SELECT 'PROGRAM', array_to_string(w[2:3], ' ') FROM b UNION ALL SELECT 'TX_COUNTY', array_to_string(w[4:6], ' ') FROM b) WHERE name <> '')"""
+
+
+def _dictionary(spark, d):
+    words = F.regexp_extract_all(F.lower("text"), F.lit("([\\p{L}\\p{N}_]+)"), F.lit(1))
+    cut = table(spark, d, "benchmark").select(words.alias("w"))
+    kinds = (("DISASTER", 1, 1), ("PROGRAM", 2, 2), ("TX_COUNTY", 4, 3))
+    made = F.array(*[F.struct(F.lit(k).alias("type"), F.array_join(F.slice("w", at, n), " ").alias("name")) for k, at, n in kinds])
+    return cut.select(F.inline(made)).where("name <> ''")
+
+
+@register(
+    "dictionary_mentions",
+    rf"""WITH {_NAMES}, d AS (SELECT doc_id, regexp_extract_all(lower(text), '[\p{{L}}\p{{N}}_]+') AS w FROM documents),
+g AS (SELECT doc_id, array_to_string(w[i:i + k - 1], ' ') AS name FROM (SELECT doc_id, w, k, unnest(range(1, len(w) - k + 2)) AS i FROM d, (VALUES (1), (2), (3)) v(k) WHERE len(w) >= k))
+SELECT kind AS type, name, count(*) AS mentions, count(DISTINCT doc_id) AS documents FROM g JOIN n USING (name) GROUP BY 1, 2""",
+)
+def dictionary_mentions(spark, d):
+    """F8, T4: every mention of every name of the dictionary, counted by name."""
+    found = dictionary.mentions(table(spark, d, "documents"), _dictionary(spark, d), ["DISASTER", "PROGRAM", "TX_COUNTY"], settle=False)
+    return found.groupBy("type", "name").agg(F.count("*").alias("mentions"), F.countDistinct("doc_id").alias("documents"))
+
+
+@register("dictionary_entities")
+def dictionary_entities(spark, d):
+    """Names in texts, none overlapping another, disasters before programs before counties."""
+    return dictionary.mentions(table(spark, d, "documents"), _dictionary(spark, d), ["DISASTER", "PROGRAM", "TX_COUNTY"])
