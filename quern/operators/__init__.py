@@ -1 +1 @@
-"""Operators: pure functions from DataFrames to DataFrames; none runs an action."""
+"""Operators: functions from DataFrames to DataFrames. Those that go in rounds, and those that cut a side into blocks by its count, run actions; their docstrings or the README say so."""

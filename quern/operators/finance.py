@@ -176,3 +176,17 @@ def category_of(code: Column, prefixes=CATEGORIES, default: str = "Other") -> Co
     for prefix, name in prefixes:
         out = F.when(code.startswith(prefix), name) if out is None else out.when(code.startswith(prefix), name)
     return out.otherwise(default)
+
+
+def nested(rows: DataFrame, levels: list[str], value: str) -> DataFrame:
+    """One row for each value of the first level: its name, value and the JSON of what lies below it, down to the last
+    level: {"name", "value", "children"}, children by name. Sums are made level by level, from
+    the leaves up, so a parent holds what its children hold; a missing name is "Unknown", a missing value 0."""
+    named = rows.groupBy(*[F.coalesce(F.col(c).cast("string"), F.lit("Unknown")).alias(c) for c in levels]).agg(F.sum(F.coalesce(F.col(value), F.lit(0))).cast("long").alias("value"))
+    last = levels[-1]
+    node = F.struct(F.col(last).alias("name"), "value")
+    for depth in range(len(levels) - 1, 0, -1):
+        above = levels[:depth]
+        named = named.groupBy(*above).agg(F.sum("value").alias("value"), F.sort_array(F.collect_list(node)).alias("children"))
+        node = F.struct(F.col(above[-1]).alias("name"), "value", "children")
+    return named.select(F.col(levels[0]).alias("name"), "value", F.to_json(node).alias("json"))

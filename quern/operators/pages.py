@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from collections.abc import Iterator
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -53,25 +57,40 @@ def headings_of_pages(sections: DataFrame, key: str = "document_id") -> DataFram
     return pages.groupBy(key, "page").agg(F.max_by("heading", F.struct("start_page", "ord", "heading")).alias("heading"))
 
 
+#: What a list item begins with, and what a sentence ends with. Fixed values.
+BULLET, ENDS = "^(?:[\\u2022\\-*]|(?:\\(?\\d+\\)?[.)]))\\s+", "[.!?]$"
+
+
 def paragraphs(lines: DataFrame, key: str = "doc_id", order: str = "line_no", line: str = "line", long: int = 900) -> DataFrame:
     """key, paragraph (from 0), start_line, end_line, text: a blank line ends a paragraph, a bullet begins one, and one of
-    `long` characters or more ends with a line that ends a sentence. The fold goes over one document's lines."""
-    bullet = "^(?:[\\u2022\\-*]|(?:\\(?\\d+\\)?[.)]))\\s+"
-    own = F.array_sort(F.collect_list(F.struct(F.col(order).alias("n"), F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")).alias("t"))))
-    empty = F.struct(F.array().cast("array<struct<a:int,b:int,t:string>>").alias("done"), F.lit(None).cast("struct<a:int,b:int,t:string>").alias("now"))
-    made = lambda a, b, t: F.struct(a.cast("int").alias("a"), b.cast("int").alias("b"), t.alias("t"))
-    flushed = lambda x: F.when(x["now"].isNull(), x["done"]).otherwise(F.concat(x["done"], F.array(x["now"])))
-    none = F.lit(None).cast("struct<a:int,b:int,t:string>")
-
-    def step(x, y):
-        new = x["now"].isNull() | y["t"].rlike(bullet)
-        joined = F.when(new, made(y["n"], y["n"], y["t"])).otherwise(made(x["now"]["a"], y["n"], F.concat(x["now"]["t"], F.lit(" "), y["t"])))
-        done = F.when(new, flushed(x)).otherwise(x["done"])
-        ends = (F.length(joined["t"]) >= long) & y["t"].rlike("[.!?]$")
-        return F.when(y["t"] == "", F.struct(flushed(x).alias("done"), none.alias("now"))).otherwise(F.struct(F.when(ends, F.concat(done, F.array(joined))).otherwise(done).alias("done"), F.when(~ends, joined).alias("now")))
-
-    found = lines.groupBy(key).agg(own.alias("l")).select(key, F.posexplode(F.aggregate("l", empty, step, flushed)).alias("paragraph", "p"))
-    return found.select(key, "paragraph", F.col("p.a").alias("start_line"), F.col("p.b").alias("end_line"), F.col("p.t").alias("text"))
+    `long` characters or more ends with a line that ends a sentence. Where a paragraph ends depends on where it began, so
+    one document's lines are gone through in order, once; a null line is blank."""
+    own = F.array_sort(F.collect_list(F.struct(F.col(order).cast("int").alias("n"), F.coalesce(F.trim(F.regexp_replace(line, "[ \\t\\r\\f\\x0B]+", " ")), F.lit("")).alias("t"))))
+    bullet, ends = re.compile(BULLET, re.ASCII), re.compile(ENDS)
+
+    def cut(rows) -> list[tuple[int, int, str]]:
+        done, first, last, parts, size = [], 0, 0, [], 0
+        for n, t in ((r["n"], r["t"]) for r in rows):
+            if parts and (not t or bullet.search(t)):
+                done.append((first, last, " ".join(parts)))
+                parts = []
+            if not t:
+                continue
+            first, size = (first, size + 1 + len(t)) if parts else (n, len(t))
+            parts.append(t)
+            last = n
+            if size >= long and ends.search(t):
+                done.append((first, last, " ".join(parts)))
+                parts = []
+        return [*done, (first, last, " ".join(parts))] if parts else done
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = [(k, i, *p) for k, rows in zip(b[key], b["l"], strict=True) for i, p in enumerate(cut(rows))]
+            yield pd.DataFrame(out, columns=[key, "paragraph", "start_line", "end_line", "text"])
+
+    kind = dict(lines.dtypes)[key]
+    return lines.groupBy(key).agg(own.alias("l")).mapInPandas(run, f"{key} {kind}, paragraph int, start_line int, end_line int, text string")
 
 
 def section_text(lines: DataFrame, spans: DataFrame, key: str = "doc_id") -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 #: Header words and the role of their column; the first column of a role counts. Fixed values.
@@ -75,3 +75,24 @@ def carried_once(df: DataFrame, keys: list[str], order: str, sets: str, value: s
     found = df.withColumn("_set", set_at).withColumn("_used", used_at)
     fresh = F.expr(uses) & (F.col("_used").isNull() | (F.col("_set.at") > F.col("_used")))
     return found.withColumn(out, F.when(fresh, F.col("_set.value"))).drop("_set", "_used")
+
+
+def cell(latitude: Column, longitude: Column, level: int) -> Column:
+    """The cell of a point on a grid of 2^level by 2^level, as `level` digits 0 to 3; a cell's parent is the cell without
+    its last digit. Null and impossible points have none; the poles' and the date line's far edge count to the last cell."""
+    side = 1 << level
+    place = lambda share: F.least(F.floor(share * side), F.lit(side - 1)).cast("int")
+    x, y = place((longitude + 180) / 360), place((90 - latitude) / 180)
+    both = F.transform(F.array(F.struct(x.alias("x"), y.alias("y"))), lambda p: F.concat_ws("", *[(p["x"].bitwiseAND(1 << i).cast("boolean").cast("int") + 2 * p["y"].bitwiseAND(1 << i).cast("boolean").cast("int")).cast("string") for i in range(level - 1, -1, -1)]))
+    return F.when(latitude.between(-90, 90) & longitude.between(-180, 180), F.element_at(both, 1))
+
+
+def cells_by_level(points: DataFrame, latitude: str, longitude: str, levels: list[int], value: str) -> DataFrame:
+    """level, cell, parent, n, total of the cells of each level: points are counted once, in the finest cells, and only
+    those counts go up; so a parent's numbers are the sums of its children's. Points without a cell are left out."""
+    finest = max(levels)
+    own = points.select(cell(F.col(latitude), F.col(longitude), finest).alias("_cell"), F.col(value).alias("_v")).where("_cell IS NOT NULL")
+    counts = own.groupBy("_cell").agg(F.count("*").alias("n"), F.sum("_v").alias("total"))
+    up = counts.select(F.explode(F.array(*map(F.lit, sorted(levels)))).alias("level"), "_cell", "n", "total")
+    named = up.withColumn("cell", F.expr("left(_cell, level)")).withColumn("parent", F.expr("left(_cell, level - 1)"))
+    return named.groupBy("level", "cell", "parent").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules as R
 from quern.functions import text as T
-from quern.operators import density, dictionary, pages, spatial, stages, topics, vectors
+from quern.operators import density, dictionary, finance, pages, spatial, stages, topics, vectors
 from quern.operators import documents as docs_
 from quern.registry import register
 from quern.sources import sinks
@@ -157,3 +157,33 @@ def dictionary_mentions(spark, d):
 def dictionary_entities(spark, d):
     """Names in texts, none overlapping another, disasters before programs before counties."""
     return dictionary.mentions(table(spark, d, "documents"), _dictionary(spark, d), ["DISASTER", "PROGRAM", "TX_COUNTY"])
+
+
+_POINT = "25.8 + (c_custkey * 53 % 1080) / 100.0 AS lat, -107.0 + (c_custkey * 37 % 1400) / 100.0 AS lon"
+
+
+@register(
+    "cells_by_level",
+    f"""WITH p AS (SELECT CAST(floor((90 - lat::DOUBLE) / 180 * 256) AS INTEGER) AS y, CAST(floor((lon::DOUBLE + 180) / 360 * 256) AS INTEGER) AS x, c_custkey FROM (SELECT c_custkey, {_POINT} FROM customer)),
+c AS (SELECT array_to_string(list_transform(range(7, -1, -1), lambda i: ((x >> CAST(i AS INTEGER)) & 1) + 2 * ((y >> CAST(i AS INTEGER)) & 1)), '') AS cell, c_custkey FROM p)
+SELECT level, left(cell, level) AS cell, left(cell, level - 1) AS parent, count(*) AS n, CAST(sum(c_custkey) AS BIGINT) AS total FROM c, (VALUES (4), (6), (8)) v(level) GROUP BY ALL""",
+)
+def cells_by_level(spark, d):
+    """Customers by cells of three levels, a cell's parent by its name."""
+    points = table(spark, d, "customer").select("c_custkey", (F.lit(25.8) + (F.col("c_custkey") * 53 % 1080) / 100).alias("lat"), (F.lit(-107.0) + (F.col("c_custkey") * 37 % 1400) / 100).alias("lon"))
+    return spatial.cells_by_level(points, "lat", "lon", [4, 6, 8], "c_custkey")
+
+
+@register(
+    "funding_tree",
+    """WITH a AS (SELECT c_mktsegment AS p, n_name AS n, o_orderpriority AS k, CAST(sum(CAST(round(o_totalprice * 100) AS BIGINT)) AS BIGINT) AS value FROM orders JOIN customer ON o_custkey = c_custkey JOIN nation ON c_nationkey = n_nationkey GROUP BY ALL),
+b AS (SELECT p, n, CAST(sum(value) AS BIGINT) AS value, list({'name': k, 'value': value} ORDER BY k) AS children FROM a GROUP BY ALL),
+c AS (SELECT p, CAST(sum(value) AS BIGINT) AS value, list({'name': n, 'value': value, 'children': children} ORDER BY n) AS children FROM b GROUP BY 1)
+SELECT p AS name, value, CAST(to_json({'name': p, 'value': value, 'children': children}) AS VARCHAR) AS json FROM c""",
+)
+def funding_tree(spark, d):
+    """Segments, their nations and priorities as one nested document each, in cents."""
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), "n_name")
+    customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").join(F.broadcast(nations), "c_nationkey")
+    orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
+    return finance.nested(orders.join(customers, "c_custkey"), ["c_mktsegment", "n_name", "o_orderpriority"], "cents")

@@ -120,3 +120,35 @@ def test_processed_by_batch(spark, tmp_path):
         stream.writeStream.foreachBatch(each).option("checkpointLocation", f"file://{tmp_path}/{checkpoint}").trigger(availableNow=True).start().awaitTermination()
     assert rows_of(spark, f"file://{tmp_path}/t") == [("a", 0, "x", None), ("a", 1, "y", None), ("b", 0, "z", None)]
     assert spark.read.parquet(f"file://{tmp_path}/ledger").count() == 2
+
+
+def test_cells_by_level(spark):
+    from quern.operators import spatial as S
+
+    rows = [(90.0, -180.0, 1), (-90.0, 180.0, 2), (29.76, -95.37, 3), (29.76, -95.36, None), (None, 1.0, 5), (91.0, 0.0, 6), (0.0, 200.0, 7), (float("nan"), 0.0, 8)]
+    df = spark.createDataFrame(rows, "lat double, lon double, v long")
+    got = {(r["level"], r["cell"]): (r["parent"], r["n"], r["total"]) for r in S.cells_by_level(df, "lat", "lon", [1, 2, 3, 12], "v").collect()}
+    assert got[1, "0"][1:] == (3, 4) and got[1, "3"][1:] == (1, 2) and got[12, "0" * 12][1] == 1 and got[12, "3" * 12][1] == 1
+    for level in (1, 2):
+        for cell in {c for at, c in got if at == level}:
+            below = [v for (at, _), v in got.items() if at == level + 1 and v[0] == cell]
+            assert got[level, cell][1:] == (sum(v[1] for v in below), sum(v[2] or 0 for v in below))
+
+
+def test_nested(spark):
+    import json
+
+    from quern.operators import finance
+
+    rows = [("p", "x", "i", 5), ("p", "x", "j", None), ("p", None, "i", 2), ("q", "x", "i", 1), ("p", "x", "i", 4), (None, "x", None, 3)]
+    got = {r["name"]: (r["value"], json.loads(r["json"])) for r in finance.nested(spark.createDataFrame(rows, "a string, b string, c string, v long"), ["a", "b", "c"], "v").collect()}
+    leaf = lambda n, v: {"name": n, "value": v}
+    assert got["p"] == (11, {"name": "p", "value": 11, "children": [{"name": "Unknown", "value": 2, "children": [leaf("i", 2)]}, {"name": "x", "value": 9, "children": [leaf("i", 9), leaf("j", 0)]}]})
+    assert got["Unknown"][1]["children"] == [{"name": "x", "value": 3, "children": [leaf("Unknown", 3)]}] and got["q"][0] == 1
+    assert finance.nested(spark.createDataFrame([], "a string, b string, c string, v long"), ["a", "b", "c"], "v").collect() == []
+
+
+def test_paragraphs_of_many_lines(spark):
+    df = spark.range(1).select(F.lit(1).alias("doc_id"), F.explode(F.expr("sequence(0, 199999)")).alias("line_no")).withColumn("line", F.when(F.col("line_no") % 2 == 0, "a line. ").otherwise(""))
+    got = pages.paragraphs(df)
+    assert got.count() == 100_000 and got.where("text <> 'a line.' OR start_line <> end_line OR start_line <> 2 * paragraph").count() == 0
