@@ -43,10 +43,11 @@ def first_known(df: DataFrame, keys: list[str], order, columns: list[str]) -> Da
 
 
 def split_evenly(df: DataFrame, keys: list[str], over: str, value: str) -> DataFrame:
-    """Splits a value evenly over the distinct `over` of its keys, then sums by `over`; nulls stay null."""
+    """Splits a value evenly over the distinct `over` of its keys, then sums by `over`. A null key is a key, a null value
+    stays null, and a null `over` gets no share. One shuffle by the keys serves the distinct rows and their number."""
     shares = df.select(*keys, over, value).distinct()
-    n = shares.groupBy(*keys).agg(F.count_distinct(over).alias("_n"))
-    out = shares.join(n, keys).withColumn("_share", F.col(value) / F.col("_n"))
+    n = F.size(F.collect_set(over).over(Window.partitionBy(*keys)))
+    out = shares.withColumn("_share", F.when(F.col(over).isNotNull(), F.try_divide(F.col(value), n)))
     return out.groupBy(over, *[k for k in keys if k != "activity_code"]).agg(F.round(F.sum("_share"), 2).alias(value), F.count_distinct("activity_code").cast("bigint").alias("activities"))
 
 

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import rules as R
+
 #: Header words and the role of their column; the first column of a role counts. Fixed values.
 ROLES = {"address": "address", "street": "address", "city": "city", "zip": "zip", "zip code": "zip", "county": "county", "tract": "tract"}
 
@@ -96,3 +98,17 @@ def cells_by_level(points: DataFrame, latitude: str, longitude: str, levels: lis
     up = counts.select(F.explode(F.array(*map(F.lit, sorted(levels)))).alias("level"), "_cell", "n", "total")
     named = up.withColumn("cell", F.expr("left(_cell, level)")).withColumn("parent", F.expr("left(_cell, level - 1)"))
     return named.groupBy("level", "cell", "parent").agg(F.sum("n").alias("n"), F.sum("total").alias("total"))
+
+
+#: How a page's text names a place, where no mention does. Fixed values.
+CITY_TX, ZIP_LABEL = "([A-Za-z .'-]+),\\s*TX\\s*(\\d{5})?", "(?i)\\b(?:zip\\s*code|zip)\\b\\s*[:#-]*\\s*(\\d{5})"
+
+
+def page_places(pages: DataFrame, mentions: DataFrame, key: list[str], text: str, order: str) -> DataFrame:
+    """key, city, zip of each page: those of its first mention (key, city, zip) that has either; on a page without one,
+    what the text says. What neither knows is null. Pages are distinct by key."""
+    known = mentions.where("city IS NOT NULL OR zip IS NOT NULL").groupBy(*key).agg(F.min_by(F.struct("city", "zip"), F.struct(order, "city", "zip")).alias("_m"))
+    said = lambda pattern, k: R.nullif_empty(F.trim(F.regexp_extract(text, pattern, k)))
+    found = pages.select(*key, text).join(known, key, "left")
+    of = lambda name, c: F.when(F.col("_m").isNotNull(), F.col("_m")[name]).otherwise(c).alias(name)
+    return found.select(*key, of("city", F.initcap(said(CITY_TX, 1))), of("zip", F.coalesce(said(CITY_TX, 2), said(ZIP_LABEL, 1))))

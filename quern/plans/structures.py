@@ -9,7 +9,7 @@ from quern.functions import text as T
 from quern.operators import density, dictionary, finance, pages, spatial, stages, topics, vectors
 from quern.operators import documents as docs_
 from quern.registry import register
-from quern.sources import sinks
+from quern.sources import lookups, sinks
 from quern.sources.tables import table
 
 
@@ -22,8 +22,8 @@ def density_clusters(spark, d):
 @register("cluster_movement")
 def cluster_movement(spark, d):
     """A45 over V9: each cluster's quarters, with distinct texts and the share of texts that speak of change. A vector's
-    text is the document of its number, its quarter that of the order of its number."""
-    found = density.clusters(table(spark, d, "embeddings"))
+    text is the document of its number, its quarter that of the order of its number. Four steps of distance."""
+    found = density.clusters(table(spark, d, "embeddings"), levels=4)
     docs = table(spark, d, "documents").select(F.col("doc_id").alias("vec_id"), "text")
     dates = table(spark, d, "orders").select(F.col("o_orderkey").alias("vec_id"), F.year("o_orderdate").alias("year"), F.quarter("o_orderdate").alias("quarter"))
     rows = found.join(docs, "vec_id", "left").join(dates, "vec_id").withColumn("moves", F.lower("text").rlike("mov|chang|shift"))
@@ -187,3 +187,38 @@ def funding_tree(spark, d):
     customers = table(spark, d, "customer").select("c_custkey", "c_mktsegment", "c_nationkey").join(F.broadcast(nations), "c_nationkey")
     orders = table(spark, d, "orders").select(F.col("o_custkey").alias("c_custkey"), "o_orderpriority", F.round(F.col("o_totalprice") * 100).cast("long").alias("cents"))
     return finance.nested(orders.join(customers, "c_custkey"), ["c_mktsegment", "n_name", "o_orderpriority"], "cents")
+
+
+@register(
+    "kept_lookups",
+    """SELECT k.key, coalesce(c_mktsegment, s_name, p_type) AS name, CASE WHEN c_mktsegment IS NOT NULL THEN 'customers' WHEN s_name IS NOT NULL THEN 'suppliers' WHEN p_type IS NOT NULL THEN 'parts' END AS provider
+FROM (SELECT DISTINCT o_custkey AS key FROM orders) k LEFT JOIN customer ON c_custkey = key AND key % 3 = 0 LEFT JOIN supplier ON s_suppkey = key LEFT JOIN part ON p_partkey = key AND key % 2 = 0""",
+)
+def kept_lookups(spark, d):
+    """Half of the keys are asked for first; the second run asks for the rest, and what it returns is the whole."""
+    own = lambda name, key, value: table(spark, d, name).select(F.col(key).alias("key"), F.col(value).alias("name"))
+    providers = [
+        ("customers", lambda k: own("customer", "c_custkey", "c_mktsegment").where("key % 3 = 0")),
+        ("suppliers", lambda k: own("supplier", "s_suppkey", "s_name")),
+        ("parts", lambda k: own("part", "p_partkey", "p_type").where("key % 2 = 0")),
+    ]
+    cache = stages.folder(spark, "lookups")
+    wanted = table(spark, d, "orders").select(F.col("o_custkey").alias("key"))
+    lookups.looked_up(wanted.where("key % 2 = 0"), cache, providers, "key", "name string")
+    return lookups.looked_up(wanted, cache, providers, "key", "name string")[0]
+
+
+@register(
+    "page_places",
+    """SELECT o_orderkey, CASE WHEN o_orderkey % 4 = 0 THEN 'City ' || (o_custkey % 50) WHEN o_orderkey % 4 < 3 THEN 'Port ' || chr(CAST(65 + o_custkey % 26 AS INTEGER)) END AS city,
+CASE o_orderkey % 4 WHEN 1 THEN CAST(77000 + o_custkey % 100 AS VARCHAR) WHEN 3 THEN CAST(78000 + o_custkey % 100 AS VARCHAR) END AS zip FROM orders""",
+)
+def page_places(spark, d):
+    """a page's place by its first mention, or by its text."""
+    o = table(spark, d, "orders")
+    form = F.col("o_orderkey") % 4
+    town = F.concat(F.lit("1; port "), F.lower(F.char(F.lit(65) + F.col("o_custkey") % 26)))
+    text = F.when(form == 1, F.concat(town, F.lit(", TX "), F.lit(77000) + F.col("o_custkey") % 100)).when(form == 2, F.concat(town, F.lit(", TX"))).when(form == 3, F.concat(F.lit("Zip code: "), F.lit(78000) + F.col("o_custkey") % 100)).otherwise("x, TX 70000")
+    first = o.where(form == 0).select("o_orderkey", F.lit(2).alias("id"), F.concat(F.lit("City "), F.col("o_custkey") % 50).alias("city"), F.lit(None).cast("string").alias("zip"))
+    mentions = first.unionByName(first.withColumn("id", F.lit(1)).withColumn("city", F.lit(None).cast("string"))).unionByName(first.withColumn("id", F.lit(3)).withColumn("city", F.lit("other")))
+    return spatial.page_places(o.select("o_orderkey", text.alias("text")), mentions, ["o_orderkey"], "text", "id")

@@ -152,3 +152,29 @@ def test_paragraphs_of_many_lines(spark):
     df = spark.range(1).select(F.lit(1).alias("doc_id"), F.explode(F.expr("sequence(0, 199999)")).alias("line_no")).withColumn("line", F.when(F.col("line_no") % 2 == 0, "a line. ").otherwise(""))
     got = pages.paragraphs(df)
     assert got.count() == 100_000 and got.where("text <> 'a line.' OR start_line <> end_line OR start_line <> 2 * paragraph").count() == 0
+
+
+def test_lookups(spark, tmp_path):
+    from quern.sources import lookups
+
+    cache = f"file://{tmp_path}/cache"
+    frame = lambda rows: spark.createDataFrame(rows, "k string, city string, lat double")
+    providers = [("a", lambda k: frame([("x", "X", 1.0), ("x", "W", 2.0), ("y", None, None), ("other", "O", 0.0)])), ("b", lambda k: frame([("x", "no", 9.0), ("y", None, 3.0)])), ("c", lambda k: frame([]))]
+    wanted = lambda *k: spark.createDataFrame([(x,) for x in k], "k string")
+    run = lambda *k: lookups.looked_up(wanted(*k), cache, providers, "k", "city string, lat double")
+    got, asked = run("x", "x", None)
+    assert asked == {"a": 1, "b": 0, "c": 0} and [tuple(r) for r in got.collect()] == [("x", "W", 2.0, "a")]
+    got, asked = run("x", "y", "z")
+    assert asked == {"a": 2, "b": 2, "c": 1} and sorted(map(tuple, got.collect())) == [("x", "W", 2.0, "a"), ("y", None, 3.0, "b"), ("z", None, None, None)]
+    assert run("x", "y", "z")[1] == {"a": 0, "b": 0, "c": 0}  # nothing is asked again, not what nobody knew either
+    spark.createDataFrame([("x", "no json", 9), ("y", '{"city": "by hand"}', 9)], "k string, response string, run int").write.mode("append").parquet(cache)
+    got, asked = run("x", "y")
+    assert asked == {"a": 1, "b": 0, "c": 0} and sorted(map(tuple, got.collect())) == [("x", "W", 2.0, "a"), ("y", "by hand", None, None)]
+
+
+def test_split_evenly(spark):
+    from quern.operators import changes
+
+    rows = [("a", "q", "1", 10.0), ("a", "q", "2", 10.0), (None, "q", "1", 4.0), ("b", None, "1", 6.0), ("b", None, "1", 6.0), ("c", "q", None, 5.0), ("d", "q", "2", None)]
+    got = changes.split_evenly(spark.createDataFrame(rows, "activity_code string, quarter string, zip string, total double"), ["activity_code", "quarter"], "zip", "total").collect()
+    assert {(r["zip"], r["quarter"]): (r["total"], r["activities"]) for r in got} == {("1", "q"): (9.0, 1), ("2", "q"): (5.0, 2), ("1", None): (6.0, 1), (None, "q"): (None, 1)}

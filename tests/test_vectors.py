@@ -179,9 +179,9 @@ def test_density_of_embeddings(spark):
     """The given vectors, whole, at the query's own settings."""
     e = spark.read.parquet(f"{DATA}/embeddings.parquet")
     rows = e.orderBy("vec_id").collect()
-    got = {r["vec_id"]: r["cluster"] for r in density.clusters(e, 5, 8, 6).collect()}
+    got = {r["vec_id"]: r["cluster"] for r in density.clusters(e, 5, 8, 3).collect()}
     ids = [r["vec_id"] for r in rows]
-    want = plain_clusters(np.array([r["embedding"] for r in rows], np.float32), 5, 8, 6)
+    want = plain_clusters(np.array([r["embedding"] for r in rows], np.float32), 5, 8, 3)
     assert got == {ids[i]: (ids[c] if c >= 0 else -1) for i, c in want.items()}
 
 
