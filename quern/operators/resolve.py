@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from quern.functions import rules as R
 from quern.functions import text as T
 from quern.operators.pages import BIN, bins
 
@@ -62,3 +63,20 @@ def scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
     rate = lambda a, b: F.coalesce(F.round(F.try_divide(a.cast("double"), b), 6), F.lit(0.0))
     tp, fp, fn = (F.col(c) for c in ("tp", "fp", "fn"))
     return both.select("tp", "fp", "fn", rate(tp, tp + fp).alias("precision"), rate(tp, tp + fn).alias("recall"), rate(2 * tp, 2 * tp + fp + fn).alias("f1"))
+
+
+def organisations(mentions: DataFrame, text: str = "entity_text", seeds: tuple[str, ...] = (), candidates: bool = True) -> DataFrame:
+    """Mentions that are no noise of forms, and, for aliases, that may name an organisation at all. Seeds always stay."""
+    keep = ~R.is_noise_org(F.col(text))
+    keep = keep & R.is_org_candidate(F.col(text), seeds) if candidates else keep
+    return mentions.where(keep | F.col(text).isin(*seeds) if seeds else keep)
+
+
+def org_aliases(mentions: DataFrame, text: str = "entity_text", least: int = 2, seeds: tuple[str, ...] = ()) -> DataFrame:
+    """alias, key, canonical, n: aliases of spellings that occur `least` times and may name an organisation. Of one key a
+    seed is canonical, the first by name if there are several; else the most frequent spelling."""
+    found = aliases(organisations(mentions, text, seeds), text, least)
+    if not seeds:
+        return found
+    first = F.min(F.when(F.col("alias").isin(*seeds), F.col("alias"))).over(Window.partitionBy("key"))
+    return found.withColumn("canonical", F.coalesce(first, "canonical"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from quern.functions import rules as R
 from quern.functions import text as T
-from quern.operators import density, dictionary, finance, pages, spatial, stages, topics, vectors
+from quern.operators import density, dictionary, finance, pages, resolve, spatial, stages, topics, vectors
 from quern.operators import documents as docs_
 from quern.registry import register
 from quern.sources import lookups, sinks
@@ -222,3 +222,40 @@ def page_places(spark, d):
     first = o.where(form == 0).select("o_orderkey", F.lit(2).alias("id"), F.concat(F.lit("City "), F.col("o_custkey") % 50).alias("city"), F.lit(None).cast("string").alias("zip"))
     mentions = first.unionByName(first.withColumn("id", F.lit(1)).withColumn("city", F.lit(None).cast("string"))).unionByName(first.withColumn("id", F.lit(3)).withColumn("city", F.lit("other")))
     return spatial.page_places(o.select("o_orderkey", text.alias("text")), mentions, ["o_orderkey"], "text", "id")
+
+
+#: A customer's order names an organisation in one of eight ways, or something that is none.
+_ORG_NAMES = """m AS (SELECT o_orderkey, o_custkey, CASE o_orderkey % 8 WHEN 0 THEN 'City of ' || n_name WHEN 1 THEN 'CITY OF ' || n_name WHEN 2 THEN 'The City of ' || n_name WHEN 3 THEN n_name || ' Department & Co' WHEN 4 THEN 'Total Budget' WHEN 5 THEN 'HUD' WHEN 6 THEN 'B-17-DM-48-0001' ELSE 'Label: ' || n_name END AS entity_text
+FROM orders JOIN customer ON o_custkey = c_custkey JOIN (SELECT n_nationkey, translate(n_name, '0123456789_', 'abcdefghij ') AS n_name FROM nation) ON c_nationkey = n_nationkey)"""
+
+
+def _org_names(spark, d):
+    nations = table(spark, d, "nation").select(F.col("n_nationkey").alias("c_nationkey"), F.translate("n_name", "0123456789_", "abcdefghij ").alias("n_name"))
+    customers = table(spark, d, "customer").select("c_custkey", "c_nationkey").join(F.broadcast(nations), "c_nationkey")
+    o = table(spark, d, "orders").select("o_orderkey", "o_custkey").join(customers, F.col("o_custkey") == F.col("c_custkey"))
+    n = F.col("n_name")
+    forms = (F.concat(F.lit("City of "), n), F.concat(F.lit("CITY OF "), n), F.concat(F.lit("The City of "), n), F.concat(n, F.lit(" Department & Co")), F.lit("Total Budget"), F.lit("HUD"), F.lit("B-17-DM-48-0001"), F.concat(F.lit("Label: "), n))
+    return o.select("o_orderkey", "o_custkey", F.element_at(F.array(*forms), (F.col("o_orderkey") % 8 + 1).cast("int")).alias("entity_text"))
+
+
+@register(
+    "org_aliases",
+    f"""WITH {_ORG_NAMES}, n AS (SELECT entity_text AS alias, count(*) AS n FROM m WHERE o_orderkey % 8 IN (0, 1, 2, 3, 5) GROUP BY 1 HAVING count(*) >= 2),
+k AS (SELECT *, regexp_replace(trim(regexp_replace(lower(replace(alias, '&', ' and ')), '[^a-z0-9]+', ' ', 'g')), '^the ', '') AS key FROM n)
+SELECT alias, key, CASE WHEN key = 'city of nation b' AND count(*) FILTER (alias = 'City of NATION b') OVER (PARTITION BY key) > 0 THEN 'City of NATION b' ELSE first_value(alias) OVER (PARTITION BY key ORDER BY n DESC, alias) END AS canonical, n FROM k""",
+)
+def org_aliases(spark, d):
+    """Aliases of what may be an organisation; one seed is canonical whatever its count."""
+    return resolve.org_aliases(_org_names(spark, d), seeds=("City of NATION b",))
+
+
+@register(
+    "org_edges",
+    f"""WITH {_ORG_NAMES}, f AS (SELECT o_custkey, entity_text, min(o_orderkey) AS start FROM m WHERE o_orderkey % 8 IN (0, 1, 2, 3, 5) GROUP BY 1, 2),
+r AS (SELECT * FROM f QUALIFY row_number() OVER (PARTITION BY o_custkey ORDER BY start, entity_text) <= 5)
+SELECT a.entity_text AS subject, b.entity_text AS object, count(*) AS weight FROM r a JOIN r b USING (o_custkey) WHERE a.entity_text < b.entity_text GROUP BY 1, 2 HAVING count(*) >= 2""",
+)
+def org_edges(spark, d):
+    """G1: organisations that share a customer, noise of forms left out before pairs are made; five of a customer at most."""
+    m = resolve.organisations(_org_names(spark, d), candidates=False).withColumnRenamed("o_orderkey", "start")
+    return resolve.edges(m, ["o_custkey"], "entity_text", 5, 2)
