@@ -1,13 +1,16 @@
 """Toxicity by non-negative positive-unlabelled learning.
 
-Confirmed toxic documents are the positives; everything else is unlabelled, for a missing or a
-"clean" label does not prove that a text is clean. A linear scorer over hashed words minimises
+Confirmed toxic documents are the positives; the unlabelled ones are a draw of all documents, the
+positives among them, for a missing or a "clean" label does not prove that a text is clean and the
+prior speaks of documents as they come. A linear scorer over hashed words minimises
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),   l(z) = 1 / (1 + exp(z)),
 
 the class-prior-corrected risk whose negative part is not let below zero: where a step finds it
 below, it climbs back instead. The prior is the share of toxic rows among the labelled ones of the
-training fold. Rows whose crc32(doc_id as text) mod 5 is 0 are held out of all of this.
+training fold. The bias is then moved so that a score of 0.5 lies where the same risk, counted in
+whole documents, is least (`cut`). Rows whose crc32(doc_id as text) mod 5 is 0 are held out of all
+of this.
 
 At most POSITIVES and about UNLABELLED documents are drawn for the fit, by a hash of the doc_id:
 the fit's cost does not grow with the corpus. Scoring covers every document and moves none.
@@ -45,9 +48,8 @@ def _hash(word: bytes) -> int:
 
 def _hashed(batches):
     for batch in batches:
-        flags = batch.column(1).to_pylist()
         ids = [np.unique(np.fromiter(map(_hash, features(t)), np.int32)).astype("<i4").tobytes() for t in texts(batch.column(0))]
-        yield pa.RecordBatch.from_arrays([pa.array(flags, pa.bool_()), pa.array(ids, pa.binary())], ["positive", "ids"])
+        yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary())], ["positive", "drawn", "ids"])
 
 
 class Scorer:
@@ -72,6 +74,18 @@ class Scorer:
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
+def cut(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
+    """The value from which documents are called toxic: where prior * missed + max(0, called - prior * caught) is least,
+    the highest of several, between two values that occur; above all of them if calling none is best."""
+    at = np.unique(np.r_[gp, gu])
+    caught = np.r_[1 - np.searchsorted(np.sort(gp), at) / len(gp), 0.0]
+    called = np.r_[1 - np.searchsorted(np.sort(gu), at) / len(gu), 0.0]
+    risk = prior * (1 - caught) + np.maximum(0, called - prior * caught)
+    k = int(np.flatnonzero(risk <= risk.min() + 1e-12)[-1])
+    edges = np.r_[at[0] - 1, at, at[-1] + 1]
+    return float(edges[k] + edges[k + 1]) / 2
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Scorer:
     """Fits the scorer; without a word of a positive, or without unlabelled texts, every score is the prior."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
@@ -116,6 +130,15 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     return Scorer(ids, w, b)
 
 
+def centred(scorer: Scorer, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Scorer:
+    """The scorer with its bias moved so that 0.5 is at the cut; itself where there is nothing to cut by."""
+    if not positive or not unlabelled or not len(scorer.ids):
+        return scorer
+    by_hash = dict(zip(scorer.ids.tolist(), scorer.weights.tolist(), strict=True))
+    value = lambda docs: np.array([scorer.bias + sum(by_hash.get(i, 0.0) for i in d.tolist()) for d in docs])
+    return Scorer(scorer.ids, scorer.weights, scorer.bias - cut(value(positive), value(unlabelled), prior))
+
+
 def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     """Learns from docs (doc_id, text) and labels (doc_id, toxic). Nulls, repeated labels (any toxic
     one counts) and labels of absent documents are allowed; an empty table leaves the prior."""
@@ -128,11 +151,12 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     own = docs.select("doc_id", "text").where(F.col("doc_id").isNotNull() & ~held_out("doc_id"))
     # POSITIVES ids at most go to every executor
     known = own.join(F.broadcast(positive), "doc_id", "left")
-    drawn = known.where(F.col("positive") | draw(UNLABELLED, total)).select("text", F.coalesce("positive", F.lit(False)))
-    rows = drawn.mapInArrow(lean(_hashed), "positive boolean, ids binary").collect()
-    ids = [(r["positive"], np.frombuffer(r["ids"], "<i4")) for r in rows]
-    order = sorted(range(len(ids)), key=lambda k: (ids[k][0], ids[k][1].tobytes()))  # whatever order tasks end in
-    return train([ids[k][1] for k in order if ids[k][0]], [ids[k][1] for k in order if not ids[k][0]], prior)
+    drawn = known.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), draw(UNLABELLED, total).alias("drawn")).where("positive OR drawn")
+    rows = drawn.mapInArrow(lean(_hashed), "positive boolean, drawn boolean, ids binary").collect()
+    rows.sort(key=lambda r: (r["positive"], r["drawn"], bytes(r["ids"])))  # whatever order tasks end in
+    ids = lambda kind: [np.frombuffer(r["ids"], "<i4") for r in rows if r[kind]]
+    own, drawn = ids("positive"), ids("drawn")
+    return centred(train(own, drawn, prior), own, drawn, prior)
 
 
 def _scored(scorer: Scorer):
