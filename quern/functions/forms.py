@@ -12,7 +12,7 @@ CELLS = "array<array<string>>"
 
 
 def read_grid(json: Column) -> Column:
-    """Rows of cells from a table's JSON; null where it is none. A number reads as its value is printed (2.50 as 2.5)."""
+    """Rows of cells from a table's JSON; null where it is none, or its first row is no list. A number reads as its value is printed (2.50 as 2.5)."""
     return F.when(json.rlike("^\\s*\\[\\s*\\["), F.from_json(json, CELLS))
 
 

@@ -21,7 +21,8 @@ GRIDS = [
     ('[["A:"]]', {}),
     ('[["A:", "b", null, " C/d : "], [" x  y ", "z"]]', {"a": "x y", "c_d": None}),
     ('[["A:"], null, ["B:"], [2.50]]', {"a": None, "b": "2.5"}),
-    ('[null, ["v"], ["A:"], [""]]', {"a": None}),
+    ('[null, ["v"], ["A:"], [""]]', None),
+    ('[["v"], null, ["A:"], [""]]', {"a": None}),
     ('[["A:", "a:"], ["1", "2"], ["A :"], ["3"], ["A:"]]', {"a": "3"}),
     ('[["LMI%:", "--:"], ["7", "8"]]', {"lmi": "7", "": "8"}),
 ]
