@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quern.functions import rules as R
@@ -10,9 +10,11 @@ from quern.functions import text as T
 from quern.operators.pages import BIN, bins
 
 
-def aliases(mentions: DataFrame, text: str = "entity_text", least: int = 1) -> DataFrame:
-    """alias, key, canonical: of all spellings with one key the most frequent is canonical, ties to the smaller."""
+def aliases(mentions: DataFrame, text: str = "entity_text", least: int = 1, keep: Column | None = None) -> DataFrame:
+    """alias, key, canonical: of all spellings with one key the most frequent is canonical, ties to the smaller.
+    Of keep, a condition on the text, every spelling is judged once."""
     n = mentions.groupBy(text).agg(F.count(F.lit(1)).cast("bigint").alias("n")).where(F.col("n") >= least)
+    n = n if keep is None else n.where(F.when(F.col("n") > 0, keep))
     keyed = n.withColumn("key", T.normalize_key(F.col(text))).where("key <> ''")
     rank = F.first(text).over(Window.partitionBy("key").orderBy(F.desc("n"), text))
     return keyed.select(F.col(text).alias("alias"), "key", rank.alias("canonical"), "n")
@@ -66,16 +68,25 @@ def scores(gold: DataFrame, predicted: DataFrame, keys: list[str]) -> DataFrame:
 
 
 def organisations(mentions: DataFrame, text: str = "entity_text", seeds: tuple[str, ...] = (), candidates: bool = True) -> DataFrame:
-    """Mentions that are no noise of forms, and, for aliases, that may name an organisation at all. Seeds always stay."""
+    """Mentions that are no noise of forms, and, for aliases, that may name an organisation at all. Seeds always stay.
+
+    Each different text is judged once, whatever the number of its mentions. The count in the condition is never 0: it
+    keeps the optimizer from moving the rules below the grouping, back to the mentions."""
+    names = mentions.groupBy(text).agg(F.count(F.lit(1)).alias("_n"))
+    kept = names.where(F.when(F.col("_n") > 0, _is_org(text, seeds, candidates)))
+    return mentions.join(kept.select(text), text, "left_semi")
+
+
+def _is_org(text: str, seeds: tuple[str, ...], candidates: bool) -> Column:
     keep = ~R.is_noise_org(F.col(text))
     keep = keep & R.is_org_candidate(F.col(text), seeds) if candidates else keep
-    return mentions.where(keep | F.col(text).isin(*seeds) if seeds else keep)
+    return keep | F.col(text).isin(*seeds) if seeds else keep
 
 
 def org_aliases(mentions: DataFrame, text: str = "entity_text", least: int = 2, seeds: tuple[str, ...] = ()) -> DataFrame:
     """alias, key, canonical, n: aliases of spellings that occur `least` times and may name an organisation. Of one key a
     seed is canonical, the first by name if there are several; else the most frequent spelling."""
-    found = aliases(organisations(mentions, text, seeds), text, least)
+    found = aliases(mentions, text, least, _is_org(text, seeds, True))
     if not seeds:
         return found
     first = F.min(F.when(F.col("alias").isin(*seeds), F.col("alias"))).over(Window.partitionBy("key"))
