@@ -185,7 +185,8 @@ def typed_relation_edges(spark, d):
 def money_entity_links(spark, d):
     """G9."""
     m = mentions(spark, d)
-    return m.where("kind = 'MONEY'").select("u", F.col("start").alias("money")).join(m.where("kind <> 'MONEY'").select("u", "kind", "name"), "u").distinct()
+    money, named = m.where("kind = 'MONEY'").select("u", F.col("start").alias("money")), m.where("kind <> 'MONEY'").select("u", "kind", "name")
+    return money.distinct().join(named.distinct(), "u")  # pairs of distinct rows are distinct: they are not held once more
 
 
 @register("top_entities_by_money", f"WITH {MENTIONS} SELECT b.name, count(DISTINCT (a.u, a.start)) AS amounts FROM m a JOIN m b USING (u) WHERE a.kind = 'MONEY' AND b.kind <> 'MONEY' GROUP BY 1 ORDER BY 2 DESC, 1 LIMIT 2000")
