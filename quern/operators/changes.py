@@ -51,6 +51,16 @@ def split_evenly(df: DataFrame, keys: list[str], over: str, value: str) -> DataF
     return out.groupBy(over, *[k for k in keys if k != "activity_code"]).agg(F.round(F.sum("_share"), 2).alias(value), F.count_distinct("activity_code").cast("bigint").alias("activities"))
 
 
+def total_split_evenly(df: DataFrame, keys: list[str], over: str, value: str, name: str = "total") -> DataFrame:
+    """`split_evenly` of the total of each of the keys, in cents: one grouping by keys and `over` gives the parts of the
+    totals and the distinct `over` at once, so nothing is joined back and no set is held. Rows with a null key are left out."""
+    parts = df.dropna(subset=keys).groupBy(*keys, over).agg(F.sum(value).alias("_part"))
+    own = Window.partitionBy(*keys)
+    shared = parts.withColumn("_share", F.when(F.col(over).isNotNull(), F.try_divide(F.round(F.sum("_part").over(own), 2), F.count(over).over(own))))
+    # a row is a key and an `over`, so an activity is counted once without being told apart
+    return shared.groupBy(over, *[k for k in keys if k != "activity_code"]).agg(F.round(F.sum("_share"), 2).alias(name), F.count("activity_code").cast("bigint").alias("activities"))
+
+
 def pivot_counts(df: DataFrame, key: str, column: str, values: list[str], drop_null_keys: bool = True) -> DataFrame:
     """Counts of each value as columns, 0 where there is none; values are given, so no extra pass finds them."""
     df = df.where(F.col(key).isNotNull()) if drop_null_keys else df

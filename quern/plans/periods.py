@@ -44,10 +44,7 @@ n AS (SELECT activity_code, quarter, count(DISTINCT zip) AS n FROM s GROUP BY 1,
 SELECT zip, quarter, round(sum(total / n), 2) AS total, count(DISTINCT activity_code) AS activities FROM s JOIN n USING (activity_code, quarter) GROUP BY 1, 2""",
 )
 def zip_allocation_split(spark, d):
-    a = allocations(spark, d)
-    total = a.groupBy("activity_code", "quarter").agg(F.round(F.sum("allocated"), 2).alias("total"))
-    places = a.select("activity_code", "quarter", "zip").distinct().join(total, ["activity_code", "quarter"])
-    return ch.split_evenly(places, ["activity_code", "quarter"], "zip", "total")
+    return ch.total_split_evenly(allocations(spark, d), ["activity_code", "quarter"], "zip", "allocated")
 
 
 @register("status_pivot", VIEWS + "SELECT county, count(*) FILTER (status = 'Completed') AS completed, count(*) FILTER (status = 'Under Way') AS under_way, count(*) FILTER (status = 'Cancelled') AS cancelled FROM activities WHERE county IS NOT NULL GROUP BY 1")
