@@ -16,8 +16,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Names that are broadcast at once.
-MOST = 200_000
+#: Names that are broadcast at once, and mentions that a worker holds before it hands them on.
+MOST, AT_ONCE = 200_000, 5000
 _WORD = re.compile(r"\w+")
 
 
@@ -81,6 +81,7 @@ def mentions(docs: DataFrame, names: DataFrame, order: list[str], key: str = "do
     parts = max(1, -(-own.count() // most))
     kind = dict(docs.dtypes)[key]
     schema = f"{key} {kind}, row long, priority int, start int, end int, type string, name string, entity_text string"
+    columns = [key, "row", "priority", "start", "end", "type", "name", "entity_text"]
     rows, out = docs.select(key, F.monotonically_increasing_id().alias("row"), F.col(text).alias("text")), None
     for part in range(parts):
         some = own if parts == 1 else own.where(F.pmod(F.xxhash64("name"), F.lit(parts)) == part)
@@ -96,8 +97,12 @@ def mentions(docs: DataFrame, names: DataFrame, order: list[str], key: str = "do
                 for k, row, t in zip(b[key], b["row"], b["text"], strict=True):
                     if t is not None:
                         found = dictionary.mentions(t)
-                        out += ((k, row, *m[:3], m[3], m[4], t[m[1] : m[2]]) for m in (settled(found) if settle and alone else found))
-                yield pd.DataFrame(out, columns=[key, "row", "priority", "start", "end", "type", "name", "entity_text"])
+                        for m in settled(found) if settle and alone else found:
+                            out.append((k, row, *m, t[m[1] : m[2]]))
+                            if len(out) == AT_ONCE:
+                                yield pd.DataFrame(out, columns=columns)
+                                out = []
+                yield pd.DataFrame(out, columns=columns)
 
         found = rows.mapInPandas(find, schema)
         out = found if out is None else out.union(found)
