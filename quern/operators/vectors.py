@@ -58,8 +58,12 @@ def best_seed(vectors: DataFrame, seeds: DataFrame, threshold: float, k: int, he
 
 
 def term_weights(docs: DataFrame, key: str = "doc_id", text: str = "text", pattern: str = "[a-z]{3,}") -> DataFrame:
-    """key, term, tf, df, tfidf: smoothed inverse document frequency, ln((1 + n) / (1 + df)) + 1."""
-    terms = docs.select(key, F.explode(F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({pattern})"), F.lit(1))).alias("term"))
+    """key, term, tf, df, tfidf: smoothed inverse document frequency, ln((1 + n) / (1 + df)) + 1.
+
+    Documents are dealt by key as a row each, so their terms are counted where they are and not shuffled for it."""
+    found = docs.select(key, F.regexp_extract_all(F.lower(F.col(text)), F.lit(f"({pattern})"), F.lit(1)).alias("terms")).repartition(key)
+    # outer, as for a plain explode the optimizer would filter by the list, and so make it three times
+    terms = found.select(key, F.explode_outer("terms").alias("term")).where("term IS NOT NULL")
     tf = terms.groupBy(key, "term").agg(F.count(F.lit(1)).cast("bigint").alias("tf"))
     df = tf.groupBy("term").agg(F.count(F.lit(1)).cast("bigint").alias("df"))
     n = docs.agg(F.count(F.lit(1)).alias("_n"))
