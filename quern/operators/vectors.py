@@ -105,7 +105,7 @@ def settled_groups(ranked: DataFrame, threshold: float = 0.92, block: str = "lab
     What one task holds are `at_once` rows and the groups of one component. Keys are longs and distinct."""
     at = neighbours.cells(ranked, key, vector)
     links = graphs.components(neighbours.links_within(at, float(np.sqrt(2 - 2 * threshold * threshold)) + 1e-8))
-    rows = ranked.select(F.col(block).alias("block"), F.col(key).alias("key"), F.transform(vector, lambda x: x.cast("double")).alias("v"), F.col(score).cast("double").alias("score"))
+    rows = ranked.select(F.col(block).alias("block"), F.col(key).alias("key"), neighbours.as_numbers(ranked, vector).alias("v"), F.col(score).cast("double").alias("score"))
     rows = rows.join(links.withColumnRenamed("id", "key"), "key", "left").withColumn("component", F.coalesce("component", "key"))
     order = Window.partitionBy("block", "component").orderBy(F.desc_nulls_last("score"), "key")
     rows = cut(rows.withColumn("place", F.row_number().over(order) - 1).withColumn("round", F.expr(f"place div {at_once}")))
