@@ -143,15 +143,21 @@ def core_statement(snippet: Column, keyword: Column) -> Column:
     """The sentence with the keyword's first place, and the one before where both are short. Sentences end with . ; ? or !"""
 
     def of(s: Column) -> Column:
-        pattern = first_of([(keyword == k, F.lit("(?i)" + p)) for k, p in SWITCHES], F.lit("(?i)" + "|".join(p for _, p in SWITCHES)))
-        at = F.regexp_instr(s, pattern)
-        word = F.regexp_substr(s, pattern)
-        left, right = F.substr(s, F.lit(1), at - 1), F.substr(s, at + F.length(word))
-        head = F.regexp_extract(left, "[^.;?!]*$", 0)
-        core = squeezed(F.concat(head, word, F.regexp_extract(right, "^[^.;?!]*[.;?!]?", 0)))
-        before = squeezed(F.regexp_extract(F.substr(left, F.lit(1), F.length(left) - F.length(head)), "[^.;?!]*[.;?!]$", 0))
-        both = F.concat_ws(" ", before, core)
-        joined = F.when((before != "") & (F.length(before) <= BEFORE) & (F.length(core) <= SENTENCE) & F.length(both).between(*BOTH), both).otherwise(core)
-        return F.when(at > 0, shortened(joined, CORE)).otherwise(shortened(s, OTHER))
+        place = lambda p: F.struct(F.regexp_instr(s, F.lit(p)).alias("at"), F.regexp_extract(s, p, 0).alias("word"))
+        first = first_of([(keyword == k, place("(?i)" + p)) for k, p in SWITCHES], place("(?i)" + "|".join(p for _, p in SWITCHES)))
+
+        def around(x: Column) -> Column:
+            # what stands to the left is read from its end, so that a search never starts anew at each of its places
+            left, right = F.reverse(F.substr(s, F.lit(1), x["at"] - 1)), F.substr(s, x["at"] + F.length(x["word"]))
+            own = lambda k: F.reverse(F.regexp_extract(left, "^([^.;?!]*)([.;?!][^.;?!]*)?", k))
+            core = squeezed(F.concat(own(1), x["word"], F.regexp_extract(right, "^[^.;?!]*[.;?!]?", 0)))
+            return let(F.struct(core.alias("core"), squeezed(own(2)).alias("before")), joined)
+
+        def joined(x: Column) -> Column:
+            core, before = x["core"], x["before"]
+            close = (before != "") & (F.length(before) <= BEFORE) & (F.length(core) <= SENTENCE)
+            return let(F.when(close, F.concat_ws(" ", before, core)), lambda both: shortened(F.when(F.length(both).between(*BOTH), both).otherwise(core), CORE))
+
+        return let(first, lambda x: F.when(x["at"] > 0, around(x)).otherwise(shortened(s, OTHER)))
 
     return let(squeezed(F.coalesce(snippet, F.lit(""))), of)

@@ -80,7 +80,7 @@ x AS (SELECT document_id, page_number, ['move', 'reallocat', 'reprogram'][form +
 """
 
 
-def _statements(spark, d):
+def _statements(spark, d, money: bool = True):
     o, items = table(spark, d, "orders"), table(spark, d, "lineitem")
     form = (F.col("o_orderkey") % 6).cast("int")
     said = F.element_at(F.array(*map(F.lit, _FORMS)), form + 1)
@@ -92,7 +92,7 @@ def _statements(spark, d):
         F.when(F.col("l_linenumber") != 7, F.concat(F.lit("Agency  "), F.col("l_suppkey") % 20)).alias("normalized_text"), F.col("l_extendedprice").alias("amount_usd"),
         F.element_at(F.array(*[F.lit(x).cast("string") for x in _LABELS]), (F.col("l_linenumber") % 6 + 1).cast("int")).alias("context_label"),
     ).join(owners, "page_number")
-    return switches.statements(pages, switches.top_orgs(own), switches.money_by_page(own))
+    return switches.statements(pages, switches.top_orgs(own), switches.money_by_page(own) if money else None)
 
 
 @register("switch_statements", _STATEMENTS + "SELECT * FROM x")
@@ -106,4 +106,4 @@ def switch_statements(spark, d):
 @register("switch_summary", _STATEMENTS + "SELECT document_id, count(*) AS n_hits, count(*) FILTER (confidence = 'high') AS n_high, count(*) FILTER (confidence = 'medium') AS n_medium, count(*) FILTER (confidence = 'low') AS n_low FROM x GROUP BY 1")
 def switch_summary(spark, d):
     """A document's statements by confidence."""
-    return switches.document_summary(_statements(spark, d))
+    return switches.document_summary(_statements(spark, d, money=False))
