@@ -2,7 +2,8 @@
 
 Confirmed toxic documents are the positives; the unlabelled ones are a draw of all documents, the
 positives among them, for a missing or a "clean" label does not prove that a text is clean and the
-prior speaks of documents as they come. A linear scorer over hashed words minimises
+prior speaks of documents as they come. A linear scorer over hashed words and beginnings of words
+minimises
 
     prior * E_P[l(g)] + max(0, E_U[l(-g)] - prior * E_P[l(-g)]),   l(z) = 1 / (1 + exp(z)),
 
@@ -10,7 +11,9 @@ the class-prior-corrected risk whose negative part is not let below zero: where
 below, it climbs back instead. The prior is the share of toxic rows among the labelled ones of the
 training fold. The bias is then moved so that a score of 0.5 lies where the same risk, counted in
 whole documents, is least (`cut`). Rows whose crc32(doc_id as text) mod 5 is 0 are held out of all
-of this.
+of this. Fitted is only what stands among the positives more often than chance puts it there, and at
+most one feature for three positives, or rare words would tell the positives of the fit one by one
+and leave the toxic words without weight.
 
 At most POSITIVES and about UNLABELLED documents are drawn for the fit, by a hash of the doc_id:
 the fit's cost does not grow with the corpus. Scoring covers every document and moves none.
@@ -28,8 +31,12 @@ from pyspark.sql.types import StructField, StructType
 from quern.llm.common import ALNUM, bounded, lean, texts
 
 POSITIVES, UNLABELLED = 4_000, 16_000
-#: Words whose hash is a feature, and the least number of positives that hold one.
+#: Hashes of features, the least number of positives that hold one, and the most that are fitted.
 SPACE, LEAST, FEATURES = 1 << 22, 3, 4096
+#: Bytes of the beginnings of longer words, which inflected forms of one stem share.
+STEMS = (4, 5, 6, 7, 8)
+#: How many words and beginnings may pass as standing out among the positives by chance alone.
+CHANCE = 1
 STEPS, RATE, DECAY = 400, 0.05, 1e-3
 
 
@@ -38,8 +45,13 @@ def held_out(key):
     return F.coalesce(F.crc32(F.col(key).cast("string").cast("binary")) % 5 == 0, F.lit(False))
 
 
+def forms(word: bytes) -> list[bytes]:
+    """A word, and its beginnings if it is longer (marked, a beginning is no word)."""
+    return [word, *(word[:k] + b"-" for k in STEMS if len(word) > k)]
+
+
 def features(text: bytes | None) -> set[bytes]:
-    return set((text or b"").translate(ALNUM).split())
+    return {f for w in set((text or b"").translate(ALNUM).split()) for f in forms(w)}
 
 
 def _hash(word: bytes) -> int:
@@ -60,17 +72,18 @@ class Scorer:
 
     def score(self, column: list[bytes | None]) -> np.ndarray:
         by_hash = dict(zip(self.ids.tolist(), self.weights.tolist(), strict=True))
-        known: dict[bytes, float] = {}
+        known: dict[bytes, tuple[int, ...]] = {}  # the features that a word gives
         out = np.empty(len(column))
         for k, t in enumerate(column):
-            g = self.bias
-            for w in features(t):
+            found: set[int] = set()
+            for w in set((t or b"").translate(ALNUM).split()):
                 if (v := known.get(w)) is None:
                     if len(known) > 300_000:
                         known.clear()
-                    v = known[w] = by_hash.get(_hash(w), 0.0)
-                g += v
-            out[k] = g
+                    v = known[w] = tuple(i for i in map(_hash, forms(w)) if i in by_hash)
+                if v:
+                    found.update(v)
+            out[k] = self.bias + sum(by_hash[i] for i in sorted(found))
         return 1 / (1 + np.exp(-np.clip(out, -50, 50)))
 
 
@@ -98,12 +111,12 @@ def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float
     u_df = np.zeros(len(ids))
     _, mine, theirs = np.intersect1d(ids, u_ids, return_indices=True)
     u_df[mine] = u_count[theirs]
-    p_rate, u_rate = p_df / len(positive), u_df / len(unlabelled)
-    # what stands out among the positives, in standard errors
-    mean = (p_df + u_df) / (len(positive) + len(unlabelled))
-    z = (p_rate - u_rate) / np.sqrt(mean * (1 - mean) * (1 / len(positive) + 1 / len(unlabelled)) + 1e-12)
-    good = np.flatnonzero((p_df >= LEAST) & (z > 3))
-    good = np.sort(good[np.argsort(-z[good], kind="stable")[:FEATURES]])
+    # what stands out among the positives: occurrences of chance would lie there so often with a probability of at most exp(-odds)
+    share, held = len(positive) / (len(positive) + len(unlabelled)), p_df / (p_df + u_df)
+    odds = (p_df + u_df) * (held * np.log(held / share) + (1 - held) * np.log(np.maximum(1 - held, 1e-300) / (1 - share)))
+    often = p_df >= LEAST
+    good = np.flatnonzero(often & (held > share) & (odds > np.log(max(1, often.sum()) / CHANCE)))
+    good = np.sort(good[np.argsort(-odds[good], kind="stable")[: min(FEATURES, max(16, len(positive) // 3))]])
     ids = ids[good]
 
     def rows(docs):
