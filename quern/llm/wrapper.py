@@ -109,6 +109,10 @@ class _Builder(HTMLParser):
         self.named: list[Node] = []  # out by name
         self.article = False  # whether an article lies in nothing that is out
 
+    def updatepos(self, i, j):
+        """Lines and columns, which the library's parser counts, are not asked for."""
+        return j
+
     def _close(self, node: Node) -> None:
         """Closes the open elements up to node, and node itself."""
         while self.at is not node:
@@ -118,7 +122,10 @@ class _Builder(HTMLParser):
         self.at = node.parent
 
     def _up_to(self, tags: frozenset[str], stop: frozenset[str]) -> None:
-        if not any(self.open[t] for t in tags):
+        for t in tags:
+            if self.open[t]:
+                break
+        else:
             return
         node = self.at
         while node.parent is not None and node.tag not in stop:
@@ -128,15 +135,19 @@ class _Builder(HTMLParser):
             node = node.parent
 
     def handle_starttag(self, tag, attrs):
-        if tag in CLOSES_P:
+        if self.open["p"] and tag in CLOSES_P:
             self._up_to(_P, _P_SCOPE)
         if tag in _SIBLINGS:
             self._up_to(*_SIBLINGS[tag])
         elif tag in ("html", "body") and self.open[tag]:
             return
-        got = dict(attrs)
         inside = self.open["article"] > 0 or self.open["main"] > 0
-        node = Node(tag, f"{tag}.{' '.join(sorted((got.get('class') or '').split()))}", _role(tag, got, inside), self.at)
+        if attrs:
+            got = dict(attrs)
+            names = got.get("class")
+            node = Node(tag, f"{tag}.{' '.join(sorted(names.split())) if names else ''}", _role(tag, got, inside), self.at)
+        else:
+            node = Node(tag, tag + ".", BY_TAG if tag in DROPPED or (tag == "header" and not inside) else 0, self.at)
         self.at.parts.append(node)
         if node.out == BY_NAME:
             self.named.append(node)
@@ -208,14 +219,18 @@ def tree(html: str) -> Node:
     return builder.root
 
 
-def blocks(nodes: list[Node], template: set[int], without: frozenset[str] = frozenset()) -> list[str]:
-    """Texts of the blocks below some nodes, in page order, without what is out or template or of some tags."""
+def blocks(nodes: list[Node], template: set[int], without: frozenset[str] = frozenset(), known: dict[int, list[str]] | None = None) -> list[str]:
+    """Texts of the blocks below some nodes, in page order, without what is out or template or of some tags.
+
+    known: block elements whose texts are there already, for the same template and tags."""
     found, now = [], []
+    known = known or {}
 
     def flush():
-        if text := " ".join("".join(now).split()):
-            found.append(text)
-        now.clear()
+        if now:
+            if text := " ".join("".join(now).split()):
+                found.append(text)
+            now.clear()
 
     for root in nodes:
         todo: list = [root]
@@ -223,15 +238,18 @@ def blocks(nodes: list[Node], template: set[int], without: frozenset[str] = froz
             x = todo.pop()
             if x is None:
                 flush()
-            elif isinstance(x, str):
+            elif type(x) is str:
                 now.append(x)
+            elif id(x) in known and not x.out:
+                flush()
+                found.extend(known[id(x)])
             elif x is root or not (x.out or id(x) in template or x.tag in without):
                 if x.tag in ("br", "hr"):
                     now.append(" ")
                 if x.tag in BLOCKS:
                     flush()
                     todo.append(None)
-                todo.extend(reversed(x.parts))
+                todo.extend(x.parts[::-1])
         flush()
     return found
 
@@ -328,6 +346,21 @@ def _text(s: Shape) -> str:
     return "\n".join(blocks([m for m in s.members if not m.out], set()))
 
 
+def _nested_texts(shapes: list[Shape]) -> dict[int, str]:
+    """_text of shapes of one page by number: inner ones first, whose blocks the outer ones take over."""
+    known: dict[int, list[str]] = {}
+    found = {}
+    for s in sorted(shapes, key=lambda s: -s.number):
+        own = []
+        for m in s.members:
+            if not m.out:
+                own += (part := blocks([m], set(), known=known))
+                if m.tag in BLOCKS:
+                    known[id(m)] = part
+        found[s.number] = "\n".join(own)
+    return found
+
+
 def _out(s: Shape) -> bool:
     return all(m.out for m in s.members)
 
@@ -365,21 +398,21 @@ def _votes(batches):
         for host, html, ref in zip(*(c.to_pylist() for c in batch.columns), strict=True):
             root = tree(html or "")
             page = _hash(_substance(root))
-            for x, y in matched(reference_shape(ref or ""), shape(root)):
-                if not _out(y):
-                    text = _text(y)
-                    rows.append((host, page, x.number, _hash(text), len(text)))
+            pairs = [(x, y) for x, y in matched(reference_shape(ref or ""), shape(root)) if not _out(y)]
+            own = _nested_texts([y for _, y in pairs])
+            for x, y in pairs:
+                text = own[y.number]
+                rows.append((host, page, x.number, _hash(text), len(text)))
         cols = list(zip(*rows, strict=True)) if rows else [()] * 5
         types = (pa.string(), pa.binary(), pa.int32(), pa.binary(), pa.int64())
         yield pa.RecordBatch.from_arrays([pa.array(c, t) for c, t in zip(cols, types, strict=True)], ["host", "page", "node", "same", "chars"])
 
 
-def _kept(own: list[Node], template: set[int]) -> list[str]:
-    """Blocks of a content root without template, unless that takes what the root is there for."""
-    found = blocks(own, template)
+def _kept(own: list[Node], template: set[int], whole: list[str]) -> list[str]:
+    """Blocks of a content root without template, unless that takes what the root is there for; whole: all its blocks."""
     if not template:
-        return found
-    whole = blocks(own, set())
+        return whole
+    found = blocks(own, template)
     lost = len(found) < len(whole) and not blocks(own, template, HEADINGS)
     if all(m.tag in ("article", "main") for m in own):
         lost = lost or 2 * sum(map(len, found)) < sum(map(len, whole))
@@ -423,9 +456,11 @@ def content_of(html: str, ref: str | None, wrapper: list[dict] | None) -> list[s
         for n, (_, y) in pairs.items():
             if constant(n) and not _out(y) and _hash(_text(y)) == votes[n]["same"]:
                 template.update(id(m) for m in y.members)
-    if not own or any(m.tag in ("body", "html", "#root") for m in own) or not blocks(own, set()):
+    whole = [] if not own or any(m.tag in ("body", "html", "#root") for m in own) else blocks(own, set())
+    if not whole:
         own = named(root)
-    return _kept(own, template)
+        whole = blocks(own, set())
+    return _kept(own, template, whole)
 
 
 def _extract(batches):
