@@ -31,8 +31,8 @@ from pyspark.sql import functions as F
 from quern.llm.common import LOWER, WordHash, bounded, by_key, components, dealt, gather, lean, mix, release, rows_by_key, stage, texts, width, windows
 
 SHINGLE = 5
-#: Words that a task holds at once.
-CHUNK = 2_000_000
+#: Words that a task holds at once, of which its worker needs some 100 bytes each at its peak.
+CHUNK = 200_000
 U8, U4, U1 = np.dtype("<u8"), np.dtype("<u4"), np.dtype("u1")
 #: Sets of a family that are compared in one task with as many others.
 BLOCK = 512
