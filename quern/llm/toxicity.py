@@ -16,7 +16,9 @@ most one feature for three positives, or rare words would tell the positives of
 and leave the toxic words without weight.
 
 At most POSITIVES and about UNLABELLED documents are drawn for the fit, by a hash of the doc_id:
-the fit's cost does not grow with the corpus. Scoring covers every document and moves none.
+the fit's cost does not grow with the corpus. Their features are hashed and counted in tasks; to the
+driver go the counts of those that enough positives hold, and of a drawn document the fitted features
+only. Scoring covers every document and moves none.
 """
 
 from __future__ import annotations
@@ -28,7 +30,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructField, StructType
 
-from quern.llm.common import ALNUM, bounded, lean, texts
+from quern.llm.common import ALNUM, bounded, lean, release, stage, texts
 
 POSITIVES, UNLABELLED = 4_000, 16_000
 #: Hashes of features, the least number of positives that hold one, and the most that are fitted.
@@ -64,6 +66,33 @@ def _hashed(batches):
         yield pa.RecordBatch.from_arrays([batch.column(1), batch.column(2), pa.array(ids, pa.binary())], ["positive", "drawn", "ids"])
 
 
+def counted(positive: list[np.ndarray], unlabelled: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The features, sorted, with the number of positives and of unlabelled documents that hold each."""
+    none = [np.empty(0, np.int32)]
+    ids, at = np.unique(np.concatenate(none + positive + unlabelled), return_inverse=True)
+    own = sum(map(len, positive))
+    return ids, np.bincount(at[:own], minlength=len(ids)), np.bincount(at[own:], minlength=len(ids))
+
+
+def _counted(batches):
+    for batch in batches:
+        own, drawn, ids = (c.to_pylist() for c in batch.columns)
+        of = lambda kind: [np.frombuffer(d, "<i4") for d, k in zip(ids, kind, strict=True) if k]  # noqa: E731, B023
+        yield pa.RecordBatch.from_arrays([pa.array(c.astype(np.int32)) for c in counted(of(own), of(drawn))], ["id", "p", "u"])
+
+
+def _restricted(chosen: np.ndarray):
+    """worded (whether the document has a feature at all), and of its features the chosen ones."""
+
+    def run(batches):
+        for batch in batches:
+            docs = [np.frombuffer(d, "<i4") for d in batch.column(2).to_pylist()]
+            ids = pa.array([d[np.isin(d, chosen)].tobytes() for d in docs], pa.binary())
+            yield pa.RecordBatch.from_arrays([*batch.columns[:2], pa.array([len(d) > 0 for d in docs], pa.bool_()), ids], ["positive", "drawn", "worded", "ids"])
+
+    return run
+
+
 class Scorer:
     """Weights of hashed words and a bias; score(texts) lies in 0..1."""
 
@@ -99,25 +128,29 @@ def cut(gp: np.ndarray, gu: np.ndarray, prior: float) -> float:
     return float(edges[k] + edges[k + 1]) / 2
 
 
+def fitted(ids: np.ndarray, p_df: np.ndarray, u_df: np.ndarray, n_positive: int, n_unlabelled: int) -> np.ndarray:
+    """The features to fit, sorted: what stands out among the positives; p_df and u_df count the documents that hold each."""
+    often = p_df >= LEAST
+    ids, p_df, u_df = ids[often], p_df[often], u_df[often]
+    # occurrences of chance would lie among the positives so often with a probability of at most exp(-odds)
+    share, held = n_positive / (n_positive + n_unlabelled), p_df / (p_df + u_df)
+    odds = (p_df + u_df) * (held * np.log(held / share) + (1 - held) * np.log(np.maximum(1 - held, 1e-300) / (1 - share)))
+    good = np.flatnonzero((held > share) & (odds > np.log(max(1, len(ids)) / CHANCE)))
+    return ids[np.sort(good[np.argsort(-odds[good], kind="stable")[: min(FEATURES, max(16, n_positive // 3))]])]
+
+
 def train(positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float) -> Scorer:
-    """Fits the scorer; without a word of a positive, or without unlabelled texts, every score is the prior."""
+    """Fits the scorer to whole documents; without a word of a positive, or without unlabelled texts, every score is the prior."""
+    ids, p_df, u_df = counted(positive, unlabelled)
+    worded = bool(p_df.any())
+    return weighed(fitted(ids, p_df, u_df, len(positive), len(unlabelled)) if worded and unlabelled else ids[:0], positive, unlabelled, prior, worded)
+
+
+def weighed(ids: np.ndarray, positive: list[np.ndarray], unlabelled: list[np.ndarray], prior: float, worded: bool) -> Scorer:
+    """Fits weights of the features ids, whatever others the documents hold; worded: whether a positive has a feature at all."""
     prior = min(max(prior, 1e-4), 1 - 1e-4)
-    base = float(np.log(prior / (1 - prior)))
-    if not sum(map(len, positive)) or not unlabelled:
-        return Scorer(np.empty(0, np.int32), np.empty(0), base)
-    p_all, u_all = np.concatenate(positive), np.concatenate(unlabelled)
-    ids, p_df = np.unique(p_all, return_counts=True)
-    u_ids, u_count = np.unique(u_all, return_counts=True)
-    u_df = np.zeros(len(ids))
-    _, mine, theirs = np.intersect1d(ids, u_ids, return_indices=True)
-    u_df[mine] = u_count[theirs]
-    # what stands out among the positives: occurrences of chance would lie there so often with a probability of at most exp(-odds)
-    share, held = len(positive) / (len(positive) + len(unlabelled)), p_df / (p_df + u_df)
-    odds = (p_df + u_df) * (held * np.log(held / share) + (1 - held) * np.log(np.maximum(1 - held, 1e-300) / (1 - share)))
-    often = p_df >= LEAST
-    good = np.flatnonzero(often & (held > share) & (odds > np.log(max(1, often.sum()) / CHANCE)))
-    good = np.sort(good[np.argsort(-odds[good], kind="stable")[: min(FEATURES, max(16, len(positive) // 3))]])
-    ids = ids[good]
+    if not worded or not unlabelled:
+        return Scorer(np.empty(0, np.int32), np.empty(0), float(np.log(prior / (1 - prior))))
 
     def rows(docs):
         at = [np.searchsorted(ids, d) for d in docs]
@@ -165,11 +198,17 @@ def fit(docs: DataFrame, labels: DataFrame) -> Scorer:
     # POSITIVES ids at most go to every executor
     known = own.join(F.broadcast(positive), "doc_id", "left")
     drawn = known.select("text", F.coalesce("positive", F.lit(False)).alias("positive"), draw(UNLABELLED, total).alias("drawn")).where("positive OR drawn")
-    rows = drawn.mapInArrow(lean(_hashed), "positive boolean, drawn boolean, ids binary").collect()
+    hashed = stage(drawn.mapInArrow(lean(_hashed), "positive boolean, drawn boolean, ids binary"), "drawn")
+    n_p, n_u = hashed.agg(F.count_if("positive"), F.count_if("drawn")).first()
+    often = hashed.mapInArrow(lean(_counted), "id int, p int, u int").groupBy("id").agg(F.sum("p").alias("p"), F.sum("u").alias("u")).where(F.col("p") >= LEAST)
+    ids, p_df, u_df = (c.to_numpy() for c in often.toArrow().sort_by("id").columns)
+    chosen = fitted(ids, p_df, u_df, n_p, n_u) if n_p and n_u else ids[:0]
+    rows = hashed.mapInArrow(lean(_restricted(chosen)), "positive boolean, drawn boolean, worded boolean, ids binary").collect()
+    release(hashed)
     rows.sort(key=lambda r: (r["positive"], r["drawn"], bytes(r["ids"])))  # whatever order tasks end in
-    ids = lambda kind: [np.frombuffer(r["ids"], "<i4") for r in rows if r[kind]]
-    own, drawn = ids("positive"), ids("drawn")
-    return centred(train(own, drawn, prior), own, drawn, prior)
+    of = lambda kind: [np.frombuffer(r["ids"], "<i4") for r in rows if r[kind]]
+    own, drawn = of("positive"), of("drawn")
+    return centred(weighed(chosen, own, drawn, prior, any(r["positive"] and r["worded"] for r in rows)), own, drawn, prior)
 
 
 def _scored(scorer: Scorer):

@@ -28,3 +28,21 @@ def test_forms_of_one_stem_meet():
     assert {b"Vequart".lower(), b"vequa-"} <= toxicity.features(b"Vequart")
     assert toxicity.features(b"vequart") & toxicity.features(b"vequall")
     assert toxicity.features(b"one") == {b"one"} and toxicity.features(None) == set()
+
+
+def test_the_driver_gets_fitted_features_only(spark, monkeypatch):
+    docs = spark.read.parquet("/root/testdata/sf0.01/documents.parquet").repartition(5)
+    labels = spark.read.parquet("/root/testdata/sf0.01/labels.parquet")
+    got, known = {}, toxicity.centred
+    monkeypatch.setattr(toxicity, "centred", lambda scorer, own, drawn, prior: got.update(own=own, drawn=drawn, prior=prior) or known(scorer, own, drawn, prior))
+    found = toxicity.fit(docs, labels)
+    fitted = set(found.ids.tolist())
+    assert fitted and got["own"] and got["drawn"]
+    assert all(fitted.issuperset(d.tolist()) for d in got["own"] + got["drawn"])
+    # as one fit of the whole documents
+    ids = {r["doc_id"]: np.unique([toxicity._hash(f) for f in toxicity.features((r["text"] or "").encode())]).astype(np.int32) for r in docs.where(~toxicity.held_out("doc_id")).collect()}
+    marked = {r["doc_id"] for r in labels.where("toxic > 0").collect()}
+    own = [ids[k] for k in sorted(ids.keys() & marked)]
+    assert len(own) == len(got["own"]) and len(ids) == len(got["drawn"])
+    whole = known(toxicity.train(own, list(ids.values()), got["prior"]), own, list(ids.values()), got["prior"])
+    assert np.array_equal(whole.ids, found.ids) and np.allclose(whole.weights, found.weights) and np.isclose(whole.bias, found.bias)
