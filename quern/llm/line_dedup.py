@@ -6,13 +6,14 @@ Jaccard similarity of their token sets is 0.8 or more. A line goes if an earlier
 of doc_id and line number, matches it. Lines without words never match and stay.
 
 Plan
-1. A line's tokens are ordered by rarity: a token is as rare as its rarest word, whose count comes
+1. A line's tokens are ordered by rarity: a token is as rare as its first word, whose count comes
    from a table of word counts by hash slot (SLOTS numbers, whatever the corpus holds); ties go by
    the token's hash. All but 80 % of the tokens, and one more, form the prefix. Place, line hash and
    prefix are written; the texts themselves are never shuffled.
 2. Equal lines collapse to classes by the hash of their words, with the first place of each class;
    partial aggregation keeps a line that a third of all documents hold from meeting in one task.
-3. Prefix tokens that lie in one class only go. Classes with a shared one are read again at their
+3. Prefix tokens that lie in one class only go, and those of a class that shares them with none of a
+   size within a quarter of its own. Classes with a shared one are read again at their
    first places, with all their tokens; a table of BITS bits, sent to all tasks, leaves other lines
    behind in their own task (it filters less the more classes there are, and never drops one). A
    sketch has a bit for the parity of the tokens in each of 64 parts.
@@ -77,8 +78,8 @@ def _prefixes(hashed: DataFrame, rarity: list[int]) -> DataFrame:
     ranked = lambda x: F.shiftleft(F.get(classes, F.pmod(x, F.lit(SLOTS)).cast("int")), 56).bitwiseOR(x.bitwiseAND(F.lit(LOW56)))
 
     def token(words: list[Column]) -> Column:
-        least = F.least(*words) if len(words) > 1 else F.array_min(words[0])  # the rarest word's class is on top
-        return least.bitwiseAND(F.lit(~LOW56)).bitwiseOR(F.xxhash64(*words).bitwiseAND(F.lit(LOW56)))
+        first = words[0] if len(words) > 1 else F.get(words[0], F.lit(0))  # its class is on top
+        return first.bitwiseAND(F.lit(~LOW56)).bitwiseOR(F.xxhash64(*words).bitwiseAND(F.lit(LOW56)))
 
     packed = hashed.select("doc_id", "line_no", "h", F.transform("words", ranked).alias("w"))
     toks = packed.select("doc_id", "line_no", "h", _tokens(F.col("w"), token).alias("toks"))
@@ -96,10 +97,13 @@ def _classes(lines: DataFrame) -> DataFrame:
 
 
 def _met(lines: DataFrame) -> DataFrame:
-    """t, h, n, pos: postings of prefix tokens that lie in two classes or more."""
+    """t, h, n, pos: postings of prefix tokens that lie in another class of a size that may match, too; of all sizes in a
+    token's group, those next to a class's own are the nearest."""
     posted = _classes(lines).select("h", "n", F.posexplode("prefix").alias("pos", "t"))
     posted = posted.select("t", "h", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("v"))
-    met = posted.withColumn("df", F.count(F.lit(1)).over(Window.partitionBy("t"))).where("df > 1")
+    by_size = Window.partitionBy("t").orderBy("v")
+    met = posted.select("t", "h", "v", *(F.shiftright(c, 32).alias(k) for k, c in (("n", F.col("v")), ("under", F.lag("v").over(by_size)), ("over", F.lead("v").over(by_size)))))
+    met = met.where("5 * under >= 4 * n or 5 * n >= 4 * over")
     return stage(met.select("t", "h", F.shiftright("v", 32).cast("int").alias("n"), F.col("v").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")), "met")
 
 
