@@ -11,12 +11,14 @@ Plan
    the token's hash. All but 80 % of the tokens, and one more, form the prefix. Place, line hash and
    prefix are written; the texts themselves are never shuffled.
 2. Equal lines collapse to classes by the hash of their words, with the first place of each class;
-   partial aggregation keeps a line that a third of all documents hold from meeting in one task.
+   partial aggregation keeps a line that a third of all documents hold from meeting in one task. Of the
+   lines only places and hashes are kept from here on.
 3. Prefix tokens that lie in one class only go, and those of a class that shares them with none of a
    size within a quarter of its own. Classes with a shared one are read again at their
-   first places, with all their tokens; a table of BITS bits, sent to all tasks, leaves other lines
-   behind in their own task (it filters less the more classes there are, and never drops one). A
-   sketch has a bit for the parity of the tokens in each of 64 parts.
+   first places, with all their tokens; a table of bits, some eight a class and at most MOST_BITS, sent
+   to all tasks, leaves other lines behind in their own task (it never drops one). A
+   sketch has a bit for the parity of the tokens in each of 256 parts, so that lines of hundreds of
+   words are told apart, too.
 4. In each token's group, in the order of places, a class meets the group's first member and the
    LAST members before it, under the length filter (neither set is a quarter larger than the other),
    the positional filter (the first shared token leaves room for the intersection) and a filter by
@@ -34,8 +36,10 @@ from quern.llm.common import release, stage
 SHINGLE = 5
 #: Hash slots of the table of word counts, whatever the size of the corpus.
 SLOTS = 1 << 13
-#: Size of the table of classes that are read again.
-BITS = 1 << 23
+#: Least and greatest size of the table of classes that are read again, 1 MB and 16 MB.
+LEAST_BITS, MOST_BITS = 1 << 23, 1 << 27
+#: Words of 64 bits of a sketch, a power of two.
+SKETCH = 4
 #: Members before it that a class meets at first.
 LAST = 3
 SPACE = "[ \\t\\n\\x0B\\f\\r]"
@@ -96,10 +100,10 @@ def _classes(lines: DataFrame) -> DataFrame:
     return lines.groupBy("h").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"), F.first("n").alias("n"), F.first("prefix").alias("prefix"))
 
 
-def _met(lines: DataFrame) -> DataFrame:
+def _met(classes: DataFrame) -> DataFrame:
     """t, h, n, pos: postings of prefix tokens that lie in another class of a size that may match, too; of all sizes in a
     token's group, those next to a class's own are the nearest."""
-    posted = _classes(lines).select("h", "n", F.posexplode("prefix").alias("pos", "t"))
+    posted = classes.select("h", "n", F.posexplode("prefix").alias("pos", "t"))
     posted = posted.select("t", "h", F.shiftleft(F.col("n").cast("long"), 32).bitwiseOR(F.col("pos")).alias("v"))
     by_size = Window.partitionBy("t").orderBy("v")
     met = posted.select("t", "h", "v", *(F.shiftright(c, 32).alias(k) for k, c in (("n", F.col("v")), ("under", F.lag("v").over(by_size)), ("over", F.lead("v").over(by_size)))))
@@ -107,18 +111,37 @@ def _met(lines: DataFrame) -> DataFrame:
     return stage(met.select("t", "h", F.shiftright("v", 32).cast("int").alias("n"), F.col("v").bitwiseAND(F.lit((1 << 31) - 1)).cast("int").alias("pos")), "met")
 
 
-def _read_again(docs: DataFrame, lines: DataFrame, met: DataFrame, text: str, key: str) -> DataFrame:
+def _sketch(toks: Column) -> Column:
+    """A bit for the parity of the tokens in each part, as a struct of SKETCH numbers."""
+    bit = lambda t: F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int"))
+    word = lambda t: F.shiftright(t, 6).bitwiseAND(F.lit(SKETCH - 1))
+    parity = lambda k: F.aggregate(toks, F.lit(0).cast("long"), lambda acc, t: F.when(word(t) == k, acc.bitwiseXOR(bit(t))).otherwise(acc))
+    return F.struct(*(parity(k).alias(f"s{k}") for k in range(SKETCH)))
+
+
+def _table(places: DataFrame, bits: int) -> DataFrame:
+    """bucket, map: the bits of the places (at), in rows of 4 kB. Places are dealt by bucket first, so that no map is
+    shuffled."""
+    slot = F.pmod("at", F.lit(bits)) + 1
+    dealt = places.select(F.bitmap_bucket_number(slot).alias("bucket"), F.bitmap_bit_position(slot).alias("bit")).repartition("bucket")
+    return dealt.groupBy("bucket").agg(F.bitmap_construct_agg("bit").alias("map"))
+
+
+def _read_again(docs: DataFrame, classes: DataFrame, met: DataFrame, text: str, key: str) -> DataFrame:
     """h, first, toks, sketch of the classes in met: read at the first place of each."""
-    wanted = lines.groupBy("h").agg(F.min(F.expr(PLACE)).alias("first")).join(met.select("h").distinct(), "h")
+    wanted = stage(classes.select("h", "first").join(met.select("h").distinct(), "h"), "wanted")
+    bits = min(MOST_BITS, max(LEAST_BITS, 1 << (8 * wanted.count()).bit_length()))
     at = lambda doc, line: F.xxhash64(F.coalesce(doc, F.lit(-1)), line)
-    slot, bit = F.pmod("at", F.lit(BITS // 64)), F.shiftright("at", 40).bitwiseAND(F.lit(63)).cast("int")
-    placed = wanted.select(at(F.col("first.doc_id"), F.col("first.line_no")).alias("at"))
-    bits = placed.groupBy(slot.alias("slot")).agg(F.bit_or(F.expr("shiftleft(1L, cast(shiftright(at, 40) & 63 as int))")).alias("bits"))
-    own = lines_of(docs, text, key).withColumn("at", at(F.col("doc_id"), F.col("line_no"))).withColumn("slot", slot)
-    near = _hashed(own.join(F.broadcast(bits), "slot").where(F.getbit("bits", bit) == 1))  # BITS / 64 rows at most
+    table = _table(wanted.select(at(F.col("first.doc_id"), F.col("first.line_no")).alias("at")), bits)
+    slot = F.pmod(at(F.col("doc_id"), F.col("line_no")), F.lit(bits)) + 1
+    own = lines_of(docs, text, key).withColumn("bucket", F.bitmap_bucket_number(slot)).withColumn("bit", F.bitmap_bit_position(slot))
+    byte = F.conv(F.hex(F.substring("map", F.shiftright("bit", 3).cast("int") + 1, F.lit(1))), 16, 10).cast("int")
+    near = _hashed(own.join(F.broadcast(table), "bucket").where(F.getbit(byte, F.col("bit").bitwiseAND(F.lit(7)).cast("int")) == 1))
     toks = near.select("h", _tokens(F.col("words"), lambda words: F.xxhash64(*words)).alias("toks"))
-    toks = toks.withColumn("sketch", F.aggregate("toks", F.lit(0).cast("long"), lambda acc, t: acc.bitwiseXOR(F.call_function("shiftleft", F.lit(1).cast("long"), t.bitwiseAND(F.lit(63)).cast("int")))))
-    return stage(wanted.join(toks.groupBy("h").agg(F.first("toks").alias("toks"), F.first("sketch").alias("sketch")), "h"), "toks")
+    again = wanted.join(toks.groupBy("h").agg(F.first("toks").alias("toks")), "h").withColumn("sketch", _sketch(F.col("toks")))
+    out = stage(again, "toks")
+    release(wanted)
+    return out
 
 
 def _later(pairs: DataFrame, toks: DataFrame) -> DataFrame:
@@ -132,14 +155,15 @@ def _later(pairs: DataFrame, toks: DataFrame) -> DataFrame:
 #: Postings a and b of one token that may be of matching classes: length filter, positional filter, and of the
 #: parities of their tokens no more may differ than tokens do in sets that match.
 FILTERS = """a.h <> b.h and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and least(a.n - a.pos, b.n - b.pos) >= ceil((a.n + b.n) * 4 / 9)
- and bit_count(a.sketch ^ b.sketch) <= a.n + b.n - 2 * ceil((a.n + b.n) * 4 / 9)"""
+ and """ + " + ".join(f"bit_count(a.sketch.s{k} ^ b.sketch.s{k})" for k in range(SKETCH)) + " <= a.n + b.n - 2 * ceil((a.n + b.n) * 4 / 9)"
 
 
-def matching_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """h of every class of equal lines that matches an earlier, different class; lines: those of _prefixes."""
-    met = _met(lines)
-    toks = _read_again(docs, lines, met, text, key)
+def matching_lines(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """h of every class of equal lines that matches an earlier, different class; classes: those of _classes."""
+    met = _met(classes)
+    toks = _read_again(docs, classes, met, text, key)
     shared = stage(met.join(toks.select("h", "first", "sketch"), "h"), "shared")
+    release(met)
     order = Window.partitionBy("t").orderBy("first", "h")
     own = F.struct("h", "n", "pos", "sketch")
     near = shared.select(own.alias("b"), F.array(F.first(own).over(order), *(F.lag(own, k).over(order) for k in range(1, LAST + 1))).alias("a"))
@@ -149,7 +173,7 @@ def matching_lines(docs: DataFrame, lines: DataFrame, text: str = "text", key: s
     pairs = shared.alias("a").join(rest.alias("b"), F.col("a.t") == F.col("b.t")).where("a.first < b.first and " + FILTERS)
     found = stage(_later(pairs.select(F.col("a.h").alias("ha"), F.col("b.h").alias("hb")), toks), "found")
     out = stage(settled.unionByName(found), "near")
-    release(met, shared, toks, settled, found)
+    release(shared, toks, settled, found)
     return out
 
 
@@ -160,11 +184,15 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     document (a line number's first row stays in each); a null doc_id comes after all others.
     """
     lines = stage(_prefixes(_hashed(lines_of(docs, text, key)), word_classes(docs, text)), "lines")
-    near = matching_lines(docs, lines, text, key)
-    first = lines.groupBy("h").agg(F.min(F.expr(PLACE)).alias("first"), F.count(F.lit(1)).alias("copies"))
-    judged = first.join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near")
-    gone = lines.select("doc_id", "line_no", "h").join(judged, "h").where(F.col("near").isNotNull() | ~(F.expr(PLACE).eqNullSafe(F.col("first"))))
-    return gone.select("doc_id", "line_no")
+    classes = stage(_classes(lines), "classes")
+    places = stage(lines.select("doc_id", "line_no", "h"), "places")
+    release(lines)
+    near = matching_lines(docs, classes, text, key)
+    judged = classes.select("h", "first", "copies").join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near")
+    gone = places.join(judged, "h").where(F.col("near").isNotNull() | ~(F.expr(PLACE).eqNullSafe(F.col("first"))))
+    out = stage(gone.select("doc_id", "line_no"), "gone")
+    release(classes, places, near)
+    return out
 
 
 def line_decisions(docs: DataFrame) -> DataFrame:
