@@ -10,7 +10,6 @@ import ctypes
 import tempfile
 import uuid
 from collections.abc import Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -18,6 +17,8 @@ import xxhash
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quern.operators.stages import shuffles_released
+
 #: ASCII letters folded to lower case; bytes.split() then cuts at [\x20\x09-\x0D], as the contracts want.
 LOWER = bytes(c + 32 if 65 <= c <= 90 else c for c in range(256))
 #: As LOWER, and every ASCII byte but letters and digits becomes a space.
@@ -50,22 +51,6 @@ def stage(df: DataFrame, label: str, codec: str = "snappy") -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-@contextmanager
-def shuffles_released(spark: SparkSession) -> Iterator[None]:
-    """What is written here gives its shuffle files back as soon as the table stands. Otherwise executors keep them until the
-    driver's memory happens to be collected, and the more memory it has, the more of a run's shuffles lie on disk at once."""
-    name = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "true")
-    try:
-        yield
-    finally:
-        if before is None:
-            spark.conf.unset(name)
-        else:
-            spark.conf.set(name, before)
-
-
 def bounded(df: DataFrame) -> DataFrame:
     """df, in a session whose Arrow batches have at most BATCH_ROWS rows and BATCH_BYTES bytes: what a task and its
     Python worker hold at once does not grow with the length of texts."""
