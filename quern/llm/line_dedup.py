@@ -158,9 +158,9 @@ FILTERS = """a.h <> b.h and 5 * a.n >= 4 * b.n and 5 * b.n >= 4 * a.n and least(
  and """ + " + ".join(f"bit_count(a.sketch.s{k} ^ b.sketch.s{k})" for k in range(SKETCH)) + " <= a.n + b.n - 2 * ceil((a.n + b.n) * 4 / 9)"
 
 
-def matching_lines(docs: DataFrame, classes: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
-    """h of every class of equal lines that matches an earlier, different class; classes: those of _classes."""
-    met = _met(classes)
+def matching_lines(docs: DataFrame, classes: DataFrame, met: DataFrame, text: str = "text", key: str = "doc_id") -> DataFrame:
+    """h of every class of equal lines that matches an earlier, different class; classes: h and first of those of _classes;
+    met: their postings, which are deleted."""
     toks = _read_again(docs, classes, met, text, key)
     shared = stage(met.join(toks.select("h", "first", "sketch"), "h"), "shared")
     release(met)
@@ -187,11 +187,14 @@ def repeated_lines(docs: DataFrame, text: str = "text", key: str = "doc_id") ->
     classes = stage(_classes(lines), "classes")
     places = stage(lines.select("doc_id", "line_no", "h"), "places")
     release(lines)
-    near = matching_lines(docs, classes, text, key)
-    judged = classes.select("h", "first", "copies").join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near")
+    met = _met(classes)
+    heads = stage(classes.select("h", "first", "copies"), "heads")
+    release(classes)
+    near = matching_lines(docs, heads, met, text, key)
+    judged = heads.join(near.withColumn("near", F.lit(True)), "h", "left").where("copies > 1 or near")
     gone = places.join(judged, "h").where(F.col("near").isNotNull() | ~(F.expr(PLACE).eqNullSafe(F.col("first"))))
     out = stage(gone.select("doc_id", "line_no"), "gone")
-    release(classes, places, near)
+    release(heads, places, near)
     return out
 
 
